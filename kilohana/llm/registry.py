@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookalike, repeats, segment, split
+from . import lookalike, repeats, scans, segment, split
 from .base import table
 
 
@@ -15,6 +15,15 @@ def p1_units(spark, sf):
     return segment.sentence_units(table(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
+def p2_found(spark, sf):
+    return scans.found(table(spark, sf, "documents"))
+
+
+def p2_paragraphs(spark, sf):
+    """Every scanned document repaired into paragraphs."""
+    return scans.paragraphs(table(spark, sf, "documents"))
+
+
 def p3_found(spark, sf):
     return repeats.found(table(spark, sf, "sentences"), table(spark, sf, "sources"))
 
@@ -42,7 +51,7 @@ def p6_pieces(spark, sf):
     return split.all_pieces(table(spark, sf, "documents"), table(spark, sf, "contents"))
 
 
-_QUERIES = [p1_found, p1_units, p3_found, p3_cleaned, p4_found, p4_one_form, p6_found, p6_pieces]
+_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p6_found, p6_pieces]
 
 _SQL: dict[str, str] = {
     "p6_found": """

@@ -38,8 +38,28 @@ def simplify(c: Column) -> Column:
     return F.translate(c, "ōīēūāŌĪĒŪĀ‘ʻ", "oieuaOIEUA")
 
 
+def skeleton(c: Column) -> Column:
+    """A hash that is equal wherever the collation's classes are: mapped letters without macrons. It only narrows the rows that are collated."""
+    plain = "".join(_MACRON.values())
+    return F.xxhash64(F.translate(mapped(c), plain + "̄", "".join(_MACRON)))
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("hawaiiantext").isNotNull()).withColumn("_key", F.collate(mapped(F.col("hawaiiantext")), "UNICODE"))
+    return rows.withColumn("_key", F.collate(mapped(F.col("hawaiiantext")), "UNICODE"))
+
+
+def candidates(sentences: DataFrame) -> DataFrame:
+    """(sentenceid, hawaiiantext), one per id: the rows whose skeleton comes with more than one stored text.
+
+    Ids are told apart and skeletons counted on hashes alone; only the candidates' texts move.
+    """
+    t = F.col("hawaiiantext")
+    light = sentences.where(t.isNotNull() & F.col("sentenceid").isNotNull()).select("sentenceid", "created", skeleton(t).alias("_h"), F.xxhash64(t).alias("_x"))
+    light = light.groupBy("sentenceid").agg(F.max(F.struct(F.col("created").isNotNull().alias("k"), "created", "_h", "_x")).alias("s")).select("sentenceid", F.col("s._h").alias("_h"), F.col("s._x").alias("_x"))
+    many = light.groupBy("_h").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where("_lo <> _hi").select("_h")
+    ids = light.join(many, "_h", "left_semi").select("sentenceid", "_x")
+    rows = sentences.where(t.isNotNull()).select("sentenceid", "hawaiiantext", F.xxhash64(t).alias("_x"))
+    return rows.join(ids, ["sentenceid", "_x"], "left_semi").select("sentenceid", "hawaiiantext").distinct()
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -59,20 +79,24 @@ def classes(rows: DataFrame) -> DataFrame:
     )
 
 
+def members(sentences: DataFrame) -> DataFrame:
+    """(sentenceid, hawaiiantext, class_id, canonical) of every row in a class of more than one stored text."""
+    c = candidates(sentences)
+    k = classes(c).withColumn("class_id", F.xxhash64("canonical"))
+    return _keyed(c).join(k, "_key").select("sentenceid", "hawaiiantext", "class_id", "canonical")
+
+
 def found(sentences: DataFrame) -> DataFrame:
     """p4_found: pairs of ids that look the same and differ in their characters, the smaller id first."""
-    rows = latest(sentences, "sentenceid", "hawaiiantext")
-    k = _keyed(rows)
-    many = classes(rows).select("_key")
-    members = k.join(many, "_key", "left_semi").select("sentenceid", "hawaiiantext", F.col("_key"))
-    a = members.select(F.col("sentenceid").alias("sentenceid_a"), F.col("hawaiiantext").alias("_ta"), "_key")
-    b = members.select(F.col("sentenceid").alias("sentenceid_b"), F.col("hawaiiantext").alias("_tb"), "_key")
-    return a.join(b, "_key").where("sentenceid_a < sentenceid_b AND _ta <> _tb").select("sentenceid_a", "sentenceid_b")
+    m = members(sentences)
+    a = m.select(F.col("sentenceid").alias("sentenceid_a"), F.col("hawaiiantext").alias("_ta"), "class_id", F.col("canonical").alias("_ca"))
+    b = m.select(F.col("sentenceid").alias("sentenceid_b"), F.col("hawaiiantext").alias("_tb"), "class_id", F.col("canonical").alias("_cb"))
+    return a.join(b, "class_id").where("sentenceid_a < sentenceid_b AND _ta <> _tb AND _ca = _cb").select("sentenceid_a", "sentenceid_b")
 
 
 def one_text(sentences: DataFrame) -> DataFrame:
     """Every sentence in one form: (sentenceid, hawaiiantext, simplified, changed)."""
     rows = latest(sentences, "sentenceid", "hawaiiantext")
-    j = _keyed(rows).join(classes(rows), "_key", "left")
+    j = rows.join(members(sentences).select("sentenceid", "canonical"), "sentenceid", "left")
     out = F.coalesce("canonical", one_form(F.col("hawaiiantext")))
     return j.select("sentenceid", out.alias("_t"), (out != F.col("hawaiiantext")).alias("changed")).select("sentenceid", F.col("_t").alias("hawaiiantext"), simplify(F.col("_t")).alias("simplified"), "changed")

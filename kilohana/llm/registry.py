@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookalike, repeats, scans, segment, split
+from . import lookalike, mainbody, repeats, scans, segment, split
 from .base import table
 
 
@@ -51,7 +51,16 @@ def p6_pieces(spark, sf):
     return split.all_pieces(table(spark, sf, "documents"), table(spark, sf, "contents"))
 
 
-_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p6_found, p6_pieces]
+def p7_found(spark, sf):
+    return mainbody.found(table(spark, sf, "contents"))
+
+
+def p7_bodies(spark, sf):
+    """Each page's main body as text."""
+    return mainbody.bodies(table(spark, sf, "contents"))
+
+
+_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p6_found, p6_pieces, p7_found, p7_bodies]
 
 _SQL: dict[str, str] = {
     "p6_found": """

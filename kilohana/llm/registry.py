@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lookalike, mainbody, repeats, scans, segment, split
+from . import leaks, lookalike, mainbody, repeats, scans, segment, split
 from .base import table
 
 
@@ -60,7 +60,16 @@ def p7_bodies(spark, sf):
     return mainbody.bodies(table(spark, sf, "contents"))
 
 
-_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p6_found, p6_pieces, p7_found, p7_bodies]
+def p9_found(spark, sf):
+    return leaks.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_leaks(spark, sf):
+    """Leaked items with the words and changed words of their longest stretch."""
+    return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p6_found, p6_pieces, p7_found, p7_bodies, p9_found, p9_leaks]
 
 _SQL: dict[str, str] = {
     "p6_found": """

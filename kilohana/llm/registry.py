@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import leaks, lookalike, mainbody, repeats, scans, segment, split
+from . import langid, leaks, lookalike, mainbody, repeats, scans, segment, split
 from .base import table
 
 
@@ -42,6 +42,15 @@ def p4_one_form(spark, sf):
     return lookalike.one_text(table(spark, sf, "sentences"))
 
 
+def p5_found(spark, sf):
+    return langid.found(table(spark, sf, "documents"), table(spark, sf, "sentences"))
+
+
+def p5_languages(spark, sf):
+    """The language and confidence of every document, typed paragraph and sentence row."""
+    return langid.languages(table(spark, sf, "documents"), table(spark, sf, "sentences"))
+
+
 def p6_found(spark, sf):
     return split.found(table(spark, sf, "documents"), table(spark, sf, "contents"))
 
@@ -69,7 +78,7 @@ def p9_leaks(spark, sf):
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p6_found, p6_pieces, p7_found, p7_bodies, p9_found, p9_leaks]
+_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_bodies, p9_found, p9_leaks]
 
 _SQL: dict[str, str] = {
     "p6_found": """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, lookalike, mainbody, repeats, scans, segment, split
+from . import langid, leaks, lookalike, mainbody, reading, repeats, scans, segment, split
 from .base import table
 
 
@@ -78,7 +78,16 @@ def p9_leaks(spark, sf):
     return leaks.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_bodies, p9_found, p9_leaks]
+def p10_found(spark, sf):
+    return reading.found(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p10_grades(spark, sf):
+    """Grade and difficulty, with the language, of every document that can be graded."""
+    return reading.grades(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_bodies, p9_found, p9_leaks, p10_found, p10_grades]
 
 _SQL: dict[str, str] = {
     "p6_found": """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, leaks, lookalike, mainbody, reading, repeats, scans, segment, split
+from . import langid, leaks, lookalike, mainbody, packing, reading, repeats, scans, segment, split
 from .base import table
 
 
@@ -69,6 +69,16 @@ def p7_bodies(spark, sf):
     return mainbody.bodies(table(spark, sf, "contents"))
 
 
+def p8_packed(spark, sf):
+    """Every piece of every document with its container."""
+    return packing.documents_packed(table(spark, sf, "documents"))
+
+
+def p8_report(spark, sf):
+    """How full the containers are."""
+    return packing.report(packing.documents_packed(table(spark, sf, "documents")))
+
+
 def p9_found(spark, sf):
     return leaks.found(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -87,7 +97,7 @@ def p10_grades(spark, sf):
     return reading.grades(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_bodies, p9_found, p9_leaks, p10_found, p10_grades]
+_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_bodies, p8_packed, p8_report, p9_found, p9_leaks, p10_found, p10_grades]
 
 _SQL: dict[str, str] = {
     "p6_found": """

@@ -1,0 +1,114 @@
+"""Scans and sources (SC)."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from kilohana.functions import text as T
+from kilohana.plans.text import fold_sql
+from kilohana.registry import both, op
+from kilohana.session import table
+from kilohana.sources import readers
+
+both("sc01", "SELECT sourceid, sourcename, groupname FROM {sources}", "sources")
+both("sc02", "SELECT sentenceid, sourceid, hawaiiantext FROM {sentences}", "sentences")
+both("sc03", "SELECT doc_id, title, lang FROM {documents}", "documents")
+both("sc04", "SELECT doc_id FROM {documents}", "documents")
+
+
+@op("sc05", "SELECT sentenceid, hawaiiantext FROM (SELECT DISTINCT sentenceid, hawaiiantext FROM sentences) t WHERE sentenceid > 5000 ORDER BY sentenceid LIMIT 100")
+def sc05(spark, sf):
+    """Keyset page: the filter reaches the scan, the limit is a take-ordered."""
+    return readers.keyset_page(table(spark, sf, "sentences").select("sentenceid", "hawaiiantext").distinct(), "sentenceid", 5000, 100)
+
+
+@op("sc06", "SELECT DISTINCT sourceid FROM sources ORDER BY sourceid LIMIT 50 OFFSET 100")
+def sc06(spark, sf):
+    return readers.offset_page(table(spark, sf, "sources").select("sourceid").distinct(), ["sourceid"], 100, 50)
+
+
+both("sc07", "SELECT sentenceid, hawaiiantext FROM {sentences} WHERE sentenceid > 2000 AND sentenceid <= 7000", "sentences")
+both("sc08", "SELECT sourceid, sourcename, groupname, title FROM {sources} WHERE groupname = 'hokuaohou'", "sources")
+
+
+@op("sc09", "SELECT c.sourceid, s.link, coalesce(c.html,'') AS html FROM (SELECT DISTINCT sourceid, link FROM sources) s JOIN contents c ON c.sourceid = s.sourceid")
+def sc09(spark, sf):
+    """A page fetch: the stored page of a link, '' where nothing came."""
+    s = table(spark, sf, "sources").select("sourceid", "link").distinct()
+    return table(spark, sf, "contents").join(s, "sourceid").select("sourceid", "link", F.coalesce("html", F.lit("")).alias("html"))
+
+
+@op("sc10", r"""SELECT sourceid, unnest(regexp_extract_all(html,'href="([^"]+)"',1)) AS href FROM contents WHERE html IS NOT NULL""")
+def sc10(spark, sf):
+    """Catalog crawl: the links that stored pages show."""
+    return table(spark, sf, "contents").where("html IS NOT NULL").select("sourceid", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'))).alias("href"))
+
+
+@op("sc11", r"""SELECT s.groupname, string_agg(c.text, chr(10) ORDER BY c.sourceid, c.text) AS body, count(*) AS pages FROM (SELECT DISTINCT sourceid, text FROM contents WHERE text IS NOT NULL) c JOIN (SELECT sourceid, max(groupname) AS groupname FROM sources GROUP BY 1) s ON s.sourceid=c.sourceid WHERE s.groupname IN ('pukehohonu','makanimalie') GROUP BY 1""")
+def sc11(spark, sf):
+    """Pages of one work merged in order."""
+    s = table(spark, sf, "sources").groupBy("sourceid").agg(F.max("groupname").alias("groupname")).where("groupname IN ('pukehohonu','makanimalie')")
+    c = table(spark, sf, "contents").where("text IS NOT NULL").select("sourceid", "text").distinct().join(s, "sourceid")
+    parts = F.array_sort(F.collect_list(F.struct("sourceid", "text")))
+    return c.groupBy("groupname").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("body"), F.count("*").alias("pages"))
+
+
+_WORD = "trim(" + "translate({c},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')".format(c=fold_sql("w")) + ")"
+
+
+@op("sc12", rf"SELECT DISTINCT {_WORD} AS word FROM (SELECT unnest(string_split_regex(title,'[\n, ]+')) AS w FROM sources WHERE title IS NOT NULL) t WHERE {_WORD} NOT IN ('','a','i')")
+def sc12(spark, sf):
+    """A word list from lines, commas and spaces: normalised, each once, without the two one-letter words."""
+    return readers.word_list(table(spark, sf, "sources").where("title IS NOT NULL").select(F.col("title").alias("line")))
+
+
+@op("sc13")
+def sc13(spark, sf):
+    """Name lists of several formats, counts summed per normalised name."""
+    path = os.path.join(readers.work_dir(spark), "names.csv")
+    table(spark, sf, "sources").where("authors IS NOT NULL").groupBy("authors").count().write.mode("overwrite").csv(path, header=True)
+    return readers.name_counts(spark.read.csv(path, header=True, schema="name string, n long"))
+
+
+@op("sc14")
+def sc14(spark, sf):
+    """Override files in JSON lines: normalised keys, the last one wins."""
+    path = os.path.join(readers.work_dir(spark), "overrides.json")
+    s = table(spark, sf, "searchstats").where("searchterm IS NOT NULL").select(F.col("searchterm").alias("word"), F.col("pattern").alias("action"), F.col("created").cast("string").alias("at"))
+    s.write.mode("overwrite").json(path)
+    return readers.overrides(spark.read.json(path, schema="word string, action string, at string"))
+
+
+@op("sc15")
+def sc15(spark, sf):
+    """The grammar rules as a table, with the flags that give PHP's /ui."""
+    from kilohana.operators.grammar import rules
+
+    return rules(spark)
+
+
+@op("sc16")
+def sc16(spark, sf):
+    """Whole text files with the year their text shows first."""
+    path = os.path.join(readers.work_dir(spark), "texts")
+    table(spark, sf, "documents").where("medium = 'oral'").select(F.regexp_replace("text", r"\n", " ").alias("value")).write.mode("overwrite").text(path)
+    return spark.read.text(path).select(F.xxhash64("value").alias("id"), F.regexp_extract("value", r"\b((?:19|20)\d{2})\b", 1).alias("year"), "value")
+
+
+@op("sc17", "WITH c AS (SELECT sourceid, max(text) AS text FROM contents GROUP BY 1), j AS (SELECT sourceid, string_agg(hawaiiantext, ' ' ORDER BY sentenceid, hawaiiantext) AS j FROM (SELECT DISTINCT sourceid, sentenceid, hawaiiantext FROM sentences) t GROUP BY 1), s AS (SELECT DISTINCT sourceid FROM sources) SELECT s.sourceid, coalesce(c.text, j.j) AS text FROM s LEFT JOIN c ON c.sourceid=s.sourceid LEFT JOIN j ON j.sourceid=s.sourceid")
+def sc17(spark, sf):
+    """Plain text of a source: the stored text, else its sentences in order."""
+    c = table(spark, sf, "contents").groupBy("sourceid").agg(F.max("text").alias("t"))
+    d = table(spark, sf, "sentences").select("sourceid", "sentenceid", "hawaiiantext").distinct()
+    j = d.groupBy("sourceid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentenceid", "hawaiiantext"))), lambda x: x["hawaiiantext"]), " ").alias("j"))
+    return table(spark, sf, "sources").select("sourceid").distinct().join(c, "sourceid", "left").join(j, "sourceid", "left").select("sourceid", F.coalesce("t", "j").alias("text"))
+
+
+@op("sc18")
+def sc18(spark, sf):
+    """Existence of a named table and the alias it answers to."""
+    table(spark, sf, "sources").createOrReplaceTempView("kilohana_sources_v1")
+    return spark.createDataFrame([("kilohana_sources_v1", spark.catalog.tableExists("kilohana_sources_v1")), ("kilohana_none", spark.catalog.tableExists("kilohana_none"))], "name string, found boolean")

@@ -22,13 +22,13 @@ _SIM = "(sentenceid % 101)/100.0::DOUBLE"
 _QUAL = "(sentenceid % 7)/7.0::DOUBLE"
 
 
-@op("rr01", f"SELECT sentenceid, round((0.75::DOUBLE*{_SIM}+0.10::DOUBLE*{_QUAL}+0.15::DOUBLE*{_LEN})*{_PEN},5) AS score FROM {SENTS}")
+@op("rr01", f"SELECT sentenceid, round((0.75::DOUBLE*{_SIM}+0.10::DOUBLE*{_QUAL}+0.15::DOUBLE*{_LEN})*{_PEN},6) AS score FROM {SENTS}")
 def rr01(spark, sf):
     s = sents(spark, sf)
-    return s.select("sentenceid", F.round(R.vector_sentence_score(F.col("sentenceid") % 101 / 100.0, F.col("sentenceid") % 7 / 7.0, F.col(H)), 5).alias("score"))
+    return s.select("sentenceid", F.round(R.vector_sentence_score(F.col("sentenceid") % 101 / 100.0, F.col("sentenceid") % 7 / 7.0, F.col(H)), 6).alias("score"))
 
 
-@op("rr02", f"SELECT sentenceid, round(((0.40*{_QUAL}+0.60*{_LEN})*{_PEN})::DOUBLE,5) AS score FROM {SENTS}")
+@op("rr02", f"SELECT sentenceid, round(((0.40*{_QUAL}+0.60*{_LEN})*{_PEN})::DOUBLE,6) AS score FROM {SENTS}")
 def rr02(spark, sf):
     return sents(spark, sf).select("sentenceid", F.round(R.inner_hit_score(F.col("sentenceid") % 7 / 7.0, F.col(H)), 5).alias("score"))
 

@@ -1,0 +1,139 @@
+"""Graph operators (GR) over entities of document titles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kilohana.operators import graph as G
+from kilohana.registry import op
+from kilohana.session import table
+
+_RUN = r"[A-ZĀĒĪŌŪ][a-zāēīōūʻ]+"
+# Documents and the capitalised words of their titles; an edge for each pair of a title.
+_MENTION = f"(SELECT DISTINCT doc_id, unnest(regexp_extract_all(title,'{_RUN}')) AS name FROM documents WHERE title IS NOT NULL)"
+_EDGE = f"(SELECT a.name AS src, b.name AS dst, count(*) AS weight FROM {_MENTION} a JOIN {_MENTION} b ON a.doc_id=b.doc_id AND a.name<b.name GROUP BY 1,2)"
+
+
+def mentions(spark, sf):
+    d = table(spark, sf, "documents").where("title IS NOT NULL")
+    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(f"({_RUN})")))).alias("name"))
+
+
+def edges(spark, sf):
+    d = table(spark, sf, "documents").where("title IS NOT NULL")
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all("title", F.lit(f"({_RUN})"))))
+    return G.co_mentions(d.select(names.alias("names"))).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+
+
+@op("gr01")
+def gr01(spark, sf):
+    """Entities of titles with kind and id."""
+    return G.entities(table(spark, sf, "documents").where("title IS NOT NULL"), "title", "doc_id")
+
+
+@op("gr02")
+def gr02(spark, sf):
+    """The plain extractor: names only, each with a document-wide id."""
+    return mentions(spark, sf).select("doc_id", "name", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "name")).alias("id"))
+
+
+@op("gr03")
+def gr03(spark, sf):
+    """Relations between names of sentences."""
+    return G.relations(table(spark, sf, "sentences"), "hawaiiantext", "sentenceid")
+
+
+@op("gr04", f"SELECT src, dst, weight FROM {_EDGE} e")
+def gr04(spark, sf):
+    return edges(spark, sf)
+
+
+@op("gr05")
+def gr05(spark, sf):
+    """Names found at places: the AT and OF relations."""
+    return G.relations(table(spark, sf, "documents").where("title IS NOT NULL"), "title", "doc_id").where("relation IN ('AT', 'OF')")
+
+
+@op("gr06", f"SELECT (SELECT count(DISTINCT name) FROM {_MENTION} m) AS entities, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM {_EDGE} e) AS relations")
+def gr06(spark, sf):
+    m, e = mentions(spark, sf), edges(spark, sf)
+    one = m.agg(F.countDistinct("name").alias("entities"))
+    return one.crossJoin(F.broadcast(table(spark, sf, "documents").agg(F.count("*").alias("documents")))).crossJoin(F.broadcast(e.agg(F.count("*").alias("relations"))))
+
+
+@op("gr07", f"SELECT length(name) AS label, count(DISTINCT name) AS n FROM {_MENTION} m GROUP BY 1 ORDER BY n DESC, label LIMIT 20")
+def gr07(spark, sf):
+    return mentions(spark, sf).groupBy(F.length("name").alias("label")).agg(F.countDistinct("name").alias("n")).orderBy(F.desc("n"), "label").limit(20)
+
+
+@op("gr08", f"SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {_EDGE} e UNION ALL SELECT dst FROM {_EDGE} f) t GROUP BY 1 ORDER BY degree DESC, id LIMIT 20")
+def gr08(spark, sf):
+    return G.degree(edges(spark, sf)).orderBy(F.desc("degree"), "id").limit(20)
+
+
+@op("gr09", f"SELECT DISTINCT name AS id FROM {_MENTION} m WHERE name NOT IN (SELECT src FROM {_EDGE} e) AND name NOT IN (SELECT dst FROM {_EDGE} f)")
+def gr09(spark, sf):
+    return G.isolated(mentions(spark, sf).select(F.col("name").alias("id")).distinct(), edges(spark, sf))
+
+
+@op("gr10", f"SELECT d.doc_id, count(m.name) AS n FROM documents d LEFT JOIN {_MENTION} m ON m.doc_id=d.doc_id GROUP BY d.doc_id ORDER BY d.doc_id DESC LIMIT 25")
+def gr10(spark, sf):
+    """Recent documents and their mentions."""
+    d = table(spark, sf, "documents").select("doc_id").orderBy(F.desc("doc_id")).limit(25)
+    return d.join(mentions(spark, sf), "doc_id", "left").groupBy("doc_id").agg(F.count("name").alias("n"))
+
+
+@op("gr11", f"SELECT src, dst, weight FROM {_EDGE} e WHERE contains(lower(src),'hilo') OR contains(lower(dst),'hilo')")
+def gr11(spark, sf):
+    return edges(spark, sf).where(F.lower("src").contains("hilo") | F.lower("dst").contains("hilo"))
+
+
+@op("gr12", f"WITH b AS (SELECT src,dst FROM {_EDGE} e UNION SELECT dst,src FROM {_EDGE} f) SELECT src||'>'||dst AS path FROM b WHERE src='Kiwala' UNION ALL SELECT x.src||'>'||x.dst||'>'||y.dst FROM b x JOIN b y ON x.dst=y.src WHERE x.src='Kiwala' AND y.dst<>'Kiwala'")
+def gr12(spark, sf):
+    return G.two_hops(edges(spark, sf), "Kiwala")
+
+
+@op("gr13", f"SELECT name, count(*) AS n FROM {_MENTION} m GROUP BY 1 ORDER BY n DESC, name LIMIT 20 OFFSET 20")
+def gr13(spark, sf):
+    return mentions(spark, sf).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").offset(20).limit(20)
+
+
+@op("gr14", f"SELECT 'nodes' AS t, count(DISTINCT name) AS n FROM {_MENTION} m UNION ALL SELECT 'edges', count(*) FROM {_EDGE} e")
+def gr14(spark, sf):
+    return mentions(spark, sf).agg(F.lit("nodes").alias("t"), F.countDistinct("name").alias("n")).unionByName(edges(spark, sf).agg(F.lit("edges").alias("t"), F.count("*").alias("n")))
+
+
+@op("gr15")
+def gr15(spark, sf):
+    """A rebuild that leaves out texts under 20 bytes and documents done before."""
+    d = table(spark, sf, "documents").where(F.octet_length("text") >= 20)
+    done = d.where("medium = 'oral'").select("doc_id")
+    return G.entities(d.where("title IS NOT NULL").join(done, "doc_id", "left_anti"), "title", "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@op("gr16", f"SELECT name, CASE WHEN regexp_matches(name,'^Ka') THEN 'hawaiian' WHEN regexp_matches(name,'^(The|Every|One)$') THEN 'english' ELSE 'skip' END AS kind FROM (SELECT DISTINCT name FROM {_MENTION} m) t")
+def gr16(spark, sf):
+    k = F.when(F.col("name").rlike("^Ka"), "hawaiian").when(F.col("name").rlike("^(The|Every|One)$"), "english").otherwise("skip")
+    return mentions(spark, sf).select("name").distinct().select("name", k.alias("kind"))
+
+
+@op("sk17", f"SELECT md5(name) AS id, name, count(*) AS n FROM {_MENTION} m GROUP BY 1,2")
+def sk17(spark, sf):
+    """Nodes merged by id."""
+    return mentions(spark, sf).groupBy(F.md5("name").alias("id"), "name").agg(F.count("*").alias("n"))
+
+
+@op("sk18", f"SELECT src, 'CO_MENTIONED_WITH' AS rel, dst, weight FROM {_EDGE} e WHERE src<>'Ka' AND dst<>'Ka'")
+def sk18(spark, sf):
+    """Edges merged with weights; both ends must be nodes."""
+    n = mentions(spark, sf).where("name <> 'Ka'").select(F.col("name").alias("id")).distinct()
+    e = edges(spark, sf)
+    e = e.join(n.withColumnRenamed("id", "src"), "src", "left_semi").join(n.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return e.select("src", F.lit("CO_MENTIONED_WITH").alias("rel"), "dst", "weight")
+
+
+@op("sk19", f"SELECT doc_id, name FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS rn FROM {_MENTION} m) t WHERE rn<=25")
+def sk19(spark, sf):
+    """The first entities of each document."""
+    m = mentions(spark, sf)
+    return G.first_entities(m.select("doc_id", "name", F.col("name").alias("pos"), F.col("name").alias("id")), "doc_id", 25).select("doc_id", "name")

@@ -1,0 +1,120 @@
+"""HTML extraction (X)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kilohana.operators import html as X
+from kilohana.operators import rank as R
+from kilohana.registry import both, op
+from kilohana.session import table
+
+
+def pages(spark, sf):
+    return table(spark, sf, "contents").where("html IS NOT NULL").select("sourceid", "html")
+
+
+@op("x01")
+def x01(spark, sf):
+    """Blocks of a parsed page in order."""
+    return pages(spark, sf).select("sourceid", F.posexplode(X.paragraphs_udf("html")).alias("n", "block"))
+
+
+@op("x02", r"SELECT sourceid, length(regexp_replace(regexp_replace(html,'(?is)<script\b[^>]*>.*?</script\s*>','','g'),'(?is)<style\b[^>]*>.*?</style\s*>','','g')) AS n FROM contents WHERE html IS NOT NULL")
+def x02(spark, sf):
+    return pages(spark, sf).select("sourceid", F.length(X.drop_elements(F.col("html"), "script", "style")).alias("n"))
+
+
+@op("x03", r"""SELECT sourceid, md5(regexp_replace(html,'(href|src)="/','\1="http://site.example/','g')) AS h FROM contents WHERE html IS NOT NULL""")
+def x03(spark, sf):
+    return pages(spark, sf).select("sourceid", F.md5(X.absolute_links(F.col("html"), "http://site.example")).alias("h"))
+
+
+@op("x04")
+def x04(spark, sf):
+    """Paragraphs where there are any, else the whole page's blocks."""
+    p = F.filter(X.paragraphs_udf("html"), lambda x: F.length(x) > 40)
+    return pages(spark, sf).select("sourceid", F.size(p).alias("n"))
+
+
+@op("x05")
+def x05(spark, sf):
+    """The page's paragraphs joined by blank lines."""
+    return pages(spark, sf).select("sourceid", F.array_join(X.paragraphs_udf("html"), "\n\n").alias("text"))
+
+
+@op("x06", r"SELECT sourceid, regexp_extract(html,'(?is)<title>(.*?)</title>',1) AS title FROM contents WHERE html IS NOT NULL")
+def x06(spark, sf):
+    return pages(spark, sf).select("sourceid", X.title(F.col("html")).alias("title"))
+
+
+@op("x07", r"""SELECT DISTINCT unnest(regexp_extract_all(html,'href="([^"]+)"',1)) AS link FROM contents WHERE html IS NOT NULL""")
+def x07(spark, sf):
+    return pages(spark, sf).select(F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'))).alias("link")).distinct()
+
+
+both("x08", "SELECT sourceid, length(html) AS chars, length(text) AS text_chars, wordcount FROM {contents}", "contents")
+
+
+@op("x09", r"SELECT sourceid, array_to_string(list_filter(string_split(text,chr(10)), lambda x: trim(x)<>'' AND NOT regexp_matches(x,'^\s*(?:\(No text\)|Page \d+|[\d\s.,;:-]+|[IVXLCDM]+)\s*$')),chr(10)) AS t FROM contents WHERE text IS NOT NULL")
+def x09(spark, sf):
+    """Lines without page labels, figures and Roman numerals."""
+    keep = F.filter(F.split("text", "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*(?:\(No text\)|Page \d+|[\d\s.,;:-]+|[IVXLCDM]+)\s*$"))
+    return table(spark, sf, "contents").where("text IS NOT NULL").select("sourceid", F.array_join(keep, "\n").alias("t"))
+
+
+@op("x10")
+def x10(spark, sf):
+    """Article cards: link and its text, labels stripped."""
+    card = F.regexp_extract_all("html", F.lit(r'<a href="([^"]+)">([^<]+)</a>'), F.lit(0))
+    x = pages(spark, sf).select("sourceid", F.explode(card).alias("c"))
+    rx = r'<a href="([^"]+)">([^<]+)</a>'
+    return x.select("sourceid", F.regexp_extract("c", rx, 1).alias("url"), F.regexp_replace(F.regexp_extract("c", rx, 2), r"^(?:Column: |By na |By |Na )", "").alias("title"))
+
+
+@op("x11")
+def x11(spark, sf):
+    """Next links followed until none is new; each round is one join, the visited set leaves by anti-join, rounds are bounded."""
+    from kilohana.session import cut_lineage
+
+    nxt = table(spark, sf, "sources").select(F.col("sourceid").alias("src"), (F.col("sourceid") + 3).alias("dst")).distinct()
+    ids = nxt.select(F.col("src").alias("id")).distinct()
+    seen = front = ids.where("id < 1010")
+    for _ in range(4):
+        front = front.join(nxt, front["id"] == nxt["src"]).select(F.col("dst").alias("id")).distinct().join(ids, "id", "left_semi").join(seen, "id", "left_anti")
+        seen = cut_lineage(seen.unionByName(front))
+    return seen
+
+
+@op("x12", "SELECT doc_id, unnest(range(1,3)) AS page, link || '?page=' || unnest(range(1,3)) AS url FROM documents WHERE link IS NOT NULL")
+def x12(spark, sf):
+    """A document's pages as links."""
+    d = table(spark, sf, "documents").where("link IS NOT NULL").select("doc_id", "link", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("page"))
+    return d.select("doc_id", "page", F.concat("link", F.lit("?page="), F.col("page").cast("string")).alias("url"))
+
+
+@op("x13")
+def x13(spark, sf):
+    """Chapter text: doubled words before a number out, white space collapsed."""
+    t = F.regexp_replace(F.regexp_replace(X.strip_tags(F.col("html")), r"\b(\w+)\s+\1\s+\d+\b", " "), r"\s+", " ")
+    return pages(spark, sf).select("sourceid", F.trim(t).alias("t"))
+
+
+@op("x14", "SELECT sourcename, sourceid FROM (SELECT sourcename, sourceid, row_number() OVER (PARTITION BY sourcename ORDER BY sourceid, created NULLS FIRST) AS rn FROM sources WHERE date IS NOT NULL AND NOT contains(link,'pukehohonu')) t WHERE rn=1 ORDER BY sourceid LIMIT 200")
+def x14(spark, sf):
+    """A catalog: dated, not on the black list, first of a name, up to a limit."""
+    s = table(spark, sf, "sources").where("date IS NOT NULL AND NOT contains(link, 'pukehohonu')")
+    return R.first_per(s, "sourcename", "sourceid", "created").orderBy("sourceid").limit(200).select("sourcename", "sourceid")
+
+
+@op("x15", r"SELECT DISTINCT link, regexp_extract(link,'^https?://([^/]+)',1) AS host, regexp_extract(link,'([^/]+)$',1) AS base FROM sources WHERE link IS NOT NULL")
+def x15(spark, sf):
+    s = table(spark, sf, "sources").where("link IS NOT NULL").select("link").distinct()
+    return s.select("link", F.regexp_extract("link", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("link", r"([^/]+)$", 1).alias("base"))
+
+
+@op("x16")
+def x16(spark, sf):
+    """A page rendered to clean text."""
+    t = X.strip_tags(X.drop_elements(F.col("html"), "script", "style", "nav", "footer"))
+    return pages(spark, sf).select("sourceid", F.trim(F.regexp_replace(t, r"[ \t]+", " ")).alias("t"))

@@ -20,11 +20,12 @@ def pattern_sql(extra: str = "") -> str:
     out = []
     for t, s, rx in G.RULES:
         space = r"\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}"
-        d = rx.replace(r"[\w", r"[\p{L}\p{M}\p{N}_").replace("'", "''").replace(r"[\s", "[" + "\0").replace(r"\s", f"[{space}]").replace("\0", space)
+        word = r"0-9A-Za-z_\x{c0}-\x{24f}\x{2b0}-\x{36f}\x{370}-\x{52f}\x{200c}\x{200d}\x{3040}-\x{9fff}\x{ff10}-\x{ff5a}"
+        d = rx.replace(r"[\w", "[" + word).replace("'", "''").replace(r"[\s", "[" + "\0").replace(r"\s", f"[{space}]").replace("\0", space)
         if d.startswith(r"\b"):
-            d = r"(?:^|[^\p{L}\p{M}\p{N}_])" + d[2:]
+            d = f"(?:^|[^{word}])" + d[2:]
         if d.endswith(r"\b"):
-            d = d[:-2] + r"(?:$|[^\p{L}\p{M}\p{N}_])"
+            d = d[:-2] + f"(?:$|[^{word}])"
         out.append(f"SELECT sentenceid, sourceid, '{t}' AS pattern_type FROM sentences WHERE regexp_matches(hawaiiantext,'(?i){d}'){extra}")
     return "(" + " UNION ALL ".join(out) + ")"
 

@@ -76,7 +76,7 @@ def sk08(spark, sf):
     return M.update_columns(table(spark, sf, "documents").select("doc_id", "n_chars"), st, "doc_id", ["n_chars"])
 
 
-@op("sk09", f"SELECT DISTINCT sentenceid, pattern_type FROM {PATTERNS} p WHERE sentenceid NOT IN (SELECT sentenceid FROM {PATTERNS} q WHERE pattern_type='pepeke_henua') OR pattern_type<>'pepeke_henua'")
+@op("sk09", f"SELECT DISTINCT sentenceid, pattern_type FROM {PATTERNS} p WHERE pattern_type<>'pepeke_henua'")
 def sk09(spark, sf):
     """Patterns appended where the pair is new."""
     p = G.scan(table(spark, sf, "sentences")).select("sentenceid", "pattern_type")

@@ -1,0 +1,58 @@
+"""Incremental and streaming behaviour (SM)."""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from kilohana.operators import grammar as G
+from kilohana.registry import op
+from kilohana.session import table
+from kilohana.sources import readers
+from kilohana.streaming import incremental as I
+
+
+@op("sm01", "SELECT DISTINCT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM reading_labels)")
+def sm01(spark, sf):
+    """Rows that have no output yet."""
+    return I.missing(table(spark, sf, "documents").select("doc_id").distinct(), table(spark, sf, "reading_labels"), "doc_id")
+
+
+def _streamed(spark, sf, every=None):
+    """Sentences as a stream of files, scanned for patterns batch by batch; the checkpoint says what is done."""
+    base = os.path.join(readers.work_dir(spark), f"stream-{uuid.uuid4().hex}")
+    table(spark, sf, "sentences").select("sentenceid", "sourceid", "hawaiiantext").write.parquet(f"{base}/in")
+
+    def work(batch, n):
+        G.scan(batch).write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    I.stream_parquet(spark, f"{base}/in", "sentenceid long, sourceid long, hawaiiantext string", work, f"{base}/done").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@op("sm02")
+def sm02(spark, sf):
+    """Patterns of a stream with a checkpoint; a second run finds nothing new."""
+    return _streamed(spark, sf).groupBy("pattern_type").agg(F.count("*").alias("n"))
+
+
+@op("sm05", "SELECT operation_type, count(*) AS n FROM processing_log GROUP BY 1")
+def sm05(spark, sf):
+    """A count that is refreshed by running it again."""
+    return table(spark, sf, "processing_log").groupBy("operation_type").agg(F.count("*").alias("n"))
+
+
+@op("sm10")
+def sm10(spark, sf):
+    """One model per Python worker, batches through it."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+
+    def run(batches):
+        model = {"dims": 8}  # loaded once per task
+        for b in batches:
+            b["n"] = b["text"].map(lambda t: len(t or "") % model["dims"])
+            yield b[["doc_id", "n"]]
+
+    return d.mapInPandas(run, "doc_id long, n long")

@@ -97,13 +97,17 @@ class Index:
         self.slot: dict[str, int] = {}
         self.items = []
         canon_rows = []
+        self.short: list[tuple[int, int, str]] = []  # passages of fewer words than a window are looked for as they are
         for item, p in items:
             w = words(p or "")
-            if not w:
+            if len(w) < window:
+                if w:
+                    self.short.append((item, len(w), f" {' '.join(w)} "))
                 continue
             plain = np.array([self.ids.setdefault(x, len(self.ids) + 8) for x in w], dtype=np.int64)
             canon_rows.append(np.array([self._canon(x) for x in w], dtype=np.int64))
             self.items.append((item, plain))
+        self.length = np.array([len(p) for _, p in self.items], dtype=np.int64)
         pad = np.full(2 * RUN, -1, dtype=np.int64)
         self.start, flat = [], [pad]
         for _, plain in self.items:
@@ -159,15 +163,17 @@ class Index:
 
     def search(self, w: list[str], run: int = RUN, changed: float = CHANGED) -> list[tuple[int, int, int]]:
         """(item_id, words in the longest stretch, changed words in it) of each item that leaks."""
+        line = f" {' '.join(w)} " if self.short else ""
+        out = [(item, n, 0) for item, n, p in self.short if p in line]
         plain, canon = self.encode(w)
         h = self.hashes(canon)
         if not len(h) or not len(self.distinct):
-            return []
+            return out
         at = np.searchsorted(self.distinct, h)
         at[at == len(self.distinct)] = 0
         hit = np.nonzero(self.distinct[at] == h)[0]
-        if len(hit) < 2:
-            return []
+        if not len(hit):
+            return out
         c = self.count[at[hit]]
         first = self.first[at[hit]]
         total = int(c.sum())
@@ -178,7 +184,7 @@ class Index:
         # Diagonals with at least two windows; two changed words in RUN leave no fewer.
         key = item * (1 << 32) + (diag + (1 << 30))
         _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-        two = n[inv] >= 2
+        two = n[inv] >= np.where(self.length[item] > self.window, 2, 1)
         item, pos, doc, key = item[two], pos[two], doc[two], key[two]
         # Words that agree within RUN of each window, for all of them at once: a stretch needs its share in some run around it.
         off = np.arange(-(run - 1), run + self.window)
@@ -189,14 +195,14 @@ class Index:
             same = d2[(doc[b] + 2 * RUN)[:, None] + off] == self.flat[(self.start[item[b]] + pos[b])[:, None] + off]
             cs = np.zeros((len(same), same.shape[1] + 1), dtype=np.int16)
             np.cumsum(same, axis=1, out=cs[:, 1:])
-            good[b] = (cs[:, run:] - cs[:, :-run]).max(axis=1) >= run * (1 - changed)
+            good[b] = (cs[:, run:] - cs[:, :-run]).max(axis=1) >= np.minimum(run, self.length[item[b]]) * (1 - changed)
         best: dict[int, tuple[int, int]] = {}
         for x in np.unique(key[good]):
             i, d = int(x >> 32), int(x & 0xFFFFFFFF) - (1 << 30)
             length, bad = self._stretch(plain, i, d, run, changed)
             if length and length > best.get(i, (0, 0))[0]:
                 best[i] = (length, bad)
-        return [(self.items[i][0], a, b) for i, (a, b) in best.items()]
+        return out + [(self.items[i][0], a, b) for i, (a, b) in best.items()]
 
     def _stretch(self, plain: np.ndarray, i: int, d: int, run: int, changed: float) -> tuple[int, int]:
         """The longest stretch on a diagonal where words agree but for a changed one here and there: (words, changed)."""

@@ -186,10 +186,10 @@ def sk27(spark, sf):
 both("sk28", "SELECT sourceid FROM {contents} WHERE html IS NOT NULL", "contents", doc="Documents without a field deleted.")
 
 
-@op("sk29", "SELECT DISTINCT trim(line) AS line FROM (SELECT unnest(string_split(text,chr(10))) AS line FROM contents WHERE sourceid<1100) t WHERE strlen(trim(line))>=3")
+@op("sk29", "SELECT DISTINCT trim(line) AS line FROM (SELECT unnest(string_split(text,chr(10))) AS line FROM contents) t WHERE strlen(trim(line))>=3")
 def sk29(spark, sf):
     """Lines of a posted text become sentences."""
-    c = table(spark, sf, "contents").where("sourceid < 1100").select(F.explode(F.split("text", "\n")).alias("line"))
+    c = table(spark, sf, "contents").select(F.explode(F.split("text", "\n")).alias("line"))
     return c.select(F.trim("line").alias("line")).where(F.octet_length("line") >= 3).distinct()
 
 

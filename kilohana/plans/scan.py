@@ -47,10 +47,10 @@ def sc10(spark, sf):
     return table(spark, sf, "contents").where("html IS NOT NULL").select("sourceid", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'))).alias("href"))
 
 
-@op("sc11", r"""SELECT s.groupname, string_agg(c.text, chr(10) ORDER BY c.sourceid, c.text) AS body, count(*) AS pages FROM (SELECT DISTINCT sourceid, text FROM contents WHERE text IS NOT NULL) c JOIN (SELECT sourceid, max(groupname) AS groupname FROM sources GROUP BY 1) s ON s.sourceid=c.sourceid WHERE s.groupname IN ('pukehohonu','makanimalie') GROUP BY 1""")
+@op("sc11", r"""SELECT s.groupname, string_agg(c.text, chr(10) ORDER BY c.sourceid, c.text) AS body, count(*) AS pages FROM (SELECT DISTINCT sourceid, text FROM contents WHERE text IS NOT NULL) c JOIN (SELECT sourceid, max(groupname) AS groupname FROM sources GROUP BY 1) s ON s.sourceid=c.sourceid GROUP BY 1""")
 def sc11(spark, sf):
     """Pages of one work merged in order."""
-    s = table(spark, sf, "sources").groupBy("sourceid").agg(F.max("groupname").alias("groupname")).where("groupname IN ('pukehohonu','makanimalie')")
+    s = table(spark, sf, "sources").groupBy("sourceid").agg(F.max("groupname").alias("groupname"))
     c = table(spark, sf, "contents").where("text IS NOT NULL").select("sourceid", "text").distinct().join(s, "sourceid")
     parts = F.array_sort(F.collect_list(F.struct("sourceid", "text")))
     return c.groupBy("groupname").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("body"), F.count("*").alias("pages"))

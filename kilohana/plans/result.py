@@ -30,7 +30,7 @@ def rr01(spark, sf):
 
 @op("rr02", f"SELECT sentenceid, round(((0.40*{_QUAL}+0.60*{_LEN})*{_PEN})::DOUBLE,6) AS score FROM {SENTS}")
 def rr02(spark, sf):
-    return sents(spark, sf).select("sentenceid", F.round(R.inner_hit_score(F.col("sentenceid") % 7 / 7.0, F.col(H)), 5).alias("score"))
+    return sents(spark, sf).select("sentenceid", F.round(R.inner_hit_score(F.col("sentenceid") % 7 / 7.0, F.col(H)), 6).alias("score"))
 
 
 @op("rr03", f"SELECT sentenceid, round(({_QUAL}*{_LEN})::DOUBLE,5) AS score FROM {SENTS}")

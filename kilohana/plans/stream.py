@@ -56,3 +56,27 @@ def sm10(spark, sf):
             yield b[["doc_id", "n"]]
 
     return d.mapInPandas(run, "doc_id long, n long")
+
+
+@op("sm04")
+def sm04(spark, sf):
+    """A cache flushed by time: the stream runs on a processing-time trigger until its input is done, then stops."""
+    base = os.path.join(readers.work_dir(spark), f"flush-{uuid.uuid4().hex}")
+    table(spark, sf, "processing_log").select("log_id", "status").write.parquet(f"{base}/in")
+    q = I.stream_parquet(spark, f"{base}/in", "log_id long, status string", lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/done", every="1 second")
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.parquet(f"{base}/out").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@op("sm06", "SELECT DISTINCT sourceid FROM sentences ORDER BY sourceid LIMIT 30 OFFSET 60")
+def sm06(spark, sf):
+    """The third page of an endless list."""
+    return readers.offset_page(table(spark, sf, "sentences").select("sourceid").distinct(), ["sourceid"], 60, 30)
+
+
+@op("sm09", "SELECT sourceid, count(*) AS n FROM sentences GROUP BY 1")
+def sm09(spark, sf):
+    """One commit or none: written beside, counted, and only then given out."""
+    path = os.path.join(readers.work_dir(spark), f"commit-{uuid.uuid4().hex}")
+    return I.committed(table(spark, sf, "sentences").groupBy("sourceid").agg(F.count("*").alias("n")), path)

@@ -16,3 +16,16 @@ def stream_parquet(spark: SparkSession, path: str, schema: str, work: Callable[[
     """Start a query that hands each batch of new files to ``work``; with ``every`` it runs on, else it takes what is there and ends."""
     w = spark.readStream.schema(schema).parquet(path).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def committed(df: DataFrame, path: str) -> DataFrame:
+    """Write, read back and compare row counts; a mismatch raises and nothing is given out."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.observation import Observation
+
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    if out.count() != seen.get["n"]:
+        raise RuntimeError(f"{path}: written {seen.get['n']} rows, found {out.count()}")
+    return out

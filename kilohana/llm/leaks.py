@@ -6,6 +6,11 @@ document's windows are hash-joined with it. Windows that meet are gathered by it
 placeholder counts as the same word only where its slot holds the same value, and a value that is replaced must be replaced alike each time it comes.
 A leak is a stretch of at least ``RUN`` words of the passage, with a changed word here and there, or the whole passage where that is shorter.
 
+Windows reach every stretch with up to two changed words in ``RUN``. Those with more, up to ``CHANGED``, are seeded by the telling words (words of few
+passages) that stand at the same distance in both texts, wherever the changed words are; ``TELLING`` of them must agree, for among the words of all
+passages three in four agree by chance. A stretch begins and ends with a word that agrees or is a misreading of the passage's: another word there cannot
+be told from text that goes elsewhere.
+
 The evaluation set is the stated query set: it is checked against ``MAX_BLOCK`` passages a block and joined block by block, so no task holds more.
 Null or empty texts and passages hold nothing; repeated documents are each reported; ids that repeat in the evaluation set count once.
 """
@@ -29,6 +34,8 @@ WINDOW, RUN = 5, 16
 MAX_BLOCK = 2_000
 #: Share of changed words borne in a stretch.
 CHANGED = 0.25
+#: Telling words: those of at most this share of the passages (three at least); so many must agree in a stretch that windows don't show.
+TELL_SHARE, TELLING = 0.1, 3
 
 _FOLD = {ord(k): v for k, v in {**WIDE, **CONFUSABLE, **{s: " " for s in SPACES}}.items()}
 _FOLD |= {ord(c): None for c in INVISIBLE + OKINA_MARKS + "ʻ"}
@@ -87,6 +94,20 @@ def names_of(passages: list[str]) -> frozenset[str]:
     return frozenset(big - small)
 
 
+def alike(a: str, b: str) -> bool:
+    """Is one word a misreading of the other: but for one or two letters in a row the same?"""
+    n = min(len(a), len(b))
+    if n < 4 or abs(len(a) - len(b)) > 1:
+        return False
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    return max(len(a), len(b)) - i - j <= 2
+
+
 class Index:
     """The hashed template windows of a block of passages. Built once a task from the block's rows."""
 
@@ -96,6 +117,7 @@ class Index:
         self.ids: dict[str, int] = {}  # canonical or plain word to its number
         self.slot: dict[str, int] = {}
         self.items = []
+        self.words: list[list[str]] = []
         canon_rows = []
         self.short: list[tuple[int, int, str]] = []  # passages of fewer words than a window are looked for as they are
         for item, p in items:
@@ -107,6 +129,7 @@ class Index:
             plain = np.array([self.ids.setdefault(x, len(self.ids) + 8) for x in w], dtype=np.int64)
             canon_rows.append(np.array([self._canon(x) for x in w], dtype=np.int64))
             self.items.append((item, plain))
+            self.words.append(w)
         self.length = np.array([len(p) for _, p in self.items], dtype=np.int64)
         pad = np.full(2 * RUN, -1, dtype=np.int64)
         self.start, flat = [], [pad]
@@ -119,6 +142,19 @@ class Index:
         self.canon_of[1] = 1
         for x, k in self.ids.items():
             self.canon_of[k] = self._canon(x)
+        df = np.zeros(len(self.canon_of), dtype=np.int64)
+        for _, plain in self.items:
+            df[np.unique(plain)] += 1
+        self.telling = (df > 0) & (df <= max(3, int(TELL_SHARE * len(self.items))))
+        owner = np.repeat(np.arange(len(self.items)), self.length)
+        every = np.concatenate([x for _, x in self.items]) if self.items else np.zeros(0, np.int64)
+        place = np.arange(len(every)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        tell = np.flatnonzero(self.telling[every])
+        tell = tell[np.argsort(every[tell], kind="stable")]
+        # Item, diagonal and place in the document in one number, of a document that has the word at place 0.
+        self.tell_base = (owner[tell] << 51) + (((1 << 24) - place[tell]) << 25)
+        self.tell_count = np.bincount(every[tell], minlength=len(df))
+        self.tell_first = np.cumsum(self.tell_count) - self.tell_count
         keys, at_item, at_pos = [], [], []
         for k, c in enumerate(canon_rows):
             h = self.hashes(c)
@@ -166,14 +202,29 @@ class Index:
         line = f" {' '.join(w)} " if self.short else ""
         out = [(item, n, 0) for item, n, p in self.short if p in line]
         plain, canon = self.encode(w)
+        best: dict[int, tuple[int, int]] = {}
+        for x in self._by_windows(plain, canon, run, changed):
+            i, d = int(x >> 32), int(x & 0xFFFFFFFF) - (1 << 30)
+            length, bad = self._stretch(plain, i, d, run, changed)
+            if length and length > best.get(i, (0, 0))[0]:
+                best[i] = (length, bad)
+        for x in self._by_telling(plain, run, changed):
+            i, d = int(x >> 32), int(x & 0xFFFFFFFF) - (1 << 30)
+            length, bad = self._changed_stretch(w, plain, i, d, run, changed)
+            if length > best.get(i, (0, 0))[0]:
+                best[i] = (length, bad)
+        return out + [(self.items[i][0], a, b) for i, (a, b) in best.items()]
+
+    def _by_windows(self, plain: np.ndarray, canon: np.ndarray, run: int, changed: float) -> np.ndarray:
+        """Item and diagonal, in one number, where windows meet and enough words around them agree."""
         h = self.hashes(canon)
         if not len(h) or not len(self.distinct):
-            return out
+            return np.zeros(0, np.int64)
         at = np.searchsorted(self.distinct, h)
         at[at == len(self.distinct)] = 0
         hit = np.nonzero(self.distinct[at] == h)[0]
         if not len(hit):
-            return out
+            return np.zeros(0, np.int64)
         c = self.count[at[hit]]
         first = self.first[at[hit]]
         total = int(c.sum())
@@ -196,13 +247,61 @@ class Index:
             cs = np.zeros((len(same), same.shape[1] + 1), dtype=np.int16)
             np.cumsum(same, axis=1, out=cs[:, 1:])
             good[b] = (cs[:, run:] - cs[:, :-run]).max(axis=1) >= np.minimum(run, self.length[item[b]]) * (1 - changed)
-        best: dict[int, tuple[int, int]] = {}
-        for x in np.unique(key[good]):
-            i, d = int(x >> 32), int(x & 0xFFFFFFFF) - (1 << 30)
-            length, bad = self._stretch(plain, i, d, run, changed)
-            if length and length > best.get(i, (0, 0))[0]:
-                best[i] = (length, bad)
-        return out + [(self.items[i][0], a, b) for i, (a, b) in best.items()]
+        return np.unique(key[good])
+
+    def _by_telling(self, plain: np.ndarray, run: int, changed: float) -> np.ndarray:
+        """Item and diagonal, in one number, where TELLING telling words stand within two runs and enough words around them agree."""
+        c = self.tell_count[plain]
+        hit = np.flatnonzero(c)
+        if len(hit) < TELLING:
+            return np.zeros(0, np.int64)
+        c = c[hit]
+        total = int(c.sum())
+        doc = np.repeat(hit, c)
+        idx = np.repeat(self.tell_first[plain[hit]] - np.cumsum(c) + c, c) + np.arange(total)
+        all_ = np.sort(self.tell_base[idx] + doc * ((1 << 25) + 1))
+        more = TELLING - 1
+        x = all_[:-more][all_[more:] - all_[:-more] < 2 * run]
+        item, doc = x >> 51, x & ((1 << 25) - 1)
+        diag = ((x >> 25) & ((1 << 26) - 1)) - (1 << 24)
+        key, pos = item * (1 << 32) + (diag + (1 << 30)), doc - diag
+        if not len(key):
+            return key
+        off = np.arange(-(run - 1), 2 * run)
+        pad = np.full(2 * run, -2, np.int64)
+        d2 = np.concatenate([pad, plain, pad])
+        good = np.zeros(len(key), dtype=bool)
+        for a in range(0, len(key), 4096):
+            b = slice(a, a + 4096)
+            same = d2[(doc[b] + 2 * run)[:, None] + off] == self.flat[(self.start[item[b]] + pos[b])[:, None] + off]
+            cs = np.zeros((len(same), same.shape[1] + 1), dtype=np.int16)
+            np.cumsum(same, axis=1, out=cs[:, 1:])
+            # A stretch longer than a run may have more of its changed words in each run of it: two at most, and both ends may be misread.
+            good[b] = (cs[:, run:] - cs[:, :-run]).max(axis=1) >= np.minimum(run, self.length[item[b]]) * (1 - changed) - 4
+        return np.unique(key[good])
+
+    def _changed_stretch(self, w: list[str], plain: np.ndarray, i: int, d: int, run: int, changed: float) -> tuple[int, int]:
+        """The longest stretch on a diagonal of at most the share of changed words and enough telling ones: (words, changed)."""
+        p = self.items[i][1]
+        lo, hi = max(0, -d), min(len(p), len(plain) - d)
+        need = min(run, len(p))
+        if hi - lo < need:
+            return 0, 0
+        a = p[lo:hi]
+        same = a == plain[lo + d : hi + d]
+        tells = np.concatenate([[0], np.cumsum(same & self.telling[a])])
+        near = same.copy()
+        for k in np.flatnonzero(~same):
+            near[k] = alike(self.words[i][lo + k], w[lo + d + k])
+        # From s to t the share holds where e[t] >= e[s]; the least e so far gives the first s.
+        e = np.concatenate([[0.0], np.cumsum(near - (1.0 - changed))])
+        least = np.minimum.accumulate(np.where(near, e[:-1], np.inf))
+        best = (0, 0)
+        for t in np.flatnonzero(near[need - 1 :] & (e[need:] >= least[: len(near) - need + 1] - 1e-9)) + need:
+            s = int(np.argmax(least[: t - need + 1] <= e[t] + 1e-9))
+            if t - s > best[0] and tells[t] - tells[s] >= TELLING:
+                best = (int(t - s), int((~same[s:t]).sum()))
+        return best
 
     def _stretch(self, plain: np.ndarray, i: int, d: int, run: int, changed: float) -> tuple[int, int]:
         """The longest stretch on a diagonal where words agree but for a changed one here and there: (words, changed)."""

@@ -217,3 +217,16 @@ def test_consensus_and_grades():
     gr = reading.Grader(m)
     right = sum((gr.grade(t, "en")[0] > 3) == (labels[i][0][1] > 3) for i, _, t in rows[40:])
     assert right >= 19 and gr.grade("", "en") is None and gr.grade("x", "ja") is None
+
+
+def test_p9_changed_words_anywhere(spark):
+    rnd = random.Random(2)
+    passages = {i: [f"w{rnd.randrange(10**6):06d}".translate(str.maketrans("0123456789", "abcdefghij")) for _ in range(60)] for i in range(20)}
+    index = leaks.Index([(i, " ".join(p)) for i, p in passages.items()])
+    for n, bad in ((16, (1,)), (16, (4, 8, 12)), (16, (1, 14)), (16, (3, 6, 9, 12)), (18, (2, 15)), (20, (2, 7, 10, 14, 17)), (24, (8, 9, 11, 12, 14, 15))):
+        w = [f"zz{k}" if k in bad else x for k, x in enumerate(passages[3][20 : 20 + n])]
+        assert [r[0] for r in index.search(["ua"] * 9 + w + ["hele"] * 9)] == [3], (n, bad)
+    w = passages[5][20:36]
+    misread = [w[0][:3] + "q" + w[0][4:], *w[1:15], w[15][:2] + "q" + w[15][3:]]
+    assert [r[0] for r in index.search(["ua"] * 9 + misread + ["hele"] * 9)] == [5]
+    assert index.search(["ua"] * 9 + w[:15] + ["hele"] * 9) == [] and index.search(["ua"] * 9 + w[:12] + ["hele"] * 9) == []

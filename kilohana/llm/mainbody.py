@@ -1,9 +1,10 @@
 """Problem 7: the main body of a page.
 
 Composite text density: every DOM node gets its characters per tag, corrected by the share of link text; each node's sum of its children's densities is
-taken; the node with the largest sum is the body's container, and the least density on the path from <body> to it is the threshold for what stands in it.
+taken; the node with the largest sum is the body's container. The least density on the path from <body> to it is no threshold for the blocks in it here:
+headings, verses and short paragraphs lie below it as notices do, so it would take a fifth of the body's lines; cues decide among them instead.
 Siblings of one class stem, and the semantic containers nav, aside, header and footer, count as nodes of their own, so flat pages have sections to choose
-from. Blocks that pass are then read in order, and the lines that dense text cannot tell apart (bylines, dates, prompts, related titles with their
+from. Blocks of the container are then read in order, and the lines that dense text cannot tell apart (bylines, dates, prompts, related titles with their
 teasers, comments) leave by cue. A page without html is read as one flat node with a block for each line of ``text``.
 
 Null text gives no lines; null html falls back to the text; a page delivered twice counts once, the last one; empty pages have no body.
@@ -158,25 +159,20 @@ class Page:
         return d, total
 
     def marked(self) -> list[bool]:
-        """Of each block: does it stand in the selected subtree, at or above the path's threshold?"""
+        """Of each block: does it stand in the selected subtree, outside the semantic containers, and not as a link?"""
         if not self.blocks:
             return []
-        d, total = self.densities()
+        _, total = self.densities()
         n = len(self.parent)
         inside = [False] * n
         barred = [False] * n
         for i in range(1, n):
             barred[i] = barred[self.parent[i]] or self.tag[i] in OUTSIDE
         best = max((i for i in range(n) if not barred[i]), key=lambda i: (total[i], -i), default=0)
-        path, i = [], best
-        while i >= 0:
-            path.append(i)
-            i = self.parent[i]
-        threshold = min((d[i] for i in path if d[i] > 0), default=0.0)
         for i in range(n):
             inside[i] = i == best or (self.parent[i] >= 0 and inside[self.parent[i]])
-        # A flat page's largest section holds its paragraphs; a short block in the section passes with it, a linked one does not.
-        return [inside[node] and not barred[node] and share < 0.5 and (len(text) * (1 - share) >= 0 or d[node] >= threshold) for text, node, share in self.blocks]
+        # A short block in the section passes with it, a linked one does not.
+        return [inside[node] and not barred[node] and share < 0.5 for _, node, share in self.blocks]
 
 
 # Cues, in the corpus languages and English. Fixed values.

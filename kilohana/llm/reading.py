@@ -8,8 +8,10 @@ Hawaiian and English have a model each.
 Labels: raters differ in how often they err by a grade, so a document's grade is the mode of a posterior in which each rater's error rate is estimated from
 all labels together (a few rounds of expectation and maximisation). Training documents: those with labels, at most about ``TRAIN_DOCS`` (a hash picks them).
 
-Null texts, texts of fewer than ``MIN_WORDS`` words and texts in other or several languages get no grade here. Without labels in a language its documents
-get no grade. Ties go to the lower grade. Repeated label rows count once.
+``grades`` gives every document a row, with a null grade and its reason where there is none: null texts, texts without a sentence of three words, languages
+without labels. Scans are graded as rebuilt paragraphs; transcripts have no sentences and are cut into units of the labelled sentences' mean length, so
+length speaks neither way. Where several languages with labels stand in a document, each part is graded and the mean weighted by letters. ``found`` keeps
+typed documents of ``MIN_WORDS`` words in one language. Ties go to the lower grade. Repeated label rows count once.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import langid
-from .base import map_rows
+from . import langid, scans
+from .base import canon_lang, map_rows
 from .segment import Segmenter
 
 GRADES, DIM, TRAIN_DOCS, MIN_WORDS, FOLDS = 6, 8192, 1200, 80, 3
@@ -265,6 +267,10 @@ class Grader:
         self.hasher = Hasher()
         self.kept: dict[str, dict[str, np.ndarray]] = {k: {} for k in models}
 
+    def unit_words(self, lang: str) -> int:
+        """Mean words of a labelled sentence."""
+        return max(3, round(float(self.models[lang].sentence.mean[1]) * 20))
+
     def grade(self, text: str, lang: str) -> tuple[int, float] | None:
         """(grade, difficulty); None where the text has no sentences or its language no model."""
         m = self.models.get(lang)
@@ -304,8 +310,43 @@ def train(documents: DataFrame, labels: DataFrame, lm: langid.Model, most: int =
     return fit(langs, by)
 
 
-def grades(documents: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, lang, grade, difficulty) of typed documents in Hawaiian or English only."""
+TIME_MARK = re.compile(r"\[\d\d:\d\d:\d\d\]")
+
+
+def by_language(parts: list[tuple[str, str]], label: str | None) -> dict[str, str]:
+    """The text of each language of (language, paragraph), most letters first; paragraphs that tell none go with the first, else with the label's."""
+    weight: dict[str, int] = {}
+    for k, b in parts:
+        if k != "und":
+            weight[k] = weight.get(k, 0) + langid.letters(b)
+    order = sorted(weight, key=lambda k: (-weight[k], k)) or ([label] if label else [])
+    return {k: "\n\n".join(b for x, b in parts if x == k or x == "und" and k == order[0]) for k in order}
+
+
+def grade_document(grader: Grader, texts: dict[str, str], medium: str | None) -> tuple[str | None, int | None, float | None, str | None]:
+    """(lang, grade, difficulty, reason) of a document from its texts by language: the mean of what can be graded, weighted by letters."""
+    if not texts:
+        return None, None, None, "no language told"
+    main = next(iter(texts))
+    got = []
+    for k, t in texts.items():
+        if k in grader.models:
+            if medium == "oral":
+                w, n = t.split(), grader.unit_words(k)
+                t = "\n".join(" ".join(w[j : j + n]) for j in range(0, len(w), n))
+            if r := grader.grade(t, k):
+                got.append((max(1, langid.letters(t)), *r))
+    if not got:
+        return main, None, None, "no sentence of three words" if main in grader.models else "no labels in its language"
+    if len(got) == 1:
+        return main, got[0][1], got[0][2], None
+    total = sum(n for n, _, _ in got)
+    mean = sum(n * g for n, g, _ in got) / total
+    return main, int(np.ceil(mean - 0.5)), sum(n * d for n, _, d in got) / total, None
+
+
+def _graded(documents: DataFrame, labels: DataFrame, keep: str, min_words: int, whole: bool) -> DataFrame:
+    """grades() of the kept rows; whole: every row, else only those of enough words in one language with a model."""
     lm = langid.train(documents)
     models = train(documents, labels, lm)
     shared = documents.sparkSession.sparkContext.broadcast((lm, models))
@@ -315,20 +356,34 @@ def grades(documents: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS)
         grader, grams = Grader(models), langid.Grams()
 
         def flush(batch: list) -> Iterator[tuple]:
-            got = iter(lm.classify(grams, [langid.segment_words(b) for _, _, bs in batch for b in bs]))
-            for i, t, bs in batch:
-                lang = one_language([next(got) for _ in bs])
-                r = grader.grade(t, lang) if lang in models else None
-                if r:
-                    yield i, lang, r[0], r[1]
+            got = iter(lm.classify(grams, [langid.segment_words(b) for *_, bs in batch for b in bs]))
+            for i, t, medium, label, bs in batch:
+                parts = [next(got) for _ in bs]
+                lang = one_language(parts)
+                if lang and medium != "oral":
+                    r = grader.grade(t, lang) if lang in models else None
+                    if r:
+                        yield i, lang, r[0], r[1], None
+                    elif whole:
+                        yield i, lang, None, None, "no sentence of three words" if lang in models else "no labels in its language"
+                elif whole:
+                    yield i, *grade_document(grader, by_language([(k, b) for (k, _), b in zip(parts, bs)], canon_lang(label)), medium)
 
         def fn(rows: Iterator[tuple]) -> Iterator[tuple]:
             batch, n = [], 0
-            for i, t in rows:
-                if len(t.split()) < min_words:
+            for i, t, medium, title, label in rows:
+                if t is None or not t.strip():
+                    if whole:
+                        yield i, None, None, None, "no text"
+                    continue
+                if not whole and len(t.split()) < min_words:
                     continue
-                bs = langid.blocks(t, "typed")
-                batch.append((i, t, bs))
+                if medium == "scan":
+                    t = scans.rebuild(t, title, {})
+                elif medium == "oral":
+                    t = TIME_MARK.sub(" ", t)
+                bs = langid.blocks(t, "oral" if medium == "oral" else "typed")
+                batch.append((i, t, medium, label, bs))
                 n += len(bs)
                 if n >= langid.GROUP:
                     yield from flush(batch)
@@ -337,10 +392,15 @@ def grades(documents: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS)
 
         return fn
 
-    d = documents.where("medium = 'typed' AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return map_rows(d, make, "doc_id long, lang string, grade long, difficulty double")
+    d = documents.where("doc_id IS NOT NULL").where(keep).select("doc_id", "text", "medium", "title", "lang")
+    return map_rows(d, make, "doc_id long, lang string, grade long, difficulty double, reason string")
+
+
+def grades(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, grade, difficulty, reason) of every document; lang is the main language, reason says why there is no grade."""
+    return _graded(documents, labels, "true", 0, True)
 
 
-def found(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """p10_found: the grade of each document of enough words in one of the two languages."""
-    return grades(documents, labels).select("doc_id", "grade")
+def found(documents: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """p10_found: the grade of each typed document of enough words in one of the two languages."""
+    return _graded(documents, labels, "medium = 'typed' AND text IS NOT NULL", min_words, False).select("doc_id", "grade")

@@ -93,7 +93,7 @@ def p10_found(spark, sf):
 
 
 def p10_grades(spark, sf):
-    """Grade and difficulty, with the language, of every document that can be graded."""
+    """Grade and difficulty, with the language, of every document, or the reason why it has none."""
     return reading.grades(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 

@@ -230,3 +230,21 @@ def test_p9_changed_words_anywhere(spark):
     misread = [w[0][:3] + "q" + w[0][4:], *w[1:15], w[15][:2] + "q" + w[15][3:]]
     assert [r[0] for r in index.search(["ua"] * 9 + misread + ["hele"] * 9)] == [5]
     assert index.search(["ua"] * 9 + w[:15] + ["hele"] * 9) == [] and index.search(["ua"] * 9 + w[:12] + ["hele"] * 9) == []
+
+
+def test_p10_every_document_has_a_row(spark):
+    rnd = random.Random(6)
+    easy, hard = "the cat sat on a mat with his dog".split(), "notwithstanding the interpretation of jurisdiction and constitutional methodology although whereas".split()
+
+    def text(g, n=12):
+        return " ".join(" ".join(rnd.choice(easy if g == 1 else hard) for _ in range(7 if g == 1 else 25)).capitalize() + "." for _ in range(n))
+
+    rows = [(i, text(1 if i % 2 else 6), "en", "typed", "T") for i in range(40)]
+    haw, ja = "Ua hele ke keiki i ka hale nui o ke kaikamahine ma ka ʻāina.", "父は本を読みました。昨日の朝、母は島の話を聞きました。"
+    rows += [(100, text(6).replace(". ", ".\n"), "en", "scan", "T"), (101, "[00:00:01] " + text(6).lower().replace(".", " [00:00:09]"), "en", "oral", "T"), (102, text(6, 2), "en", "typed", "T"), (103, f"{text(6)}\n\n{haw * 3}", "en", "typed", "T"), (104, ja * 4, "ja", "typed", "T"), (105, None, None, "typed", None), (106, "", None, "scan", None)]
+    labels = spark.createDataFrame([(i, r, 1 if i % 2 else 6) for i in range(40) for r in "ab"], "doc_id long, rater string, grade long")
+    got = {r["doc_id"]: r for r in reading.grades(docs(spark, rows), labels).collect()}
+    assert sorted(got) == sorted(r[0] for r in rows)
+    assert all(got[k]["grade"] > 3 and got[k]["reason"] is None for k in (100, 101, 102, 103))
+    assert {k: got[k]["reason"] for k in (104, 105, 106)} == {104: "no labels in its language", 105: "no text", 106: "no text"}
+    assert {r["doc_id"] for r in reading.found(docs(spark, rows), labels).collect()} <= set(range(40))

@@ -168,10 +168,10 @@ def roles(text: str, title: str | None) -> list[str]:
             top = i in before and role[before[i]] == "pageno"
             if i in head_num or top or again[core] > 1 and len(core) > 3:
                 role[i] = "header"
-        known = [cores[i] for i in cores if role[i] == "header"]
+        known = list(dict.fromkeys(cores[i] for i in cores if role[i] == "header"))
         if known:
             for i, core in cores.items():
-                if role[i] == "text" and any(near(core, k, max(1, len(k) // 8)) for k in known[:4]):
+                if role[i] == "text" and any(near(core, k, max(1, len(k) // 8)) for k in known):
                     role[i] = "header"
     # Page numbers that stand alone: only where no other style is in use, in step with the pages.
     if not any(r == "pageno" for r in role):
@@ -288,22 +288,26 @@ def pass_one(documents: DataFrame) -> DataFrame:
 
 
 def lexicon(documents: DataFrame) -> DataFrame:
-    """(word, n): every word of letters in all documents, counted; each task counts before the shuffle."""
+    """(word, n, outside): every word of letters in all documents, counted, and how often it comes outside scans; each task counts before the shuffle."""
 
     def make():
         def fn(rows: Iterator[tuple]) -> Iterator[tuple]:
             c: Counter = Counter()
-            for (t,) in rows:
+            out: Counter = Counter()
+            for t, medium in rows:
                 if t:
-                    c.update(WORD.findall(t.lower()))
-                if len(c) > 500_000:
-                    yield from c.items()
+                    (c if medium == "scan" else out).update(WORD.findall(t.lower()))
+                if len(c) + len(out) > 500_000:
+                    yield from ((w, n, 0) for w, n in c.items())
+                    yield from ((w, n, n) for w, n in out.items())
                     c.clear()
-            yield from c.items()
+                    out.clear()
+            yield from ((w, n + out[w], out[w]) for w, n in c.items())
+            yield from ((w, n, n) for w, n in out.items() if w not in c)
 
         return fn
 
-    return map_rows(documents.select("text"), make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_rows(documents.select("text", "medium"), make, "word string, n long, outside long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
 
 
 def anagram(c) -> F.Column:
@@ -311,20 +315,21 @@ def anagram(c) -> F.Column:
     return F.aggregate(F.transform(F.split(c, ""), lambda x: F.pmod(F.xxhash64(x), F.lit(1 << 40))), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def corrections(lex: DataFrame, ratio: float = 10.0, rare: int = 200, least: int = 1) -> DataFrame:
+def corrections(lex: DataFrame, ratio: float = 10.0, outside: float = 0.5, least: int = 1) -> DataFrame:
     """(word, fixed, at): words that a known misreading turns into a far more frequent one, with the most frequent such word; at: characters before the misreading.
 
-    Far more frequent: at least ``ratio`` times, and the word itself comes at most twice and once more in ``rare`` occurrences of the other.
+    Far more frequent: at least ``ratio`` times; and the word's share outside scans is at most ``outside`` of the other's, for a word of its own comes in all
+    media. Both are shares, so a corpus of more rows of the same kind is judged alike.
     """
     spark = lex.sparkSession
     pairs = F.array(*[F.struct(F.lit(g).alias("good"), F.lit(b).alias("bad")) for g, b in PAIRS])
     w = lex.where(F.col("word").rlike(SUSPECT.pattern)).withColumn("p", F.explode(F.filter(pairs, lambda p: F.col("word").contains(p["bad"]))))
-    w = w.select("word", "n", F.col("p.good").alias("good"), F.col("p.bad").alias("bad"))
+    w = w.select("word", "n", "outside", F.col("p.good").alias("good"), F.col("p.bad").alias("bad"))
     table = spark.createDataFrame(PAIRS, "good string, bad string")
     delta = table.select("good", "bad", (anagram(F.col("good")) - anagram(F.col("bad"))).alias("d"))
-    w = w.join(F.broadcast(delta), ["good", "bad"]).select("word", "n", "good", "bad", (anagram(F.col("word")) + F.col("d")).alias("av"))
-    v = lex.where(F.col("n") >= least * ratio).select(anagram(F.col("word")).alias("av"), F.col("word").alias("fixed"), F.col("n").alias("m"))
-    j = w.join(v, "av").where((F.col("m") >= ratio * F.col("n")) & (F.col("n") <= 2 + F.col("m") / rare))
+    w = w.join(F.broadcast(delta), ["good", "bad"]).select("word", "n", "outside", "good", "bad", (anagram(F.col("word")) + F.col("d")).alias("av"))
+    v = lex.where(F.col("n") >= least * ratio).select(anagram(F.col("word")).alias("av"), F.col("word").alias("fixed"), F.col("n").alias("m"), F.col("outside").alias("m_outside"))
+    j = w.join(v, "av").where((F.col("m") >= ratio * F.col("n")) & (F.col("outside") * F.col("m") <= outside * F.col("n") * F.col("m_outside")))
     place = F.filter(
         F.sequence(F.lit(1), F.length("word")),
         lambda i: (F.substring(F.col("word"), i, F.length("bad")) == F.col("bad"))

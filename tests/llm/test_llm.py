@@ -248,3 +248,17 @@ def test_p10_every_document_has_a_row(spark):
     assert all(got[k]["grade"] > 3 and got[k]["reason"] is None for k in (100, 101, 102, 103))
     assert {k: got[k]["reason"] for k in (104, 105, 106)} == {104: "no labels in its language", 105: "no text", 106: "no text"}
     assert {r["doc_id"] for r in reading.found(docs(spark, rows), labels).collect()} <= set(range(40))
+
+
+def test_p2_words_are_judged_alike_at_any_size(spark):
+    lex = [("oil", 719, 540), ("cil", 19, 0), ("sa", 2523, 1900), ("fa", 21, 0), ("ma", 77927, 60000), ("ina", 1152, 1145), ("hale", 40, 30), ("halc", 1, 0)]
+    for times in (1, 10, 1000):
+        rows = spark.createDataFrame([(w, n * times, o * times) for w, n, o in lex], "word string, n long, outside long")
+        assert {tuple(r)[:2] for r in scans.corrections(rows).collect()} == {("cil", "oil"), ("fa", "sa"), ("halc", "hale")}, times
+
+
+def test_p2_all_known_headers():
+    names = ["HALE", "MAUNA", "KAHAWAI", "LOKO", "PUKA", "WAAPA"]
+    page = [f"[{k}]\n{n} KAHIKO\nUa hele ke keiki i ka hale." for k, n in enumerate(names, 11)]
+    text = "\n".join(page) + "\nUa hele.\nWAAPE KAHIKO\nUa noho ke keiki."
+    assert scans.roles(text, None)[text.split("\n").index("WAAPE KAHIKO")] == "header"

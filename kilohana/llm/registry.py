@@ -11,8 +11,8 @@ def p1_found(spark, sf):
 
 
 def p1_units(spark, sf):
-    """Every sentence unit of every document."""
-    return segment.sentence_units(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    """Every sentence unit of every document and sentence row."""
+    return segment.all_units(table(spark, sf, "documents"), table(spark, sf, "sentences"))
 
 
 def p2_found(spark, sf):

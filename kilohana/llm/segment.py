@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import LANG_NAMES, OKINA_MARKS, canon_lang, map_rows
+from .base import LANG_NAMES, OKINA_MARKS, canon_lang, latest, map_rows
 
 # Pieces of the expressions. OK: an okina in any of its marks. UP: what a new sentence can begin with.
 OK = "[ʻ" + re.escape(OKINA_MARKS) + "]"
@@ -199,6 +199,14 @@ def sentence_units(df: DataFrame, id_col: str, text_col: str, lang_col: str | No
     return map_rows(df.select(*cols), make, f"`{id_col}` {types[id_col]}, unit_no int, first_pos int, last_pos int, unit string")
 
 
+def all_units(documents: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(rec_table, rec_id, unit_no, first_pos, last_pos, unit): the units of every document and of the latest delivery of every sentence row."""
+    cols = ("unit_no", "first_pos", "last_pos", "unit")
+    d = sentence_units(documents, "doc_id", "text", "lang").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), *cols)
+    s = sentence_units(latest(sentences, "sentenceid", "hawaiiantext"), "sentenceid", "hawaiiantext")
+    return d.unionByName(s.select(F.lit("sentences").alias("rec_table"), F.col("sentenceid").alias("rec_id"), *cols))
+
+
 def found(documents: DataFrame, sentences: DataFrame) -> DataFrame:
     """p1_found: ends of the sentences that another one follows, in typed documents and in sentence rows (each id once)."""
     d = sentence_ends(documents.where("medium = 'typed'"), "doc_id", "text", "lang")

@@ -262,3 +262,16 @@ def test_p2_all_known_headers():
     page = [f"[{k}]\n{n} KAHIKO\nUa hele ke keiki i ka hale." for k, n in enumerate(names, 11)]
     text = "\n".join(page) + "\nUa hele.\nWAAPE KAHIKO\nUa noho ke keiki."
     assert scans.roles(text, None)[text.split("\n").index("WAAPE KAHIKO")] == "header"
+
+
+def test_p1_units_of_both_tables(spark):
+    from kilohana.llm import registry
+
+    s = sents(spark, [(1, 1, "A. Ua hele. He hale.", T0), (1, 1, "Ua hele. He hale.", T0 + dt.timedelta(1)), (2, 1, None, None)])
+    d = docs(spark, [(1, "Ua hele. He wai.", None, "typed", None), (2, None, None, "typed", None)])
+    old, registry.table = registry.table, lambda _, __, name: {"documents": d, "sentences": s}[name]
+    try:
+        got = sorted((r["rec_table"], r["rec_id"], r["unit_no"], r["unit"]) for r in registry.p1_units(spark, "").collect())
+    finally:
+        registry.table = old
+    assert got == [("documents", 1, 1, "Ua hele."), ("documents", 1, 2, "He wai."), ("sentences", 1, 1, "Ua hele."), ("sentences", 1, 2, "He hale.")]

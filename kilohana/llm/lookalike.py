@@ -9,27 +9,46 @@ Null texts stand in no class. Repeated rows of one id count once. Another case,
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import CONFUSABLE, INVISIBLE, OKINA_MARKS, SPACES, WIDE, latest
 
 _OKINA = "ʻ"
-_PAIRS = {**WIDE, **CONFUSABLE, **{s: " " for s in SPACES}, **{o: _OKINA for o in OKINA_MARKS}}
+#: Half-width kana and their marks; the voicing marks become combining ones.
+_HALF = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFA0)}
+_PAIRS = {**WIDE, **_HALF, **CONFUSABLE, **{s: " " for s in SPACES}, **{o: _OKINA for o in OKINA_MARKS}}
 #: Vowels and the macron forms they compose to.
 _MACRON = dict(zip("aeiouAEIOU", "āēīōūĀĒĪŌŪ"))
+#: Voiced kana by their parts.
+_VOICED = {unicodedata.normalize("NFD", chr(c)): chr(c) for c in range(0x3041, 0x30FF) if len(unicodedata.normalize("NFD", chr(c))) == 2}
+
+
+def _bases() -> dict[str, str]:
+    """Every composed character (but Hangul syllables) and the base letter of its canonical decomposition."""
+    out = {}
+    for c in [*range(0xA0, 0xAC00), *range(0xF900, 0x30000)]:
+        d = unicodedata.normalize("NFD", chr(c))
+        if d != chr(c) and all(unicodedata.category(x)[0] == "M" for x in d[1:]):
+            out[chr(c)] = d[0]
+    return out
+
+
+_BASES = _bases()
 
 
 def mapped(c: Column) -> Column:
-    """Every look-alike replaced; a combining macron stays for the collation to settle."""
+    """Every look-alike replaced; combining marks stay for the collation to settle."""
     return F.translate(c, "".join(_PAIRS) + INVISIBLE, "".join(_PAIRS.values()))
 
 
 def one_form(c: Column) -> Column:
     """The single stored form: mapped, and macrons composed."""
     e = mapped(c)
-    for a, b in _MACRON.items():
-        e = F.replace(e, F.lit(a + "̄"), F.lit(b))
+    for a, b in {**{a + "̄": b for a, b in _MACRON.items()}, **_VOICED}.items():
+        e = F.replace(e, F.lit(a), F.lit(b))
     return e
 
 
@@ -39,9 +58,11 @@ def simplify(c: Column) -> Column:
 
 
 def skeleton(c: Column) -> Column:
-    """A hash that is equal wherever the collation's classes are: mapped letters without macrons. It only narrows the rows that are collated."""
-    plain = "".join(_MACRON.values())
-    return F.xxhash64(F.translate(mapped(c), plain + "̄", "".join(_MACRON)))
+    """A hash that is equal wherever the collation's classes are: mapped letters without their marks. It only narrows the rows that are collated.
+
+    Not covered: Hangul syllables against their parts.
+    """
+    return F.xxhash64(F.regexp_replace(F.translate(mapped(c), "".join(_BASES), "".join(_BASES.values())), r"\p{M}+", ""))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:

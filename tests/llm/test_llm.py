@@ -275,3 +275,9 @@ def test_p1_units_of_both_tables(spark):
     finally:
         registry.table = old
     assert got == [("documents", 1, 1, "Ua hele."), ("documents", 1, 2, "He wai."), ("sentences", 1, 1, "Ua hele."), ("sentences", 1, 2, "He hale.")]
+
+
+def test_p4_other_accents_and_half_width_kana(spark):
+    texts = ["ke café nui", "ke café nui", "ke cafe nui", "São Paulo", "São Paulo", "ガイドのパン", "ｶﾞｲﾄﾞのﾊﾟﾝ"]
+    s = sents(spark, [(i, 1, t, T0) for i, t in enumerate(texts)])
+    assert {tuple(r) for r in lookalike.found(s).collect()} == {(0, 1), (3, 4), (5, 6)}

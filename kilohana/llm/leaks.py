@@ -3,7 +3,7 @@
 Template canonicalisation: words are folded (case, accents, okina marks, look-alike and wide forms, line-end hyphens), and numbers, months, units and the
 names of the evaluation set become typed placeholders. Windows of ``WINDOW`` canonical words of every evaluation passage are hashed into a table; every
 document's windows are hash-joined with it. Windows that meet are gathered by item and diagonal, and on each diagonal the words are compared in full: a
-placeholder counts as the same word only where its slot holds the same value, and a value that is replaced must be replaced alike each time it comes.
+placeholder counts as the same word only where its slot holds the same value. Any other value is a changed word, also one replaced alike each time it comes.
 A leak is a stretch of at least ``RUN`` words of the passage, with a changed word here and there, or the whole passage where that is shorter.
 
 Windows reach every stretch with up to two changed words in ``RUN``. Those with more, up to ``CHANGED``, are seeded by the telling words (words of few

@@ -1,11 +1,13 @@
 """Problem 7: the main body of a page.
 
 Composite text density: every DOM node gets its characters per tag, corrected by the share of link text; each node's sum of its children's densities is
-taken; the node with the largest sum is the body's container. The least density on the path from <body> to it is no threshold for the blocks in it here:
-headings, verses and short paragraphs lie below it as notices do, so it would take a fifth of the body's lines; cues decide among them instead.
-Siblings of one class stem, and the semantic containers nav, aside, header and footer, count as nodes of their own, so flat pages have sections to choose
-from. Blocks of the container are then read in order, and the lines that dense text cannot tell apart (bylines, dates, prompts, related titles with their
-teasers, comments) leave by cue. A page without html is read as one flat node with a block for each line of ``text``.
+taken; the node with the largest sum is selected, and so is the node with the largest sum of every other branch that is as dense as the threshold, the least
+density on the path from the first one to <body>. Siblings of one class stem, and the semantic containers nav, aside, header and footer, count as nodes of
+their own. A page that has neither is flat (its nesting is only what unclosed tags leave): its blocks are children of the body, and the run of blocks
+with the largest sum of densities above ``FLAT`` of the body's mean is selected. A page without html is read as a flat one with a block for each line.
+
+Lines that density can't tell from the story, since they stand in the same container (bylines, dates, prompts, related titles with their teasers, comments),
+then leave by cue, in order of the lines; the headline is the page's title standing alone.
 
 Null text gives no lines; null html falls back to the text; a page delivered twice counts once, the last one; empty pages have no body.
 """
@@ -29,8 +31,10 @@ VOID = set("br hr img input meta link area base col embed source track wbr".spli
 #: A new one of these ends an open one of the same kind.
 SELF_CLOSING = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 OUTSIDE = {"nav", "aside", "footer", "header", "form"}
-#: Class stems that name what is not the story; used only to break ties of density.
+SEMANTIC = {"nav", "aside", "footer", "article", "main"}
 WS = re.compile(r"\s+")
+#: Of a flat page's mean block density, what a block must exceed to add to the run.
+FLAT = 0.15
 
 
 class Page:
@@ -43,6 +47,14 @@ class Page:
         self.title = ""
         self._parse(source)
 
+    @classmethod
+    def of_lines(cls, lines: list[str]) -> Page:
+        """A flat page with a block for each line."""
+        page = cls("")
+        page.blocks = [(t, 0, 0.0) for t in (WS.sub(" ", x).strip() for x in lines) if t]
+        page.chars[0] = float(sum(len(t) for t, *_ in page.blocks))
+        return page
+
     def _node(self, tag: str, parent: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
@@ -131,6 +143,10 @@ class Page:
         flush()
         self.title = WS.sub(" ", _html.unescape(self.title)).strip()
 
+    def flat(self) -> bool:
+        """Has the page neither sections nor semantic containers? Then nesting is only what unclosed tags leave, and its blocks are children of the body."""
+        return not any(t.startswith(".") or t in SEMANTIC for t in self.tag)
+
     def densities(self) -> tuple[list[float], list[float]]:
         """Composite density of each node, and the sum over its children."""
         n = len(self.parent)
@@ -141,15 +157,8 @@ class Page:
             t[p] += t[i]
             lc[p] += lc[i]
             lt[p] += lt[i]
-        cb, lcb = max(1.0, c[0]), lc[0]
-        d = [0.0] * n
-        for i in range(n):
-            if c[i] <= 0:
-                continue
-            free = c[i] - lc[i]
-            base = math.log(c[i] / max(1.0, free) * lc[i] + lcb / cb * c[i] + math.e)
-            top = math.log(max(1.0001, c[i] / max(1.0, lc[i]) * max(1, t[i]) / max(1, lt[i])))
-            d[i] = c[i] / max(1, t[i]) * top / base
+        self.body = (max(1.0, c[0]), lc[0])
+        d = [self._density(c[i], t[i], lc[i], lt[i]) for i in range(n)]
         total = [0.0] * n
         for i in range(1, n):
             total[self.parent[i]] += d[i]
@@ -158,23 +167,71 @@ class Page:
             total[node] += len(text) * (1 - share) / 2
         return d, total
 
-    def marked(self) -> list[bool]:
-        """Of each block: does it stand in the selected subtree, outside the semantic containers, and not as a link?"""
+    def _density(self, c: float, t: float, lc: float, lt: float) -> float:
+        """Characters per tag, corrected by the links in them and in the whole body."""
+        if c <= 0:
+            return 0.0
+        cb, lcb = self.body
+        base = math.log(c / max(1.0, c - lc) * lc + lcb / cb * c + math.e)
+        top = math.log(max(1.0001, c / max(1.0, lc) * max(1, t) / max(1, lt)))
+        return c / max(1, t) * top / base
+
+    def selected(self, path: float = 1.0, flat: float = FLAT) -> list[bool]:
+        """Of each block: does it stand in what the densities select?
+
+        The node with the largest density sum is selected, and in every other branch as dense as the threshold, the least density on the path from the
+        first one to the body, the node with the largest sum there; ``path`` scales the threshold. Of a flat page, whose blocks are all children of one
+        node, the run of blocks with the largest sum of densities above the threshold is selected.
+        """
         if not self.blocks:
             return []
-        _, total = self.densities()
+        d, total = self.densities()
         n = len(self.parent)
-        inside = [False] * n
+        if self.flat():
+            link = sum(share > 0 for *_, share in self.blocks)
+            size = len(self.blocks)
+            threshold = flat * self._density(self.body[0] / size, 1, self.body[1] / size, link / size)
+            over = [self._density(len(t), 1, share * len(t), share > 0) - threshold for t, _, share in self.blocks]
+            lo, hi = best_run(over)
+            return [lo <= k < hi for k in range(len(over))]
         barred = [False] * n
         for i in range(1, n):
             barred[i] = barred[self.parent[i]] or self.tag[i] in OUTSIDE
-        best = max((i for i in range(n) if not barred[i]), key=lambda i: (total[i], -i), default=0)
-        for i in range(n):
-            inside[i] = i == best or (self.parent[i] >= 0 and inside[self.parent[i]])
-        # A short block in the section passes with it, a linked one does not.
+        # Nodes are numbered parents first, so one pass from the end gives the best of every branch.
+        top = list(range(n))
+        for i in range(n - 1, 0, -1):
+            p = self.parent[i]
+            if not barred[i] and (total[top[i]], -top[i]) > (total[top[p]], -top[p]):
+                top[p] = top[i]
+        best = top[0]
+        threshold, up = d[best], best
+        while self.parent[up] > 0:
+            up = self.parent[up]
+            threshold = min(threshold, d[up])
+        inside = [False] * n
+        inside[best] = True
+        for i in range(1, n):
+            if barred[i]:
+                continue
+            if inside[self.parent[i]]:
+                inside[i] = True
+            elif d[i] >= path * threshold and top[i] != best and total[top[i]] >= path * threshold:
+                inside[top[i]] = True
         return [inside[node] and not barred[node] and share < 0.5 for _, node, share in self.blocks]
 
 
+def best_run(over: list[float]) -> tuple[int, int]:
+    """The run of numbers with the largest sum, (first, behind last); the earliest of equal ones."""
+    best, lo, hi, cur, at = 0.0, 0, 0, 0.0, 0
+    for k, x in enumerate(over):
+        if cur <= 0:
+            cur, at = 0.0, k
+        cur += x
+        if cur > best:
+            best, lo, hi = cur, at, k + 1
+    return lo, hi
+
+
 # Cues, in the corpus languages and English. Fixed values.
 RELATED = re.compile(r"^(?:related(?: (?:stories|posts|articles))?|read (?:also|more|next)|see also|most read|popular this week|trending|you may also like|e heluhelu pū|nā mea like|nā mea (?:hou|e aʻe)|heluhelu hou)\s*:?$", re.I)
 INLINE = re.compile(r"^(?:see also|read (?:also|more|next)|related|e heluhelu pū|e nānā pū)\s*:?\s+\S", re.I)
@@ -191,7 +248,6 @@ MONTH = r"(?:ianuali|pepeluali|malaki|ʻ?apelila|mei|iune|iulai|ʻ?aukake|kepake
 DATELINE = re.compile(rf"^(?:updated|published|posted|hoʻopuka ʻia|paʻi ʻia|ua hoʻopuka ʻia)?\s*:?\s*(?:on |i ka lā )?(?:{MONTH}\s+\d{{1,2}}(?:,?\s+\d{{4}})?|\d{{1,2}}\s+(?:o\s+)?{MONTH},?\s+\d{{4}}|\d{{1,4}}[./-]\d{{1,2}}[./-]\d{{2,4}})(?:[,\s].{{0,14}})?$", re.I)
 NAME = r"[A-ZĀĒĪŌŪʻ][\wʻ'’.-]*"
 BYLINE = re.compile(rf"^(?:(?:[Bb]y|BY|Na|NA|Kākau ʻia e|Written by|Text by|Na ka)\s+(?:{NAME}(?:\s+(?:a me\s+|and\s+|&\s+)?{NAME}){{0,5}}|(?:ka\s+)?luna(?:\s\S+)?)|Kākau ʻia e ka luna\b.*|(?:ka luna|{NAME}(?:\s+{NAME}){{1,3}}), (?:luna kākau|editor|staff writer|ka mea kākau))$")
-TITLE_LIKE = re.compile(r"^(?:Ka|Ke|Nā|Na|KA|KE|NĀ|NA)\s+\S+\s+(?:ma|o|a me|MA|O|A ME)\s+\S+$|^(?:The|Every|One|THE|EVERY|ONE|A|AN?)\s+\S+(?:\s+[—:–-]\s+|\s+(?:of|at|and|in|OF|AT|AND|IN)\s+)\S+$")
 ENDED = re.compile(r"[.!?…。！？:,;][”\"’)\]」]*$")
 CRUMB = re.compile(r"\s(?:>|/|»|›)\s")
 
@@ -200,6 +256,16 @@ def _fold(s: str) -> str:
     return WS.sub(" ", s).strip().casefold()
 
 
+#: Words of a title at most.
+TITLE_WORDS = 8
+
+
+def title_shaped(s: str) -> bool:
+    """Few words without a final mark that are all capitals or end in a capitalised word, as titles do and running text, verses and list entries seldom."""
+    w = s.split()
+    return 2 <= len(w) <= TITLE_WORDS and not ENDED.search(s) and (s.isupper() or w[-1].lstrip("ʻ‘“\"'(")[:1].isupper() and w[0][:1].isupper())
+
+
 def _paragraph(s: str) -> bool:
     return len(s) >= 25 and bool(re.search(r"[.!?…。！？][”\"’)\]」]*$", s))
 
@@ -221,7 +287,7 @@ def read_lines(lines: list[str], mark: list[bool | None], title: str) -> list[bo
             kind.append("related")
         elif INLINE.match(u) and len(u) < 110 and not ENDED.search(u):
             kind.append("prompt")
-        elif PROMPT.search(u) and len(u) < 130 and (SURE.match(u) or not TEXTY.search(u)):
+        elif PROMPT.search(u) and len(u) < 130 and (PROMPT.match(u) or not TEXTY.search(u)):
             kind.append("prompt")
         elif DATELINE.match(u):
             kind.append("date")
@@ -261,7 +327,7 @@ def read_lines(lines: list[str], mark: list[bool | None], title: str) -> list[bo
                     own_listed = i
                 elif own < 0:
                     own = i
-            elif TITLE_LIKE.match(u) and mark[i] is not False:
+            elif title_shaped(u) and mark[i] is not False:
                 if state == "related":
                     listed = i
                 elif head < 0:
@@ -315,7 +381,7 @@ def read_lines(lines: list[str], mark: list[bool | None], title: str) -> list[bo
             elif TEASER.search(u):
                 state = ""
                 continue
-            elif TITLE_LIKE.match(u):
+            elif title_shaped(u):
                 listed += 1
                 continue
             else:
@@ -326,7 +392,6 @@ def read_lines(lines: list[str], mark: list[bool | None], title: str) -> list[bo
     return keep
 
 
-SURE = re.compile(r"^(?:e kākau inoa i ka leka|hoʻohana kēia kahua i nā kuki|we use cookies)", re.I)
 TEXTY = re.compile(r"\b(?:i ka|o ka|ma ka|ka mea|the \w+ \w+ed)\b")
 
 
@@ -345,29 +410,33 @@ def main_lines(html: str | None, text: str | None) -> list[int]:
     if html:
         page = Page(html)
         title = page.title
-        marks = page.marked()
         heads = [b[0] for b in page.blocks if page.tag[b[1]] == "h1"]
         if heads:
             title = heads[0]
         elif " - " in title:
             title = title.rsplit(" - ", 1)[0]
-        named = any(t.startswith(".") for t in page.tag)
-        semantic = any(t in ("nav", "aside", "footer", "article", "main") for t in page.tag)
-        # Blocks and lines run in the same order; a line takes the mark of the next block with its text.
-        at = 0
-        where: dict[str, list[int]] = {}
-        for k, (b, _, _) in enumerate(page.blocks):
-            where.setdefault(b, []).append(k)
-        for i, s in enumerate(lines):
-            u = WS.sub(" ", s).strip()
-            if not u:
-                continue
-            for k in where.get(u, ()):
-                if k >= at:
-                    at = k + 1
-                    # A flat page tells nothing for a block; sections and semantic containers do.
-                    mark[i] = marks[k] if named else (False if semantic and not marks[k] else None)
-                    break
+        # Sections tell for and against a block; semantic containers and the run of a flat page only against it.
+        sure = any(t.startswith(".") for t in page.tag)
+    else:
+        page, sure = Page.of_lines(lines), False
+    marks = page.selected()
+    first = marks.index(True) if page.flat() and True in marks else 0
+    # Blocks and lines run in the same order; a line takes the mark of the next block with its text.
+    at = 0
+    where: dict[str, list[int]] = {}
+    for k, (b, _, _) in enumerate(page.blocks):
+        where.setdefault(b, []).append(k)
+    for i, s in enumerate(lines):
+        u = WS.sub(" ", s).strip()
+        if not u:
+            continue
+        for k in where.get(u, ()):
+            if k >= at:
+                at = k + 1
+                mark[i] = (True if sure else None) if marks[k] else False
+                if not marks[k] and k < first and title_shaped(u):
+                    mark[i] = None  # the headline stands before the run
+                break
     return [i + 1 for i, k in enumerate(read_lines(lines, mark, title)) if k]
 
 

@@ -173,6 +173,17 @@ def test_main_lines():
     assert len(mainbody.main_lines(None, "He hale nui kēia o ka ʻāina.\n" * 3000)) >= 2999
 
 
+def test_density_threshold_decides():
+    page = mainbody.Page(HTML)
+    sel, every = page.selected(), page.selected(path=0.0)
+    text = [b for (b, _, _), k in zip(page.blocks, sel) if k]
+    assert text == ["Ka hale o Hilo", "Ua hele ke keiki i ka hale nui, a ua noho i laila."] and sum(every) > sum(sel)
+    para = "Ua hele ke keiki i ka hale nui, a ua noho i laila me nā kupuna o ke kula. "
+    flat = mainbody.Page.of_lines(["Home", "About", "Mele", para * 3, "Ka wai", para * 3, "Leka", "Kopi", "Hui"])
+    assert flat.flat() and flat.selected() == [False] * 3 + [True] * 3 + [False] * 3 and all(flat.selected(flat=0.0))
+    assert mainbody.best_run([]) == (0, 0) and mainbody.best_run([-1.0, 2.0, -1.0, 2.0, -3.0]) == (1, 4)
+
+
 # 8. packing
 
 

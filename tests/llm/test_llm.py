@@ -292,3 +292,28 @@ def test_p4_other_accents_and_half_width_kana(spark):
     texts = ["ke café nui", "ke café nui", "ke cafe nui", "São Paulo", "São Paulo", "ガイドのパン", "ｶﾞｲﾄﾞのﾊﾟﾝ"]
     s = sents(spark, [(i, 1, t, T0) for i, t in enumerate(texts)])
     assert {tuple(r) for r in lookalike.found(s).collect()} == {(0, 1), (3, 4), (5, 6)}
+
+
+def test_p4_narrowing_loses_no_canonical_pair(spark):
+    """Every composed character and its parts, alone and with a second mark: the pairs are those of brute-force normal forms."""
+    import unicodedata
+
+    texts = []
+    for c in [*range(0xA1, 0x250), *range(0x386, 0x3CF), *range(0x1E00, 0x1F00), 0xAC01, 0xD55C, 0x304C, 0xF900]:
+        d = unicodedata.normalize("NFD", chr(c))
+        if d != chr(c):
+            texts += [f"ka {chr(c)} {c}", f"ka {d} {c}"]
+    texts += ["ka 1", "ka \u0661", "ka \U0001d41a nui", "ka a nui", "ka\u200b hale", "ka hale"]
+    s = sents(spark, [(i, 1, t, T0) for i, t in enumerate(texts)])
+    by = {}
+    for i, t in enumerate(texts):
+        by.setdefault(unicodedata.normalize("NFD", t.replace("\u200b", "")), []).append(i)
+    assert {tuple(r) for r in lookalike.found(s).collect()} == {tuple(v) for v in by.values() if len(v) == 2}
+
+
+def test_p4_rows_of_one_text_in_a_hot_class(spark):
+    s = sents(spark, [(i, 1, "He nā lā" if i % 100 else "He na\u0304 lā", T0) for i in range(3000)])
+    assert lookalike.found(s).count() == 30 * 2970
+    tie = sents(spark, [(1, 1, "He nā lā", T0), (1, 1, "Ua hele", T0), (2, 1, "He na\u0304 lā", T0), (3, 1, "Ua\u00a0hele", T0)])
+    one = {r[0]: r[1] for r in lookalike.one_text(tie).collect()}
+    assert one[2] == "He nā lā" and one[3] == "Ua hele" and {tuple(r) for r in lookalike.found(tie).collect()} == {(1, 2 if one[1] == one[2] else 3)}

@@ -1,26 +1,29 @@
 """Problem 9: evaluation texts leaking into training text.
 
-Template canonicalisation: words are folded (case, accents, okina marks, look-alike and wide forms, line-end hyphens), and numbers, months, units and the
-names of the evaluation set become typed placeholders. Windows of ``WINDOW`` canonical words of every evaluation passage are hashed into a table; every
-document's windows are hash-joined with it. Windows that meet are gathered by item and diagonal, and on each diagonal the words are compared in full: a
-placeholder counts as the same word only where its slot holds the same value. Any other value is a changed word, also one replaced alike each time it comes.
-A leak is a stretch of at least ``RUN`` words of the passage, with a changed word here and there, or the whole passage where that is shorter.
+Template canonicalisation: words are folded (case, accents, okina marks, look-alike and wide forms, line-end hyphens), and numbers, months, units and names
+(the evaluation set's, and capitalised words of a document that no passage has) become typed placeholders. Windows of ``WINDOW`` canonical words of every
+evaluation passage are hashed into a table; every document's windows are hash-joined with it. Windows that meet are gathered by item and diagonal, and on
+each diagonal the words are compared in full: a word agrees where it is the same, a misreading, or a slot filled with another value of its type, if the two
+values stand for each other one to one all along the diagonal (slot consistency); any other word is changed. A leak is a stretch of at least ``RUN`` words of
+the passage, at most ``CHANGED`` of them changed, at least ``LITERAL`` the very words, or the whole passage where that is shorter.
 
 Windows reach every stretch with up to two changed words in ``RUN``. Those with more, up to ``CHANGED``, are seeded by the telling words (words of few
 passages) that stand at the same distance in both texts, wherever the changed words are; ``TELLING`` of them must agree, for among the words of all
 passages three in four agree by chance. A stretch begins and ends with a word that agrees or is a misreading of the passage's: another word there cannot
 be told from text that goes elsewhere.
 
-The evaluation set is the stated query set: it is checked against ``MAX_BLOCK`` passages a block and joined block by block, so no task holds more.
-Null or empty texts and passages hold nothing; repeated documents are each reported; ids that repeat in the evaluation set count once.
+The evaluation set is the stated query set: names and telling words are told from all of it, and it is met in blocks of ``MAX_BLOCK`` passages, so no hashed
+table holds more; the size of a block changes no result. Null or empty texts and passages hold nothing; repeated documents are each reported; ids that
+repeat in the evaluation set count once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +35,8 @@ from .base import CONFUSABLE, INVISIBLE, OKINA_MARKS, SPACES, WIDE, map_rows
 WINDOW, RUN = 5, 16
 #: Passages in one block of the query set.
 MAX_BLOCK = 2_000
+#: Blocks that one scan of the documents meets, each text cut into words once for all of them.
+BLOCKS_A_SCAN = 8
 #: Share of changed words borne in a stretch.
 CHANGED = 0.25
 #: Telling words: those of at most this share of the passages (three at least); so many must agree in a stretch that windows don't show.
@@ -51,12 +56,15 @@ _TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 _ODD = re.compile(r"[^\x00-\x7f]+")
 MONTHS = frozenset("ianuali pepeluali malaki apelila mei iune iulai aukake kepakemapa okakopa nowemapa kekemapa january february march april may june july august september october november december".split())
 UNITS = frozenset("kapuai iniha mile feet foot miles inches pounds yards acres hola dollars kenikeni paona eka".split())
-NUM, MONTH, UNIT, NAME = "0", "1", "2", "3"
+#: Types of slots, and their numbers among the words.
+NUM, MONTH, UNIT, NAME = 1, 2, 3, 4
+#: Share of a stretch with slots filled anew that must be the very words.
+LITERAL = 0.5
 
 
 def fold(text: str) -> str:
-    """Folded text: runs outside ASCII are mapped, the rest is only lower-cased."""
-    return text.lower() if text.isascii() else _ODD.sub(_fold_run, text).lower()
+    """Folded text in its case: runs outside ASCII are mapped."""
+    return text if text.isascii() else _ODD.sub(_fold_run, text)
 
 
 def _fold_run(m: re.Match, seen: dict = {}) -> str:  # noqa: B006
@@ -70,7 +78,7 @@ def _fold_run(m: re.Match, seen: dict = {}) -> str:  # noqa: B006
 
 
 def words(text: str, medium: str | None = None, title: str | None = None) -> list[str]:
-    """The folded words of a text; page furniture of scans and time marks of transcripts are left out."""
+    """The folded words of a text, in their case; page furniture of scans and time marks of transcripts are left out."""
     if medium == "scan":
         role = scans.roles(text, title)
         text = _INNER.sub("", "\n".join(ln for ln, r in zip(text.split("\n"), role) if r == "text"))
@@ -88,7 +96,7 @@ def names_of(passages: list[str]) -> frozenset[str]:
     for p in passages:
         for m in re.finditer(r"(?<![.!?“\"]\s)(?<!^)\b[^\W\d_][\wʻ'’]*", p or ""):
             w = m.group().lstrip("ʻ'‘’")
-            f = _TOKEN.findall(fold(w))
+            f = _TOKEN.findall(fold(w).lower())
             if len(f) == 1 and len(f[0]) > 2:
                 (big if w[:1].isupper() else small).add(f[0])
     return frozenset(big - small)
@@ -108,12 +116,37 @@ def alike(a: str, b: str) -> bool:
     return max(len(a), len(b)) - i - j <= 2
 
 
+@dataclass
+class Vocabulary:
+    """What is told from all passages of the query set together: their names, and the telling words."""
+
+    names: frozenset[str]
+    telling: frozenset[str]
+
+    @classmethod
+    def of(cls, passages: list[str]) -> Vocabulary:
+        df: Counter = Counter()
+        for p in passages:
+            df.update({x.lower() for x in words(p or "")})
+        most = max(3, int(TELL_SHARE * len(passages)))
+        return cls(names_of(passages), frozenset(x for x, n in df.items() if n <= most))
+
+
+def _in_runs(same: np.ndarray, run: int) -> np.ndarray:
+    """How many hold in each run of columns."""
+    c = np.zeros((len(same), same.shape[1] + 1), dtype=np.int16)
+    np.cumsum(same, axis=1, out=c[:, 1:])
+    return c[:, run:] - c[:, :-run]
+
+
 class Index:
     """The hashed template windows of a block of passages. Built once a task from the block's rows."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
-        self.window = window
-        self.names = names_of([p for _, p in items])
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, vocabulary: Vocabulary | None = None, slots: bool = True) -> None:
+        self.window, self.slots = window, slots
+        vocabulary = vocabulary or Vocabulary.of([p for _, p in items])
+        self.names = vocabulary.names
+        self.seen: dict[str, int] = {}  # words as they stand in documents, and their numbers
         self.ids: dict[str, int] = {}  # canonical or plain word to its number
         self.slot: dict[str, int] = {}
         self.items = []
@@ -121,7 +154,7 @@ class Index:
         canon_rows = []
         self.short: list[tuple[int, int, str]] = []  # passages of fewer words than a window are looked for as they are
         for item, p in items:
-            w = words(p or "")
+            w = [x.lower() for x in words(p or "")]
             if len(w) < window:
                 if w:
                     self.short.append((item, len(w), f" {' '.join(w)} "))
@@ -139,13 +172,13 @@ class Index:
         self.flat = np.concatenate(flat)
         self.start = np.array(self.start, dtype=np.int64)
         self.canon_of = np.zeros(len(self.ids) + 8, dtype=np.int64)
-        self.canon_of[1] = 1
+        self.canon_of[NUM : NAME + 1] = range(NUM, NAME + 1)
         for x, k in self.ids.items():
             self.canon_of[k] = self._canon(x)
-        df = np.zeros(len(self.canon_of), dtype=np.int64)
-        for _, plain in self.items:
-            df[np.unique(plain)] += 1
-        self.telling = (df > 0) & (df <= max(3, int(TELL_SHARE * len(self.items))))
+        self.flat_canon = np.where(self.flat >= 0, self.canon_of[self.flat], -1)
+        self.telling = np.zeros(len(self.canon_of), dtype=bool)
+        for x, k in self.ids.items():
+            self.telling[k] = x in vocabulary.telling
         owner = np.repeat(np.arange(len(self.items)), self.length)
         every = np.concatenate([x for _, x in self.items]) if self.items else np.zeros(0, np.int64)
         place = np.arange(len(every)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
@@ -153,7 +186,7 @@ class Index:
         tell = tell[np.argsort(every[tell], kind="stable")]
         # Item, diagonal and place in the document in one number, of a document that has the word at place 0.
         self.tell_base = (owner[tell] << 51) + (((1 << 24) - place[tell]) << 25)
-        self.tell_count = np.bincount(every[tell], minlength=len(df))
+        self.tell_count = np.bincount(every[tell], minlength=len(self.telling))
         self.tell_first = np.cumsum(self.tell_count) - self.tell_count
         keys, at_item, at_pos = [], [], []
         for k, c in enumerate(canon_rows):
@@ -168,16 +201,12 @@ class Index:
         self.at_pos = np.concatenate(at_pos)[order] if keys else key
         self.distinct, self.first, self.count = np.unique(self.key, return_index=True, return_counts=True)
 
+    def _kind(self, w: str) -> int:
+        """The type of the slot that a folded small word fills, 0 for none."""
+        return (NUM if w.isdigit() else MONTH if w in MONTHS else UNIT if w in UNITS else NAME if w in self.names else 0) if self.slots else 0
+
     def _canon(self, w: str) -> int:
-        if w.isdigit():
-            return 1
-        if w in MONTHS:
-            return 2
-        if w in UNITS:
-            return 3
-        if w in self.names:
-            return 4
-        return self.ids.setdefault(w, len(self.ids) + 8)
+        return self._kind(w) or self.ids.setdefault(w, len(self.ids) + 8)
 
     def hashes(self, c: np.ndarray) -> np.ndarray:
         """A 62-bit hash of every window."""
@@ -192,28 +221,41 @@ class Index:
         return (h >> np.uint64(2)).astype(np.int64)
 
     def encode(self, w: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(plain numbers, canonical numbers); a word unknown to the block is 0 in both, an unknown number is 1, its type."""
-        get = self.ids.get
-        plain = np.array([get(x) or (1 if x.isdigit() else 0) for x in w], dtype=np.int64)
+        """(plain numbers, canonical numbers) of a document's words.
+
+        A word that no passage has is 0 in both, but a number, a month, a unit or a capitalised word among them has its type's number.
+        """
+        seen = self.seen
+        if len(seen) > 500_000:
+            seen.clear()
+        get = seen.get
+        plain = np.array([k if (k := get(x)) is not None else self._number(x) for x in w], dtype=np.int64)
         return plain, self.canon_of[plain]
 
-    def search(self, w: list[str], run: int = RUN, changed: float = CHANGED) -> list[tuple[int, int, int]]:
-        """(item_id, words in the longest stretch, changed words in it) of each item that leaks."""
-        line = f" {' '.join(w)} " if self.short else ""
-        out = [(item, n, 0) for item, n, p in self.short if p in line]
+    def _number(self, word: str) -> int:
+        low = word.lower()
+        k = self.ids.get(low) or self._kind(low) or (NAME if self.slots and word[0].isupper() and word[1:].islower() else 0)
+        self.seen[word] = k
+        return k
+
+    def search(self, w: list[str], run: int = RUN, changed: float = CHANGED) -> list[tuple[int, int, int, int]]:
+        """(item_id, words in the longest stretch, changed words in it, of these slots filled anew but alike) of each item that leaks."""
+        line = f" {' '.join(w).lower()} " if self.short else ""
+        out = [(item, n, 0, 0) for item, n, p in self.short if p in line]
         plain, canon = self.encode(w)
-        best: dict[int, tuple[int, int]] = {}
-        for x in self._by_windows(plain, canon, run, changed):
+        best: dict[int, tuple[int, int, int]] = {}
+        seeds = self._by_windows(plain, canon, run, changed)
+        for x in seeds:
             i, d = int(x >> 32), int(x & 0xFFFFFFFF) - (1 << 30)
             length, bad = self._stretch(plain, i, d, run, changed)
-            if length and length > best.get(i, (0, 0))[0]:
-                best[i] = (length, bad)
-        for x in self._by_telling(plain, run, changed):
+            if length and length > best.get(i, (0, 0, 0))[0]:
+                best[i] = (length, bad, 0)
+        for x in np.union1d(seeds, self._by_telling(plain, canon, run, changed)):
             i, d = int(x >> 32), int(x & 0xFFFFFFFF) - (1 << 30)
-            length, bad = self._changed_stretch(w, plain, i, d, run, changed)
-            if length > best.get(i, (0, 0))[0]:
-                best[i] = (length, bad)
-        return out + [(self.items[i][0], a, b) for i, (a, b) in best.items()]
+            length, bad, slots = self._changed_stretch(w, plain, i, d, run, changed)
+            if length > best.get(i, (0, 0, 0))[0]:
+                best[i] = (length, bad, slots)
+        return out + [(self.items[i][0], *x) for i, x in best.items()]
 
     def _by_windows(self, plain: np.ndarray, canon: np.ndarray, run: int, changed: float) -> np.ndarray:
         """Item and diagonal, in one number, where windows meet and enough words around them agree."""
@@ -238,18 +280,29 @@ class Index:
         two = n[inv] >= np.where(self.length[item] > self.window, 2, 1)
         item, pos, doc, key = item[two], pos[two], doc[two], key[two]
         # Words that agree within RUN of each window, for all of them at once: a stretch needs its share in some run around it.
-        off = np.arange(-(run - 1), run + self.window)
-        d2 = np.concatenate([np.full(2 * RUN, -2, np.int64), plain, np.full(2 * RUN, -2, np.int64)])
+        return self._agreeing(key, item, pos, doc, np.arange(-(run - 1), run + self.window), plain, canon, run, 1 - changed, 0)
+
+    def _agreeing(self, key: np.ndarray, item: np.ndarray, pos: np.ndarray, doc: np.ndarray, off: np.ndarray, plain: np.ndarray, canon: np.ndarray, run: int, share: float, less: int) -> np.ndarray:
+        """The distinct keys around whose places some run holds its share of the very words, less ``less``, or of canonical words with ``LITERAL`` very ones."""
+        pad = np.full(2 * RUN, -2, np.int64)
+        text, typed = np.concatenate([pad, plain, pad]), np.concatenate([pad, canon, pad])
         good = np.zeros(len(key), dtype=bool)
         for a in range(0, len(key), 4096):
             b = slice(a, a + 4096)
-            same = d2[(doc[b] + 2 * RUN)[:, None] + off] == self.flat[(self.start[item[b]] + pos[b])[:, None] + off]
-            cs = np.zeros((len(same), same.shape[1] + 1), dtype=np.int16)
-            np.cumsum(same, axis=1, out=cs[:, 1:])
-            good[b] = (cs[:, run:] - cs[:, :-run]).max(axis=1) >= np.minimum(run, self.length[item[b]]) * (1 - changed)
+            at, of = (doc[b] + 2 * RUN)[:, None] + off, (self.start[item[b]] + pos[b])[:, None] + off
+            need = np.minimum(run, self.length[item[b]])[:, None]
+            same = text[at] == self.flat[of]
+            n = _in_runs(same, run)
+            hit = (n >= need * share - less).any(axis=1)
+            # With slots filled anew: fewer of the very words, but two telling ones among them.
+            some = np.flatnonzero(~hit & (n >= need * LITERAL - less / 2).any(axis=1)) if self.slots else ()
+            if len(some):
+                tells = _in_runs(same[some] & self.telling[text[at[some]]], run) >= 2
+                hit[some] = (tells & (n[some] >= need[some] * LITERAL - less / 2) & (_in_runs(typed[at[some]] == self.flat_canon[of[some]], run) >= need[some] * share - less / 2)).any(axis=1)
+            good[b] = hit
         return np.unique(key[good])
 
-    def _by_telling(self, plain: np.ndarray, run: int, changed: float) -> np.ndarray:
+    def _by_telling(self, plain: np.ndarray, canon: np.ndarray, run: int, changed: float) -> np.ndarray:
         """Item and diagonal, in one number, where TELLING telling words stand within two runs and enough words around them agree."""
         c = self.tell_count[plain]
         hit = np.flatnonzero(c)
@@ -267,40 +320,51 @@ class Index:
         key, pos = item * (1 << 32) + (diag + (1 << 30)), doc - diag
         if not len(key):
             return key
-        off = np.arange(-(run - 1), 2 * run)
-        pad = np.full(2 * run, -2, np.int64)
-        d2 = np.concatenate([pad, plain, pad])
-        good = np.zeros(len(key), dtype=bool)
-        for a in range(0, len(key), 4096):
-            b = slice(a, a + 4096)
-            same = d2[(doc[b] + 2 * run)[:, None] + off] == self.flat[(self.start[item[b]] + pos[b])[:, None] + off]
-            cs = np.zeros((len(same), same.shape[1] + 1), dtype=np.int16)
-            np.cumsum(same, axis=1, out=cs[:, 1:])
-            # A stretch longer than a run may have more of its changed words in each run of it: two at most, and both ends may be misread.
-            good[b] = (cs[:, run:] - cs[:, :-run]).max(axis=1) >= np.minimum(run, self.length[item[b]]) * (1 - changed) - 4
-        return np.unique(key[good])
+        # A stretch longer than a run may have more of its changed words in each run of it: two at most, and both ends may be misread.
+        return self._agreeing(key, item, pos, doc, np.arange(-(run - 1), 2 * run), plain, canon, run, 1 - changed, 4)
 
-    def _changed_stretch(self, w: list[str], plain: np.ndarray, i: int, d: int, run: int, changed: float) -> tuple[int, int]:
-        """The longest stretch on a diagonal of at most the share of changed words and enough telling ones: (words, changed)."""
+    def _changed_stretch(self, w: list[str], plain: np.ndarray, i: int, d: int, run: int, changed: float) -> tuple[int, int, int]:
+        """The longest stretch on a diagonal of at most the share of changed words and enough telling ones: (words, changed, slots among these).
+
+        A slot filled with another value of its type counts as agreeing where its values stand for each other one to one all along the diagonal; ``LITERAL``
+        of a stretch with such slots must be the very words.
+        """
         p = self.items[i][1]
         lo, hi = max(0, -d), min(len(p), len(plain) - d)
         need = min(run, len(p))
         if hi - lo < need:
-            return 0, 0
-        a = p[lo:hi]
-        same = a == plain[lo + d : hi + d]
+            return 0, 0, 0
+        a, b = p[lo:hi], plain[lo + d : hi + d]
+        same = a == b
         tells = np.concatenate([[0], np.cumsum(same & self.telling[a])])
         near = same.copy()
-        for k in np.flatnonzero(~same):
-            near[k] = alike(self.words[i][lo + k], w[lo + d + k])
+        slot = np.zeros(len(a), dtype=bool)
+        ca = self.canon_of[a]
+        filled = np.flatnonzero(~same & (ca <= NAME) & (ca > 0) & (ca == self.canon_of[b]))
+        own, doc = self.words[i][lo:hi], w[lo + d : hi + d]
+        if len(filled):
+            # A value keeps its slot where it has one counterpart, and that one no other, also not itself.
+            of: dict[str, set[str]] = {}
+            by: dict[str, set[str]] = {}
+            at = [(k, own[k], doc[k].lower()) for k in filled.tolist()]
+            for x, y in [(own[k], own[k]) for k in np.flatnonzero(same & (ca <= NAME) & (ca > 0)).tolist()] + [(x, y) for _, x, y in at]:
+                of.setdefault(x, set()).add(y)
+                by.setdefault(y, set()).add(x)
+            slot[[k for k, x, y in at if len(of[x]) == 1 and len(by[y]) == 1]] = True
+            near |= slot
+        for k in np.flatnonzero(~near).tolist():
+            x, y = own[k], doc[k]
+            if len(x) > 3 and -2 < len(x) - len(y) < 2:
+                near[k] = alike(x, y.lower())
+        literal = np.concatenate([[0], np.cumsum(near & ~slot)])
         # From s to t the share holds where e[t] >= e[s]; the least e so far gives the first s.
         e = np.concatenate([[0.0], np.cumsum(near - (1.0 - changed))])
         least = np.minimum.accumulate(np.where(near, e[:-1], np.inf))
-        best = (0, 0)
+        best = (0, 0, 0)
         for t in np.flatnonzero(near[need - 1 :] & (e[need:] >= least[: len(near) - need + 1] - 1e-9)) + need:
             s = int(np.argmax(least[: t - need + 1] <= e[t] + 1e-9))
-            if t - s > best[0] and tells[t] - tells[s] >= TELLING:
-                best = (int(t - s), int((~same[s:t]).sum()))
+            if t - s > best[0] and tells[t] - tells[s] >= TELLING and literal[t] - literal[s] >= LITERAL * (t - s):
+                best = (int(t - s), int((~same[s:t]).sum()), int(slot[s:t].sum()))
         return best
 
     def _stretch(self, plain: np.ndarray, i: int, d: int, run: int, changed: float) -> tuple[int, int]:
@@ -339,22 +403,31 @@ def blocks_of(items: DataFrame, size: int = MAX_BLOCK) -> list[list[tuple[int, s
     return [[(r[0], r[1]) for r in rows[k : k + size]] for k in range(0, len(rows), size)]
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, words, changed): every document and item where the document holds the passage or a stretch of it."""
+def leaks(documents: DataFrame, items: DataFrame, slots: bool = True) -> DataFrame:
+    """(doc_id, item_id, words, changed, slots): every document and item where the document holds the passage or a stretch of it.
+
+    changed: words of the stretch that differ; slots: those of them that are slots filled anew, one value for another all along. ``slots=False`` leaves
+    placeholders and slots out.
+    """
     sc = documents.sparkSession.sparkContext
     d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "medium", "title")
-    schema = "doc_id long, item_id long, words int, changed int"
+    schema = "doc_id long, item_id long, words int, changed int, slots int"
+    blocks = blocks_of(items)
+    vocabulary = Vocabulary.of([p for b in blocks for _, p in b])
     out = None
-    for block in blocks_of(items):
-        shared = sc.broadcast(block)
+    for k in range(0, len(blocks), BLOCKS_A_SCAN):
+        shared = sc.broadcast((vocabulary, blocks[k : k + BLOCKS_A_SCAN]))
 
         def make(shared=shared):
-            index = Index(shared.value)
+            voc, several = shared.value
+            indexes = [Index(b, vocabulary=voc, slots=slots) for b in several]
 
             def fn(rows: Iterator[tuple]) -> Iterator[tuple]:
                 for i, t, medium, title in rows:
-                    for item, n, bad in index.search(words(t, medium, title)):
-                        yield i, item, n, bad
+                    w = words(t, medium, title)
+                    for index in indexes:
+                        for x in index.search(w):
+                            yield i, *x
 
             return fn
 

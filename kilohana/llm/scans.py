@@ -96,8 +96,8 @@ def number(s: str) -> int | None:
 
 
 def _caps(s: str) -> bool:
-    up, low = sum(c.isupper() for c in s), sum(c.islower() for c in s)
-    return up >= 3 and up >= 3 * low
+    up = sum(map(str.isupper, s))
+    return up >= 3 and up >= 3 * sum(map(str.islower, s))
 
 
 SPECKS = "*.,|·•'"

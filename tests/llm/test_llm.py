@@ -317,3 +317,33 @@ def test_p4_rows_of_one_text_in_a_hot_class(spark):
     tie = sents(spark, [(1, 1, "He nā lā", T0), (1, 1, "Ua hele", T0), (2, 1, "He na\u0304 lā", T0), (3, 1, "Ua\u00a0hele", T0)])
     one = {r[0]: r[1] for r in lookalike.one_text(tie).collect()}
     assert one[2] == "He nā lā" and one[3] == "Ua hele" and {tuple(r) for r in lookalike.found(tie).collect()} == {(1, 2 if one[1] == one[2] else 3)}
+
+
+def test_p9_slots_filled_anew_alike(spark):
+    passage = "The merchant Kalani sold 48 lanterns to Hilina on 3 October while Kalani kept 48 ropes for Hilina, so Kalani and Hilina weighed 48 barrels, and 48 more with Hilina."
+    other = ["the governor spoke of rain and of the long road to the mountain church that day", "a teacher read one letter about whales to her patient class after the noon bell"]
+    items = spark.createDataFrame([(1, "x", "Read the passage and answer the question.", passage), (2, "x", "p", other[0]), (3, "x", "p", other[1])], "item_id long, suite string, prompt string, passage string")
+
+    def fill(*values):
+        t = passage
+        for old, new in zip(("Kalani", "48", "Hilina", "3 October"), values):
+            t = t.replace(old, new)
+        return t
+
+    alike = fill("Mapuana", "75", "Wailele", "9 March")
+    torn = alike.replace("Mapuana kept 75 ropes for Wailele", "Nohea kept 61 ropes for Kapono").replace("weighed 75", "weighed 22")
+    d = docs(spark, [(1, "Long ago. " + alike, None, "typed", None), (2, torn, None, "typed", None), (3, "Read the passage and answer the question. Ua hele.", None, "typed", None)])
+    got = {tuple(r) for r in leaks.leaks(d, items).select("doc_id", "item_id").collect()}
+    assert got == {(1, 1)}
+    assert leaks.leaks(d, items).where("doc_id = 1").first()["slots"] >= 7
+    assert leaks.leaks(d, items, slots=False).count() == 0
+
+
+def test_p9_blocks_do_not_change_the_result(spark, monkeypatch):
+    rnd = random.Random(4)
+    ps = [" ".join(f"w{rnd.randrange(400)}x" for _ in range(40)) for _ in range(23)]
+    items = spark.createDataFrame([(i, "x", "p", p) for i, p in enumerate(ps)], "item_id long, suite string, prompt string, passage string")
+    d = docs(spark, [(i, "ua " + " ".join(p.split()[5:30]), None, "typed", None) for i, p in enumerate(ps)])
+    whole = {tuple(r) for r in leaks.leaks(d, items).collect()}
+    monkeypatch.setattr(leaks, "blocks_of", lambda items, f=leaks.blocks_of: f(items, 2))
+    assert {tuple(r) for r in leaks.leaks(d, items).collect()} == whole and len(whole) >= 23

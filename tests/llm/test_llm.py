@@ -198,6 +198,25 @@ def test_packing(spark):
     assert packing.pack(p.limit(0), "id").count() == 0
 
 
+def test_packing_cuts_only_above_the_capacity(spark):
+    rows = [(1, 2045, 2045), (2, 2048, 2048), (3, 2049, 2040), (4, 0, 0), (5, 5000, 4990)]
+    got = {(r["id"], r["piece_no"]): (r["n_tokens"], r["n_loss"]) for r in packing.cut_items(spark.createDataFrame(rows, "id long, n_tokens int, n_loss int"), "id", 2048, 2040).collect()}
+    assert got == {(1, 1): (2045, 2040), (2, 1): (2048, 2040), (3, 1): (2048, 2039), (3, 2): (1, 1), (4, 1): (0, 0), (5, 1): (2048, 2038), (5, 2): (2048, 2040), (5, 3): (904, 904)}
+
+
+def test_packing_loss_marks_limits_and_shards(spark):
+    assert packing.prompt_parts("KA HALE\n\nUa hele.") == ["KA HALE\n"] and packing.prompt_parts("Ua hele.\nUa noho.") == [] and packing.prompt_parts("KA HALE") == []
+    assert packing.prompt_parts("[00:00:01] ua hele [00:01:09] ua noho") == ["[00:00:01]", "[00:01:09]"]
+    d = docs(spark, [(i, "KA HALE O KALANI\n\n" + "Ua hele ke keiki i ka hale nui. " * (i % 60 + 1), None, "typed", None) for i in range(600)] + [(1000, None, None, "typed", None), (1001, "", None, "typed", None)])
+    out = packing.documents_packed(d, 512, 4, 500).cache()
+    ids = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+    assert ids.count() == 601 and ids.where("t <= 512 AND n > 1").count() == 0
+    g = out.groupBy("container").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"), F.sum("n_loss").alias("l"))
+    assert g.where("t > 512 OR s > 4 OR l > 500").count() == 0
+    r = packing.report(out, 512, 4, 500).first()
+    assert r["filled"] > 0.95 and r["pieces"] == out.count()
+
+
 # 9. leaks
 
 

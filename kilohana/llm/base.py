@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kilohana.session import table
 
-__all__ = ["CONFUSABLE", "INVISIBLE", "LANG_NAMES", "SPACES", "canon_lang", "latest", "map_rows", "table"]
+__all__ = ["CONFUSABLE", "INVISIBLE", "LANG_NAMES", "SPACES", "URL", "URL_HINT", "canon_lang", "latest", "map_rows", "table"]
+
+#: Addresses of sites and pages, with or without their scheme. The hint stands in every one of them and is quick to look for.
+URL = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b(?:/\S*)?")
+URL_HINT = re.compile(r"\.[a-z]{2}|://")
 
 #: Rows given on in one Arrow batch.
 OUT_ROWS = 20_000

@@ -2,10 +2,10 @@
 
 Nearest-centroid classification. A segment's words give character n-grams (1 to 4, with word ends) and the words themselves, hashed to ``DIM`` numbers,
 weighted by inverse document frequency and normalised. Each language has up to ``CLUSTERS`` centroids from spherical k-means over its training segments;
-a segment takes the language of the centroid with the largest cosine, and is rejected ("und") where that cosine is below what the centroid's own
-members reach. Words that begin with a capital inside a sentence (names, titles) are left out while enough others remain.
+a segment takes the language of the centroid with the largest cosine, and is rejected ("und") where that cosine is below ``MARGIN`` of what all but ``LOW`` of the windows
+of as many words of the language's own segments reach, for cosines grow with a segment's length. Words that begin with a capital inside a sentence (names, titles) are left out while enough others remain.
 
-Training: documents whose label names a language, at most about ``TRAIN_DOCS`` a language (a hash of the id picks them), cut into paragraphs; since labels
+Training: documents whose label names a language, shorter than ``TRAIN_BYTES``, at most about ``TRAIN_DOCS`` a language (a hash of the id picks them), cut into paragraphs; since labels
 are wrong now and then, a paragraph is kept only where the nearest seed (common words of each language, fixed values) agrees with its label. The seeds
 themselves are training segments too, so a language without documents still has a centroid. The model is a few hundred kilobytes whatever the corpus.
 
@@ -23,9 +23,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import CONFUSABLE, INVISIBLE, LANG_NAMES, OKINA_MARKS, SPACES, WIDE, canon_lang, canon_lang_col, latest, map_rows
+from .base import CONFUSABLE, INVISIBLE, LANG_NAMES, OKINA_MARKS, SPACES, URL, URL_HINT, WIDE, canon_lang, canon_lang_col, latest, map_rows
 
 DIM, CLUSTERS, TRAIN_DOCS = 4096, 3, 120
+#: Training documents are shorter than so many bytes.
+TRAIN_BYTES = 20_000
+#: Words of the windows on which the floors are calibrated, how many windows a language, the share of them that may lie lower, and the share of the cosine of the others that is the floor.
+LENGTHS, WINDOWS, LOW, MARGIN = (1, 2, 4, 8, 16, 32, 64), 400, 0.02, 0.85
+#: Segments that a language must have for its floors to be calibrated.
+MIN_BODY = 10
 LANGS = sorted(LANG_NAMES)
 
 #: Common words of each language. Fixed values.
@@ -36,7 +42,7 @@ SEEDS = {
     "mi": "te ngā ki i he ko kei ka e ana kua kāore nā te mea engari whakahoki whare wai tamaiti rangatira kaiako ā rā pō whakarongo haere kōrero me o a tū noho rātou tātou ia tēnei tērā iwi whenua reo whānau hapori",
     "sm": "le o sa na ua e i ma ona ae peitai ina faʻalogo tama fale tusi aiga nuʻu aliʻi afioaga faiaoga toe leʻi loʻo mai atu lea lenei aso po vai laʻau malo moana nofo alu tala tele umi lagi fetu aʻoaʻoga",
     "ja": "は の を に で と も が した ました ていました そして 父 母 先生 子供 村 学校 手紙 本 です ます これ それ この その から まで する した日 です。 読みました 言いました",
-    "zh": "的 了 在 一 是 不 這 那 我 你 他 她 們 和 有 到 說 看 昨天 今天 老師 孩子們 學校 故事 記住了 找到了 這樣說 許多 一本 一封 然後",
+    "zh": "的 了 在 一 是 不 這 那 我 你 他 她 們 和 有 到 說 看 昨天 今天 老師 孩子 學校 故事 許多 然後 因為 所以 但是 沒有 什麼 可以 已經",
 }
 
 _FOLD = {ord(k): v for k, v in {**WIDE, **CONFUSABLE, **{s: " " for s in SPACES}}.items()}
@@ -60,7 +66,7 @@ KANA = r"぀-ヿｦ-ﾟ"
 HAN = r"㐀-鿿豈-﫿"
 WORD = re.compile(rf"[{KANA}{HAN}]|[^\W\d_{KANA}{HAN}](?:[^\W\d_{KANA}{HAN}]|ʻ(?=[^\W\d_]))*|ʻ[^\W\d_{KANA}{HAN}](?:[^\W\d_{KANA}{HAN}]|ʻ(?=[^\W\d_]))*")
 LETTER = re.compile(r"[^\W\d_]+")
-NOT_TEXT = re.compile(r"\[\d\d:\d\d:\d\d\]|\b[\w-]+\.example\S*")
+TIME_MARK = re.compile(r"\[\d\d:\d\d:\d\d\]")
 #: A capitalised word that does not open a sentence or a quotation.
 INNER_NAME = re.compile(r"(?<=[^\s.!?…:“\"'(\[»•])(\s+)(?:ʻ?[A-ZÀ-Þ][^\s.,!?…;:”\")\]]*)")
 
@@ -99,8 +105,10 @@ def segment_words(text: str) -> list[str]:
     """The words a segment is judged by."""
     if not text.isascii():
         text = _ODD.sub(_fold_run, text)
-    if "[0" in text or ".example" in text:
-        text = NOT_TEXT.sub(" ", text)
+    if "[0" in text:
+        text = TIME_MARK.sub(" ", text)
+    if URL_HINT.search(text):
+        text = URL.sub(" ", text)
     bare = INNER_NAME.sub(r"\1", text)
     w = WORD.findall(bare.lower())
     if len(w) < 3:
@@ -117,7 +125,14 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     lang_of: list[str]
-    floor: np.ndarray
+    floor: np.ndarray  # languages x LENGTHS
+
+    def floors(self, langs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The least cosine borne, by language and number of words, between the calibrated lengths in proportion to the words' logarithm."""
+        x = np.minimum(np.log2(np.maximum(sizes, 1)), len(LENGTHS) - 1.0)
+        lo = np.minimum(x.astype(int), len(LENGTHS) - 2)
+        part = x - lo
+        return self.floor[langs, lo] * (1 - part) + self.floor[langs, lo + 1] * part
 
     def classify(self, grams: Grams, segments: list[list[str]]) -> list[tuple[str, float]]:
         """(language or und, confidence) of each segment's words."""
@@ -138,10 +153,11 @@ class Model:
                 np.maximum(by[:, o], cos[:, j], out=by[:, o])
             best = cos.argmax(axis=1)
             ranked = np.sort(by, axis=1)
+            floor = self.floors(owner[best], np.array([len(segments[k]) for k in part]))
             for r, k in enumerate(part):
                 top, second = float(ranked[r, -1]), max(0.0, float(ranked[r, -2]))
                 j = int(best[r])
-                if top < self.floor[j]:
+                if top < floor[r]:
                     out[k] = ("und", max(0.0, 1 - top))
                 else:
                     out[k] = (names[j], min(1.0, 0.5 + (top - second) / max(top, 1e-9) / 2))
@@ -173,10 +189,11 @@ def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
     """A model from (language, segment) pairs; wrong labels are borne."""
     grams = Grams()
     seed_words = {k: segment_words(v) for k, v in SEEDS.items()}
-    rows, tags = [], []
+    rows, tags, said = [], [], []
     for lang, seg in samples:
         w = segment_words(seg)
         if len(w) >= 4:
+            said.append(w)
             rows.append(grams.counts(w).astype(np.float32))
             tags.append(lang)
     # Seeds in pieces of a dozen words, as if they were short segments.
@@ -189,7 +206,7 @@ def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
     near = (x @ seeds.T).argmax(axis=1)
     tags = tags + [k for k, _ in pieces]
     own = [np.array([i for i in range(len(tags)) if tags[i] == k and (near[i] == n or i >= len(rows))], dtype=int) for n, k in enumerate(LANGS)]
-    cen, lang_of, floor = [], [], []
+    cen, lang_of = [], []
     for n, k in enumerate(LANGS):
         body = x[[i for i in own[n] if i < len(rows)]] if any(i < len(rows) for i in own[n]) else x[own[n]]
         for c in _kmeans(body, clusters):
@@ -198,15 +215,29 @@ def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS) -> Model:
         cen.append(_unit(x[[i for i in own[n] if i >= len(rows)]].mean(axis=0, keepdims=True))[0])
         lang_of.append(k)
     c = np.stack(cen).astype(np.float32)
-    for j, k in enumerate(lang_of):
-        mine = x[own[LANGS.index(k)]] @ c[j]
-        floor.append(0.5 * float(np.quantile(mine, 0.02)) if len(mine) else 0.05)
-    return Model(idf, c, lang_of, np.minimum(np.array(floor, dtype=np.float32), 0.12))
+    floor = np.zeros((len(LANGS), len(LENGTHS)), dtype=np.float32)
+    for n, k in enumerate(LANGS):
+        mine = c[[j for j, x in enumerate(lang_of) if x == k]]
+        body = [said[i] for i in own[n] if i < len(rows)]
+        for j, size in enumerate(LENGTHS):
+            # Windows of the language's own segments, dealt over them evenly; short ones of the seeds where it has no segments.
+            long = [w for w in body if len(w) >= size]
+            if len(long) < MIN_BODY:
+                floor[n, j] = floor[n, j - 1] if j and len(body) >= MIN_BODY else 0.05
+                continue
+            low = []
+            for i in range(WINDOWS):
+                w = long[i * len(long) // WINDOWS] if len(long) > WINDOWS else long[i % len(long)]
+                at = (i * 7919) % (len(w) - size + 1)
+                v = grams.counts(w[at : at + size]) * idf
+                low.append(float((mine @ v).max() / max(1e-9, np.linalg.norm(v))))
+            floor[n, j] = MARGIN * float(np.quantile(low, LOW))
+    return Model(idf, c, lang_of, np.maximum.accumulate(floor, axis=1))
 
 
 def train(documents: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """Fit on a bounded sample of labelled documents: about ``most`` a language, picked by a hash of the id."""
-    lab = documents.select("doc_id", canon_lang_col(F.col("lang")).alias("l"), "text").where("l IS NOT NULL AND text IS NOT NULL AND octet_length(text) < 20000")
+    lab = documents.select("doc_id", canon_lang_col(F.col("lang")).alias("l"), "text").where("l IS NOT NULL AND text IS NOT NULL AND octet_length(text) < " + str(TRAIN_BYTES))
     n = {r["l"]: r["n"] for r in lab.groupBy("l").agg(F.count("*").alias("n")).collect()}
     part = F.lit(0)
     for k, v in n.items():

@@ -1,7 +1,8 @@
 """Problem 2: noise in text from scanned pages.
 
 Each scanned document is read line by line: running headers and page numbers are told from running text by where they stand, by the document's title or
-its month and year, and by the run of page numbers (edge-line removal). Words broken at a line's end are joined over page turns (hyphen evidence).
+its month and year, and by the run of page numbers (edge-line removal). Words broken at a line's end are put together over page turns; whether the hyphen
+goes or stays is decided by evidence: how often the joined and the hyphenated form come in the corpus, and whether both parts are words (hyphen evidence).
 Misrecognised characters are found in two ways: a mark or digit inside a word is one by itself; a word of letters only is one when replacing a known
 misreading by what it stands for gives a word that is far more frequent. That second search is a join in SQL: a word's anagram hash is the sum of its
 characters' hashes, so taking a misreading off and putting its source on is one addition, and equal sums are candidates whatever the place; the place
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kilohana.session import cut_lineage
 
-from .base import map_rows
+from .base import URL, URL_HINT, map_rows
 
 #: What a character was read as, by what was printed: misreadings of letters by letters. Fixed values.
 MISREAD = {
@@ -41,10 +42,11 @@ HYPHEN = re.compile(r"([^\W\d_]+)[-­¬=‐]\s?$")
 NOT_HYPHEN = re.compile(r"(?:--|[\s][-–—])\s*$")
 _LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{_LETTER}+(?:[ʻ'’]{_LETTER}+)*")
+HYPHENATED = re.compile(rf"(?<![\w-]){_LETTER}+(?:[ʻ'’]{_LETTER}+)*-{_LETTER}+(?:[ʻ'’]{_LETTER}+)*(?![\w-])")
 TOKEN = re.compile(r"\S+")
 #: A mark or digit within or beside letters that no spelling has.
 MARK_IN_WORD = re.compile(rf"[€«@|{{•°^]|{_LETTER}[+*]|[+*]{_LETTER}|ı|{_LETTER}y?\){_LETTER}|{_LETTER}!{_LETTER}|^!{_LETTER}|{_LETTER}[01569]|[01569]{_LETTER}")
-ODD_LINE = re.compile(rf"[€«@|{{•°^+*ı]|{_LETTER}[)!]\S|!{_LETTER}|{_LETTER}![ ]{_LETTER}|{_LETTER}\d|\d{_LETTER}")
+ODD_LINE = re.compile(rf"[€«@|{{•°^+*ı]|{_LETTER}[)!]\S|!{_LETTER}|{_LETTER}!\s+{_LETTER}|{_LETTER}\d|\d{_LETTER}")
 NUMBERISH = re.compile(r"^[\d.,:/$–-]*(?:st|nd|rd|th|s|am|pm)?$", re.I)
 SUSPECT = re.compile("|".join(sorted({re.escape(b) for _, b in PAIRS}, key=len, reverse=True)))
 CORE = re.compile(r"^[“”\"‹›(\[.,;:?…—–-]+|[“”\"’‹›)\].,;:?!…—–-]+$")
@@ -134,8 +136,7 @@ def roles(text: str, title: str | None) -> list[str]:
     for i, ln in enumerate(lines):
         if role[i] == "blank":
             continue
-        short = len(ln) < 90
-        if short and _caps(ln):
+        if _caps(ln):
             tried = _header_cores(ln)
             for core, num in tried:
                 if (key and len(key) > 2 and near(core, key, max(1, len(key) // 8))) or _month_year(core):
@@ -148,7 +149,7 @@ def roles(text: str, title: str | None) -> list[str]:
             cores[i], num = tried[-1]
             if num is not None and re.search(r"\s{2,}", ln.strip()):
                 head_num[i] = num
-        if len(ln.strip()) <= 12:
+        if len(ln.split(None, 3)) < 4:  # no page number has more parts
             for name, rx in PAGE_STYLES.items():
                 m = rx.match(ln)
                 if m and number(m.group(1)) is not None and (name != "aoao" or near(fold(ln.split()[0]).lower(), "aoao", 1)):
@@ -210,7 +211,7 @@ def roles(text: str, title: str | None) -> list[str]:
 def lines_of(text: str, title: str | None) -> Iterator[tuple[int, str, str, str | None, int]]:
     """What pass one says of a scanned document: (line_no, kind, word, ...) where kind is a fault, or 'word' for a suspect of letters only.
 
-    For a suspect: word, the number of its characters that stand in this line (the rest stand in the next line of text).
+    For a suspect: word, the number of its characters that stand in this line (the rest stand in the next line of text). 'break': the broken word, hyphenated.
     """
     lines = text.split("\n")
     role = roles(text, title)
@@ -236,9 +237,11 @@ def lines_of(text: str, title: str | None) -> Iterator[tuple[int, str, str, str
             start = re.search(r"\S+$", body)
             whole = WORD.findall(start.group().lower()) if start else []
             frag = whole[-1] if whole else frag
-        if ".example" in body or "/" in body:
-            body = " ".join(t for t in body.split() if ".example" not in t and "/" not in t)
+        if "/" in body or URL_HINT.search(body):
+            body = " ".join(t for t in body.split() if "/" not in t and not URL.search(t))
         words = WORD.findall(body.lower())
+        if carried is not None and (b := broken_word(carried[0], line.strip())):
+            yield carried[1] + 1, "break", b, i + 1, 0
         if carried is not None and words:
             w = carried[0] + words[0]
             if SUSPECT.search(w):
@@ -256,7 +259,7 @@ def lines_of(text: str, title: str | None) -> Iterator[tuple[int, str, str, str
 
 def _marked(tok: str, nxt: str) -> bool:
     """Does a token hold a mark or digit that stands for a letter?"""
-    if ".example" in tok or "$" in tok or tok in ("(!)", "(?)"):
+    if "$" in tok or tok in ("(!)", "(?)") or URL_HINT.search(tok) and URL.search(tok):
         return False
     core = CORE.sub("", tok)
     if not core or not any(c.isalpha() for c in core) and core not in MARKS:
@@ -288,7 +291,8 @@ def pass_one(documents: DataFrame) -> DataFrame:
 
 
 def lexicon(documents: DataFrame) -> DataFrame:
-    """(word, n, outside): every word of letters in all documents, counted, and how often it comes outside scans; each task counts before the shuffle."""
+    """(word, n, outside): every word of letters, and every hyphenated word within a line, in all documents, counted, and how often it comes outside scans;
+    each task counts before the shuffle."""
 
     def make():
         def fn(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -296,7 +300,11 @@ def lexicon(documents: DataFrame) -> DataFrame:
             out: Counter = Counter()
             for t, medium in rows:
                 if t:
-                    (c if medium == "scan" else out).update(WORD.findall(t.lower()))
+                    low = t.lower()
+                    count = c if medium == "scan" else out
+                    count.update(WORD.findall(low))
+                    if "-" in low:
+                        count.update(HYPHENATED.findall(low))
                 if len(c) + len(out) > 500_000:
                     yield from ((w, n, 0) for w, n in c.items())
                     yield from ((w, n, n) for w, n in out.items())
@@ -340,17 +348,42 @@ def corrections(lex: DataFrame, ratio: float = 10.0, outside: float = 0.5, least
     return j.groupBy("word").agg(best).select("word", F.col("b.fixed").alias("fixed"), F.col("b.at").alias("at"))
 
 
+def kept_hyphens(pairs: DataFrame, lex: DataFrame, rare: int = 3) -> DataFrame:
+    """(word, fixed) from (word): a broken word written ``before-after``, where the hyphen stays.
+
+    It stays where the hyphenated form comes within lines more often than the joined one, or where neither comes and both parts are words of their own
+    outside scans, ``rare`` times or more. Otherwise the parts are joined. Lines' own fragments don't speak: parts are counted outside scans.
+    """
+    p = pairs.select("word").distinct()
+    a, b = F.element_at(F.split("word", "-"), 1), F.element_at(F.split("word", "-"), -1)
+    ask = p.select("word", F.explode(F.array(F.struct(F.lit("h").alias("k"), F.col("word").alias("w")), F.struct(F.lit("j").alias("k"), F.concat(a, b).alias("w")), F.struct(F.lit("a").alias("k"), a.alias("w")), F.struct(F.lit("b").alias("k"), b.alias("w")))).alias("q"))
+    got = ask.select("word", "q.k", "q.w").join(lex.select(F.col("word").alias("w"), "n", "outside"), "w")
+
+    def seen(k: str, c: str):
+        return F.coalesce(F.max(F.when(F.col("k") == k, F.col(c))), F.lit(0))
+
+    g = got.groupBy("word").agg(seen("h", "n").alias("h"), seen("j", "n").alias("j"), seen("a", "outside").alias("a"), seen("b", "outside").alias("b"))
+    return g.where((F.col("h") > F.col("j")) | ((F.col("h") == 0) & (F.col("j") == 0) & (F.col("a") >= rare) & (F.col("b") >= rare))).select("word", F.col("word").alias("fixed"))
+
+
 def found(documents: DataFrame) -> DataFrame:
     """p2_found: one row per line and fault."""
-    one = pass_one(documents)
+    one = pass_one(documents).where("kind <> 'break'")
     fix = corrections(cut_lineage(lexicon(documents)))
-    # Faults of a line by itself go by with a null word; suspects stay where a correction is known.
-    j = one.join(fix, "word", "left").where("kind <> 'word' OR fixed IS NOT NULL")
+    # Faults of a line by itself have no word; each goes by under a key of its own, that no word has, so they are spread over all tasks.
+    key = F.coalesce("word", F.concat_ws(" ", F.lit(""), "doc_id", "line_no"))
+    j = one.withColumn("word", key).join(fix, "word", "left").where("kind <> 'word' OR fixed IS NOT NULL")
     line = F.when((F.col("kind") == "word") & (F.col("at") >= F.col("here")), F.col("next_no")).otherwise(F.col("line_no"))
     fault = F.when(F.col("kind") == "word", F.lit("glyph")).otherwise(F.col("kind"))
     return j.select("doc_id", line.cast("long").alias("line_no"), fault.alias("fault")).distinct()
 
 
+def broken_word(before: str, after: str) -> str | None:
+    """The word that a line's end breaks, written with a hyphen in small letters."""
+    a, b = WORD.findall(before[before.rfind(" ") + 1 :].lower()), WORD.match(after.lower())
+    return f"{a[-1]}-{b.group()}" if a and b else None
+
+
 def rebuild(text: str, title: str | None, fixes: dict[str, str]) -> str:
     """The text in continuous paragraphs: edge lines out, broken words joined, words corrected, lines of a paragraph run together."""
     lines = text.split("\n")
@@ -375,10 +408,7 @@ def rebuild(text: str, title: str | None, fixes: dict[str, str]) -> str:
         m = HYPHEN.search(cur) if cur else None
         if m and not NOT_HYPHEN.search(cur):
             stem = cur.rstrip()[:-1]
-            first = re.match(r"\S+", s)
-            joined = stem.split(" ")[-1] + (first.group() if first else "")
-            keep = fixes.get("\0" + joined.lower()) is not None
-            cur = (stem + "-" if keep else stem) + s
+            cur = (stem + "-" if broken_word(stem, s) in fixes else stem) + s
         else:
             cur = f"{cur} {s}" if cur else s
     if cur:
@@ -406,9 +436,11 @@ def _unmark(tok: str) -> str:
 
 
 def paragraphs(documents: DataFrame) -> DataFrame:
-    """(doc_id, text): every scanned document repaired. Corrections come to each document through the join on its own suspect words."""
-    one = pass_one(documents).where("kind = 'word'").select("doc_id", "word").distinct()
-    fixes = one.join(corrections(cut_lineage(lexicon(documents))), "word").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "fixed")))).alias("fixes"))
+    """(doc_id, text): every scanned document repaired. Corrections and hyphens that stay come to each document through the join on its own words."""
+    one = pass_one(documents).where("kind IN ('word', 'break')").select("doc_id", "word", "kind").distinct()
+    lex = cut_lineage(lexicon(documents))
+    known = corrections(lex).select("word", "fixed").unionByName(kept_hyphens(one.where("kind = 'break'"), lex))
+    fixes = one.join(known, "word").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "fixed")))).alias("fixes"))
     d = documents.where("medium = 'scan'").select("doc_id", "text", "title").join(fixes, "doc_id", "left")
 
     def make():

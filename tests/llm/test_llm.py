@@ -366,3 +366,41 @@ def test_p9_blocks_do_not_change_the_result(spark, monkeypatch):
     whole = {tuple(r) for r in leaks.leaks(d, items).collect()}
     monkeypatch.setattr(leaks, "blocks_of", lambda items, f=leaks.blocks_of: f(items, 2))
     assert {tuple(r) for r in leaks.leaks(d, items).collect()} == whole and len(whole) >= 23
+
+
+def test_p2_hyphen_evidence(spark):
+    filler = "He well-known hale. The man was well and known. Ua mākaukau ke keiki. "
+    d = docs(spark, [(1, "The house is well-\nknown to the mā-\nkaukau keiki of the sun-\nlight and the ice-\ncold wai.", "en", "scan", None)] + [(k, filler + "sun light sunlight ice cold", "en", "typed", None) for k in range(10, 16)])
+    text = {r["doc_id"]: r["text"] for r in scans.paragraphs(d).collect()}
+    assert text[1] == "The house is well-known to the mākaukau keiki of the sunlight and the ice-cold wai."
+
+
+def test_p2_line_filter_covers_the_token_test():
+    rnd = random.Random(8)
+    for _ in range(4000):
+        line = "".join(rnd.choice(["a", "e", "K", " ", "  ", "\t", "!", "+", ")", "1", "6", "€", "ı", ".", "y)", "(", "ʻ"]) for _ in range(rnd.randrange(1, 14)))
+        toks = line.split()
+        if any(scans._marked(t, n) for t, n in zip(toks, [*toks[1:], ""])):
+            assert scans.ODD_LINE.search(line), line
+
+
+def test_p2_long_header_lines():
+    head = "KA NUPEPA O KA LAHUI HAWAII A ME NA KANAKA A PAU O KEIA PAE AINA NANI LOA O KAKOU I KEIA MANAWA"
+    text = "\n".join(f"{head} {k}\nUa hele ke keiki i ka hale." for k in (11, 12, 13))
+    assert len(head) > 90 and scans.roles(text, head.capitalize())[::2] == ["header"] * 3
+
+
+@pytest.fixture(scope="module")
+def small_model(spark):
+    return langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.mark.parametrize("text", ["Le petit garçon est allé à l'école avec sa sœur et ses amis du village.", "Der kleine Junge ging gestern Abend mit seiner Schwester in die Schule.", "Pieni poika meni eilen illalla kouluun sisarensa kanssa vaikka oli kylmä.", "Маленький мальчик пошёл в школу со своей сестрой."])
+def test_p5_rejects_other_languages(small_model, text):
+    assert small_model.classify(langid.Grams(), [langid.segment_words(text)])[0][0] == "und"
+
+
+def test_p5_rejection_spares_its_own(spark, small_model):
+    rows = spark.read.parquet("/root/testdata/sf0.001/sentences.parquet").where("length(hawaiiantext) >= 40").select("hawaiiantext").collect()
+    got = small_model.classify(langid.Grams(), [langid.segment_words(r[0]) for r in rows])
+    assert sum(k == "und" for k, _ in got) <= 0.02 * len(got)

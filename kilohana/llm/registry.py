@@ -103,7 +103,9 @@ _SQL: dict[str, str] = {
     "p6_found": """
 SELECT DISTINCT * FROM (
   SELECT 'documents' AS rec_table, doc_id AS rec_id FROM documents WHERE strlen(text) > 30000
-  UNION ALL SELECT 'contents', sourceid FROM contents WHERE strlen(text) > 30000) t""",
+  UNION ALL SELECT 'contents', sourceid FROM (
+    SELECT sourceid, text, row_number() OVER (PARTITION BY sourceid ORDER BY created DESC NULLS LAST, CASE WHEN strlen(text) > 30000 THEN text END DESC NULLS LAST) AS rn FROM contents) c
+  WHERE rn = 1 AND strlen(text) > 30000) t""",
 }
 
 

@@ -109,9 +109,11 @@ def split(df: DataFrame, id_col: str, text_col: str, limit: int = LIMIT, overlap
     return map_rows(oversized(df.select(id_col, text_col), text_col, limit), make, f"`{id_col}` {types[id_col]}, piece_no int, start_byte long, overlap_bytes int, piece string")
 
 
-def _both(documents: DataFrame, contents: DataFrame) -> DataFrame:
-    d = oversized(documents, "text").select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), "text")
-    c = latest(oversized(contents, "text"), "sourceid", "text").select(F.lit("contents").alias("rec_table"), F.col("sourceid").alias("rec_id"), "text")
+def _both(documents: DataFrame, contents: DataFrame, limit: int = LIMIT) -> DataFrame:
+    d = oversized(documents.where("doc_id IS NOT NULL"), "text", limit).select(F.lit("documents").alias("rec_table"), F.col("doc_id").alias("rec_id"), "text")
+    # The last delivery decides, also where it is a short one; only oversized texts move.
+    big = contents.withColumn("text", F.when(F.octet_length("text") > limit, F.col("text")))
+    c = latest(big, "sourceid", "text").where("text IS NOT NULL").select(F.lit("contents").alias("rec_table"), F.col("sourceid").alias("rec_id"), "text")
     return d.unionByName(c)
 
 
@@ -126,7 +128,7 @@ def all_pieces(documents: DataFrame, contents: DataFrame, limit: int = LIMIT, ov
 
         return fn
 
-    return map_rows(_both(documents, contents), make, "rec_table string, rec_id long, piece_no int, start_byte long, overlap_bytes int, piece string")
+    return map_rows(_both(documents, contents, limit), make, "rec_table string, rec_id long, piece_no int, start_byte long, overlap_bytes int, piece string")
 
 
 def found(documents: DataFrame, contents: DataFrame) -> DataFrame:

@@ -404,3 +404,29 @@ def test_p5_rejection_spares_its_own(spark, small_model):
     rows = spark.read.parquet("/root/testdata/sf0.001/sentences.parquet").where("length(hawaiiantext) >= 40").select("hawaiiantext").collect()
     got = small_model.classify(langid.Grams(), [langid.segment_words(r[0]) for r in rows])
     assert sum(k == "und" for k, _ in got) <= 0.02 * len(got)
+
+
+def test_p1_look_back_cuts_nothing(monkeypatch):
+    rnd = random.Random(9)
+    bits = ["Ua hele", " ", "Messrs.", "Rev.", "No. 4", "(!)", "( ! )", "3 A.M.", "!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!", "…", "”", "」", "。", "K.", " He wai", ".", "?", "\n", "“Aloha!”", "&c.", "m. No."]
+    texts = ["".join(rnd.choice(bits) for _ in range(30)) for _ in range(300)]
+    near = [segment.Segmenter().ends(t) for t in texts]
+    monkeypatch.setattr(segment.Segmenter, "LOOK_BACK", 10**6)
+    assert [segment.Segmenter().ends(t) for t in texts] == near
+
+
+def test_p3_parts_and_repeated_rows(spark):
+    src = spark.createDataFrame([(i, "g", T0) for i in range(6)], "sourceid long, groupname string, created timestamp_ntz")
+    rows = [(i * 3000, i // 3, f"line {'abcdefghijklmnop'[i]}", T0) for i in range(12)] + [(40000 + i, i, "Kaʻana i kēia", T0) for i in range(6)]
+    rows += [(0, 0, "older", T0 - dt.timedelta(1)), (50000, None, "x", T0), (None, 1, "x", T0)]
+    s = sents(spark, rows)
+    assert {r[0] for r in repeats.found(s, src).collect()} == set(range(40000, 40006))
+    parts = sorted((r["sourceid"], r["part"], r["n_kept"], r["n_removed"], r["text"]) for r in repeats.cleaned(s, src).where("sourceid = 0").collect())
+    assert parts == [(0, 0, 2, 0, "line a\nline b"), (0, 1, 1, 0, "line c"), (0, 9, 0, 1, "")]
+    assert repeats.cleaned(s.limit(0), src.limit(0)).count() == 0
+
+
+def test_p6_the_last_delivery_decides(spark):
+    c = spark.createDataFrame([(1, "a " * 20000, T0), (1, "short", T0 + dt.timedelta(1)), (2, "short", T0), (2, "b " * 20000, T0 + dt.timedelta(1)), (3, None, T0), (None, "c " * 20000, T0)], "sourceid long, text string, created timestamp_ntz")
+    d = docs(spark, [(1, "漢" * 10001, None, "typed", None), (2, "漢" * 10000, None, "typed", None), (3, None, None, None, None)])
+    assert {tuple(r) for r in split.found(d, c).collect()} == {("documents", 1), ("contents", 2)}

@@ -48,7 +48,9 @@ SEEDS = {
 _FOLD = {ord(k): v for k, v in {**WIDE, **CONFUSABLE, **{s: " " for s in SPACES}}.items()}
 _FOLD |= {ord(c): None for c in INVISIBLE} | {ord(c): "ʻ" for c in OKINA_MARKS} | {0x304: None}
 _FOLD |= dict(zip(map(ord, "āēīōūĀĒĪŌŪ"), "aeiouAEIOU"))
-_ODD = re.compile(r"[^\x00-\x7fʻ]+")
+_ODD = re.compile(r"[^\x00-\x7fʻ“”…—–]+")
+#: The folds that come in nearly every text, one quick replacement each.
+_OFTEN = [*zip("āēīōūĀĒĪŌŪ", "aeiouAEIOU"), ("‘", "ʻ"), ("’", "ʻ")]
 _SEEN: dict[str, str] = {}
 
 
@@ -104,7 +106,10 @@ class Grams:
 def segment_words(text: str) -> list[str]:
     """The words a segment is judged by."""
     if not text.isascii():
-        text = _ODD.sub(_fold_run, text)
+        for a, b in _OFTEN:
+            text = text.replace(a, b)
+        if _ODD.search(text):
+            text = _ODD.sub(_fold_run, text)
     if "[0" in text:
         text = TIME_MARK.sub(" ", text)
     if URL_HINT.search(text):

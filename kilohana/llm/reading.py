@@ -16,6 +16,7 @@ typed documents of ``MIN_WORDS`` words in one language. Ties go to the lower gra
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,8 @@ from .segment import Segmenter
 
 GRADES, DIM, TRAIN_DOCS, MIN_WORDS, FOLDS = 6, 8192, 1200, 80, 3
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|ʻ(?=[^\W\d_]))*")
-_PLAIN = str.maketrans("āēīōū", "aeiou", "ʻ‘’'`ʼʽ")
+#: Folds of small letters, one quick replacement each.
+_PLAIN = [*zip("āēīōū", "aeiou"), *((c, "") for c in "ʻ‘’'`ʼʽ")]
 CLAUSE = {
     "haw": re.compile(r"\b(?:aka|oiai|a laila|no ka mea|eia nae|i mea e maopopo ai|i ka wa|a)\b"),
     "en": re.compile(r"\b(?:but|while|because|when|whereas|although|so that|and|if|which|that)\b"),
@@ -39,15 +41,24 @@ CLAUSE = {
 FORM = 6
 
 
+def plain(text: str) -> str:
+    """Small letters without macrons and okina."""
+    text = text.lower()
+    if not text.isascii() or "'" in text or "`" in text:
+        for a, b in _PLAIN:
+            text = text.replace(a, b)
+    return text
+
+
 def tokens(sentence: str) -> list[str]:
-    return WORD.findall(sentence.lower().translate(_PLAIN))
+    return WORD.findall(plain(sentence))
 
 
 def form(words: list[str], sentence: str, lang: str) -> list[float]:
     """Measures of a sentence's form."""
     n = len(words)
     flat = " ".join(words)
-    return [np.log(n), n / 20, sentence.count(",") / 2, len(CLAUSE[lang].findall(flat)) / 2, (len(flat) - n + 1) / n / 5, sum(len(w) > 8 for w in words) / n * 5]
+    return [math.log(n), n / 20, sentence.count(",") / 2, len(CLAUSE[lang].findall(flat)) / 2, (len(flat) - n + 1) / n / 5, sum([len(w) > 8 for w in words]) / n * 5]
 
 
 class Hasher:
@@ -166,8 +177,10 @@ def consensus(labels: dict[int, list[tuple[str, int]]], rounds: int = 10) -> dic
 
 def _prepare(text: str, lang: str, seg: Segmenter) -> list[tuple[list[str], list[float]]]:
     out = []
-    for _, _, u in seg.units(text, lang):
-        w = tokens(u)
+    units = [u for _, _, u in seg.units(text, lang)]
+    # Units hold no line break, so all are folded at once.
+    for u, p in zip(units, plain("\n".join(units)).split("\n")):
+        w = WORD.findall(p)
         if len(w) >= 3:
             out.append((w, form(w, u, lang)))
     return out
@@ -179,20 +192,39 @@ def _document_features(p: np.ndarray, forms: np.ndarray) -> np.ndarray:
     return np.concatenate([p.mean(axis=0), np.log(p.mean(axis=0) + 0.02), [e.mean(), np.median(e), e.std(), *np.quantile(e, [0.25, 0.75])], forms.mean(axis=0), forms.std(axis=0)])
 
 
-def _probabilities(m: SentenceModel, sents: list, hasher: Hasher, kept: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(distribution of each sentence, forms); word vectors are kept from sentence to sentence."""
+class WordVectors:
+    """Word vectors of a model, kept from sentence to sentence as rows of one array."""
+
+    MOST = 300_000
+
+    def __init__(self, m: SentenceModel, hasher: Hasher) -> None:
+        self.m, self.hasher = m, hasher
+        self.row: dict[str, int] = {}
+        self.rows = np.empty((4096, GRADES))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self.row) > self.MOST:
+            self.row.clear()
+        get = self.row.get
+        at = np.array([k if (k := get(w)) is not None else self._add(w) for w in words], dtype=np.intp)
+        return self.rows[at]
+
+    def _add(self, w: str) -> int:
+        k = self.row[w] = len(self.row)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[k] = self.m.word_vector(self.hasher.of(w))
+        return k
+
+
+def _probabilities(m: SentenceModel, sents: list, kept: WordVectors) -> tuple[np.ndarray, np.ndarray]:
+    """(distribution of each sentence, forms)."""
     forms = np.array([f for _, f in sents])
-    flat: list[np.ndarray] = []
-    size = []
+    flat: list[str] = []
     for words, _ in sents:
-        for w in words:
-            x = kept.get(w)
-            if x is None:
-                x = kept[w] = m.word_vector(hasher.of(w))
-            flat.append(x)
-        size.append(len(words))
-    size = np.array(size)
-    z = np.add.reduceat(np.array(flat), np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
+        flat += words
+    size = np.array([len(words) for words, _ in sents])
+    z = np.add.reduceat(kept.of(flat), np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
     return _softmax(z + ((forms - m.mean) / m.sd) @ m.v + m.b), forms
 
 
@@ -213,14 +245,15 @@ def _fit_language(docs: list[list], grade: np.ndarray) -> Model:
     for j in range(FOLDS):
         if len(docs) < 2 * FOLDS:
             break
-        m, kept = sentence_model(fold != j), {}
+        m = sentence_model(fold != j)
+        kept = WordVectors(m, hasher)
         for d in np.flatnonzero(fold == j):
-            x[d] = _document_features(*_probabilities(m, docs[d], hasher, kept))
+            x[d] = _document_features(*_probabilities(m, docs[d], kept))
     whole = sentence_model(np.ones(len(docs), bool))
     if len(docs) < 2 * FOLDS:
-        kept = {}
+        kept = WordVectors(whole, hasher)
         for d in range(len(docs)):
-            x[d] = _document_features(*_probabilities(whole, docs[d], hasher, kept))
+            x[d] = _document_features(*_probabilities(whole, docs[d], kept))
     mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.column_stack([np.ones(len(x)), (x - mean) / sd])
     reg = np.eye(z.shape[1]) * 3.0
@@ -265,7 +298,7 @@ class Grader:
         self.models = models
         self.seg = Segmenter()
         self.hasher = Hasher()
-        self.kept: dict[str, dict[str, np.ndarray]] = {k: {} for k in models}
+        self.kept = {k: WordVectors(m.sentence, self.hasher) for k, m in models.items()}
 
     def unit_words(self, lang: str) -> int:
         """Mean words of a labelled sentence."""
@@ -277,9 +310,7 @@ class Grader:
         sents = _prepare(text, lang, self.seg) if m else None
         if not sents:
             return None
-        if len(self.kept[lang]) > 300_000:
-            self.kept[lang].clear()
-        x = _document_features(*_probabilities(m.sentence, sents, self.hasher, self.kept[lang]))
+        x = _document_features(*_probabilities(m.sentence, sents, self.kept[lang]))
         d = float(m.beta[0] + ((x - m.mean) / m.sd) @ m.beta[1:])
         return int((d > m.cuts).sum()) + 1, min(GRADES + 0.5, max(0.5, d))
 

@@ -260,7 +260,11 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")), F.when(url != "", F.try_to_date(url, "yyyy/MM/dd")), named, year)
 
 
+def entity_norm(name: Column) -> Column:
+    """Small letters without okina and apostrophe, white space collapsed."""
+    return F.regexp_replace(F.translate(F.lower(F.trim(name)), "ʻ'", ""), r"\s+", " ")
+
+
 def entity_id(kind: Column, name: Column) -> Column:
     """TYPE_ and 24 hex digits of the sha1 of type and normalised name."""
-    norm = F.regexp_replace(F.translate(F.lower(F.trim(name)), "ʻ'", ""), r"\s+", " ")
-    return F.concat(F.upper(kind), F.lit("_"), F.substring(F.sha1(F.concat(F.upper(kind), F.lit("|"), norm)), 1, 24))
+    return F.concat(F.upper(kind), F.lit("_"), F.substring(F.sha1(F.concat(F.upper(kind), F.lit("|"), entity_norm(name))), 1, 24))

@@ -1,4 +1,4 @@
-"""Graph operators (GR) over entities of document titles."""
+"""Graph operators (GR) over the entities of documents' texts: every document, whole texts."""
 
 from __future__ import annotations
 
@@ -6,134 +6,232 @@ from pyspark.sql import functions as F
 
 from kilohana.operators import graph as G
 from kilohana.registry import op
-from kilohana.session import table
+from kilohana.session import cut_lineage, table
 
-_RUN = r"[A-ZĀĒĪŌŪ][a-zāēīōūʻ]+"
-# Documents and the capitalised words of their titles; an edge for each pair of a title.
-_MENTION = f"(SELECT DISTINCT doc_id, unnest(regexp_extract_all(title,'{_RUN}')) AS name FROM documents WHERE title IS NOT NULL)"
-_EDGE = f"(SELECT a.name AS src, b.name AS dst, count(*) AS weight FROM {_MENTION} a JOIN {_MENTION} b ON a.doc_id=b.doc_id AND a.name<b.name GROUP BY 1,2)"
+# The twin: runs of capitalised words are marked, their places counted from the parts before them, and typed by name and surroundings.
+_FIRST = ",".join(f"'{x}'" for x in G.FIRST_NAMES)
+_COMMON = ",".join(f"'{x}'" for x in G.COMMON)
+_PLACE = "|".join(G.PLACE_WORDS)
+
+
+def norm_sql(c: str) -> str:
+    return rf"regexp_replace(translate(lower(trim({c})),'ʻ''',''),'\s+',' ','g')"
+
+
+_ENTS = rf"""
+d AS (SELECT doc_id, text, string_split(regexp_replace(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b', chr(1) || '\0' || chr(2), 'g'), chr(1)) AS p FROM documents WHERE text IS NOT NULL),
+q AS (SELECT doc_id, text, unnest(p) AS part, unnest(range(1, len(p) + 1)) AS i FROM d),
+w AS (SELECT doc_id, text, i, split_part(part, chr(2), 1) AS name, sum(length(replace(part, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i) - length(replace(part, chr(2), '')) AS ofs FROM q),
+r AS (SELECT doc_id, i AS pos, name, CASE WHEN name IN ({_FIRST}) THEN 'Person'
+  WHEN regexp_matches(substr(text, greatest(ofs - 20, 0)::BIGINT + 1, (ofs - greatest(ofs - 20, 0) + length(name) + 20)::BIGINT), '(?i){_PLACE}') THEN 'Location' ELSE 'Entity' END AS kind
+  FROM w WHERE i > 1 AND lower(name) NOT IN ({_COMMON})),
+t AS (SELECT doc_id, unnest(range(1, len(x) + 1)) + 10000000 AS pos, unnest(x) AS name, 'Date' AS kind FROM (SELECT doc_id, regexp_extract_all(text, '\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}})\b') AS x FROM d) z),
+m AS (SELECT doc_id, min(pos) AS pos, name, kind, upper(kind) || '_' || substr(sha1(upper(kind) || '|' || {norm_sql('name')}), 1, 24) AS id, {norm_sql('name')} AS norm
+  FROM (SELECT * FROM r UNION ALL SELECT * FROM t) u GROUP BY doc_id, name, kind)"""
+_PAIRS = rf""",
+s AS (SELECT doc_id, unnest(x) AS s, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, string_split_regex(text, '[.!?;\n]+') AS x FROM d) y),
+h AS (SELECT s.doc_id, s.k, m.id, min(m.pos) AS pos FROM s JOIN m ON m.doc_id = s.doc_id AND contains(lower(s.s), lower(m.name)) GROUP BY 1, 2, 3),
+c AS (SELECT a.doc_id, a.id AS x, b.id AS y, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.k, a.pos, b.pos) AS rn FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.k = b.k AND a.pos < b.pos),
+co AS (SELECT DISTINCT doc_id, least(x, y) AS source, greatest(x, y) AS target FROM c WHERE rn <= {G.MOST_PAIRS}),
+e AS (SELECT source AS src, 'CO_OCCURS_WITH' AS rel, target AS dst, count(*) AS weight FROM co GROUP BY 1, 2, 3)"""
+_B = r"(?:^|[^\p{L}\p{N}_])"
+
+
+def _verbs_sql() -> str:
+    one = []
+    for rel, verb in G.VERBS:
+        rx = ("(?i)" + _B + G.PHRASE + verb + G.PHRASE).replace("'", "''")
+        one.append(f"SELECT doc_id, '{rel}' AS relation, unnest(regexp_extract_all(text, '{rx}', 1)) AS a, unnest(regexp_extract_all(text, '{rx}', 2)) AS b FROM d")
+    return " UNION ALL ".join(one)
+
+
+def _first_sql(name: str) -> str:
+    n = norm_sql("v." + name)
+    return f"(SELECT arg_min(m.id, m.pos) FROM m WHERE m.doc_id = v.doc_id AND {n} <> '' AND m.norm <> '' AND (contains(m.norm, {n}) OR contains({n}, m.norm)))"
+
+
+def extracted(spark, sf):
+    return G.extract(table(spark, sf, "documents"), "text", "doc_id")
 
 
 def mentions(spark, sf):
-    d = table(spark, sf, "documents").where("title IS NOT NULL")
-    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("title", F.lit(f"({_RUN})")))).alias("name"))
+    """(doc_id, pos, name, kind, id)."""
+    return G.entities(table(spark, sf, "documents"), "text", "doc_id")
+
+
+def pairs(spark, sf):
+    """(doc_id, source, target): co-occurrence in a sentence."""
+    x = extracted(spark, sf).select("doc_id", F.explode(G.co_occurrence_array(F.col("text"), F.col("ents"))).alias("p"))
+    return x.select("doc_id", "p.source", "p.target")
 
 
 def edges(spark, sf):
-    d = table(spark, sf, "documents").where("title IS NOT NULL")
-    names = F.array_sort(F.array_distinct(F.regexp_extract_all("title", F.lit(f"({_RUN})"))))
-    return G.co_mentions(d.select(names.alias("names"))).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    """(src, rel, dst, weight): the documents' pairs counted."""
+    return pairs(spark, sf).groupBy(F.col("source").alias("src"), F.lit("CO_OCCURS_WITH").alias("rel"), F.col("target").alias("dst")).agg(F.count("*").alias("weight"))
 
 
-@op("gr01")
+@op("gr01", f"WITH {_ENTS} SELECT doc_id, name, kind, id FROM m")
 def gr01(spark, sf):
-    """Entities of titles with kind and id."""
-    return G.entities(table(spark, sf, "documents").where("title IS NOT NULL"), "title", "doc_id")
+    """Entities of texts with kind and id."""
+    return mentions(spark, sf).select("doc_id", "name", "kind", "id")
+
 
+_MALE = ",".join(f"'{x}'" for x in G.FIRST_NAMES[:31] + G.FEMALE_NAMES)
 
-@op("gr02")
+
+@op("gr02", rf"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, name, CASE WHEN name IN ({_MALE}) THEN 'Person' ELSE 'Location' END AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)*\b')) AS name FROM d) a WHERE lower(name) NOT IN ({",".join(f"'{x}'" for x in G.COMMON[:-1])})
+UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}\b')), 'Date' FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{{4}}\b')), 'Year' FROM d)
+SELECT DISTINCT doc_id, name, kind, kind || '_' || upper(regexp_replace(name, '[^a-zA-Z0-9]', '_', 'g')) AS id FROM u""")
 def gr02(spark, sf):
-    """The plain extractor: names only, each with a document-wide id."""
-    return mentions(spark, sf).select("doc_id", "name", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "name")).alias("id"))
+    """The plain extractor; its random id suffix is left out, so a name has one id."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.explode(G.basic_entity_array(F.col("text"))).alias("e")).select("doc_id", "e.name", "e.kind", "e.id")
 
 
-@op("gr03")
+@op("gr03", f"WITH {_ENTS}, v AS ({_verbs_sql()}), z AS (SELECT v.doc_id, {_first_sql('a')} AS source, v.relation, {_first_sql('b')} AS target FROM v) SELECT DISTINCT doc_id, source, relation, target FROM z WHERE source <> target")
 def gr03(spark, sf):
-    """Relations between names of sentences."""
-    return G.relations(table(spark, sf, "sentences"), "hawaiiantext", "sentenceid")
+    """Relations that verbs say between names, resolved to the text's entities."""
+    x = extracted(spark, sf).select("doc_id", F.explode(G.relation_array(F.col("text"), F.col("ents"))).alias("r"))
+    return x.select("doc_id", "r.source", "r.relation", "r.target")
 
 
-@op("gr04", f"SELECT src, dst, weight FROM {_EDGE} e")
+@op("gr04", f"WITH {_ENTS}{_PAIRS} SELECT doc_id, source, target FROM co WHERE source <> target")
 def gr04(spark, sf):
-    return edges(spark, sf)
+    return pairs(spark, sf)
 
 
 @op("gr05")
 def gr05(spark, sf):
-    """Names found at places: the AT and OF relations."""
-    return G.relations(table(spark, sf, "documents").where("title IS NOT NULL"), "title", "doc_id").where("relation IN ('AT', 'OF')")
+    """The plain relations (founded, visited, ..., located in)."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL")
+    x = d.select("doc_id", F.explode(G.basic_relation_array(F.col("text"), G.basic_entity_array(F.col("text")))).alias("r"))
+    return x.select("doc_id", "r.source", "r.relation", "r.target")
 
 
-@op("gr06", f"SELECT (SELECT count(DISTINCT name) FROM {_MENTION} m) AS entities, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM {_EDGE} e) AS relations")
+@op("gr06", f"WITH {_ENTS}{_PAIRS} SELECT (SELECT count(DISTINCT id) FROM m) AS entities, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM e) AS relations")
 def gr06(spark, sf):
-    m, e = mentions(spark, sf), edges(spark, sf)
-    one = m.agg(F.countDistinct("name").alias("entities"))
-    return one.crossJoin(F.broadcast(table(spark, sf, "documents").agg(F.count("*").alias("documents")))).crossJoin(F.broadcast(e.agg(F.count("*").alias("relations"))))
+    one = mentions(spark, sf).agg(F.countDistinct("id").alias("entities"))
+    return one.crossJoin(F.broadcast(table(spark, sf, "documents").agg(F.count("*").alias("documents")))).crossJoin(F.broadcast(edges(spark, sf).agg(F.count("*").alias("relations"))))
 
 
-@op("gr07", f"SELECT length(name) AS label, count(DISTINCT name) AS n FROM {_MENTION} m GROUP BY 1 ORDER BY n DESC, label LIMIT 20")
+@op("gr07", f"WITH {_ENTS}{_PAIRS} SELECT kind AS label, count(DISTINCT id) AS n FROM m GROUP BY 1 UNION ALL SELECT rel, count(*) FROM e GROUP BY 1 ORDER BY n DESC, label LIMIT 20")
 def gr07(spark, sf):
-    return mentions(spark, sf).groupBy(F.length("name").alias("label")).agg(F.countDistinct("name").alias("n")).orderBy(F.desc("n"), "label").limit(20)
+    """Labels and relation types with their numbers."""
+    n = mentions(spark, sf).groupBy(F.col("kind").alias("label")).agg(F.countDistinct("id").alias("n"))
+    return n.unionByName(edges(spark, sf).groupBy(F.col("rel").alias("label")).agg(F.count("*").alias("n"))).orderBy(F.desc("n"), "label").limit(20)
 
 
-@op("gr08", f"SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {_EDGE} e UNION ALL SELECT dst FROM {_EDGE} f) t GROUP BY 1 ORDER BY degree DESC, id LIMIT 20")
+@op("gr08", f"WITH {_ENTS}{_PAIRS}, g AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) t GROUP BY 1 ORDER BY degree DESC, id LIMIT 20) SELECT g.id, g.degree, (SELECT count(*) FROM m WHERE m.id = g.id) AS mentions FROM g")
 def gr08(spark, sf):
-    return G.degree(edges(spark, sf)).orderBy(F.desc("degree"), "id").limit(20)
+    """The nodes of most edges, with their mentions."""
+    top = G.degree(edges(spark, sf)).orderBy(F.desc("degree"), "id").limit(20)
+    n = mentions(spark, sf).join(F.broadcast(top.select("id")), "id", "left_semi").groupBy("id").agg(F.count("*").alias("mentions"))  # top: 20 rows
+    return top.join(n, "id", "left").select("id", "degree", F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
 
-@op("gr09", f"SELECT DISTINCT name AS id FROM {_MENTION} m WHERE name NOT IN (SELECT src FROM {_EDGE} e) AND name NOT IN (SELECT dst FROM {_EDGE} f)")
+@op("gr09", f"WITH {_ENTS}{_PAIRS} SELECT DISTINCT id FROM m WHERE id NOT IN (SELECT src FROM e) AND id NOT IN (SELECT dst FROM e)")
 def gr09(spark, sf):
-    return G.isolated(mentions(spark, sf).select(F.col("name").alias("id")).distinct(), edges(spark, sf))
+    return G.isolated(mentions(spark, sf).select("id").distinct(), edges(spark, sf))
 
 
-@op("gr10", f"SELECT d.doc_id, count(m.name) AS n FROM documents d LEFT JOIN {_MENTION} m ON m.doc_id=d.doc_id GROUP BY d.doc_id ORDER BY d.doc_id DESC LIMIT 25")
+@op("gr10", f"WITH {_ENTS} SELECT x.doc_id, x.title, count(m.id) AS n FROM (SELECT doc_id, title FROM documents ORDER BY added DESC NULLS LAST, doc_id DESC LIMIT 25) x LEFT JOIN m ON m.doc_id = x.doc_id GROUP BY 1, 2")
 def gr10(spark, sf):
-    """Recent documents and their mentions."""
-    d = table(spark, sf, "documents").select("doc_id").orderBy(F.desc("doc_id")).limit(25)
-    return d.join(mentions(spark, sf), "doc_id", "left").groupBy("doc_id").agg(F.count("name").alias("n"))
+    """Documents added last, with title and mentions."""
+    top = table(spark, sf, "documents").select("doc_id", "title", "added", F.when(F.col("text").isNotNull(), F.size(G.entity_array(F.col("text")))).otherwise(0).cast("long").alias("n"))
+    return top.orderBy(F.desc_nulls_last("added"), F.desc("doc_id")).limit(25).select("doc_id", "title", "n")
 
 
-@op("gr11", f"SELECT src, dst, weight FROM {_EDGE} e WHERE contains(lower(src),'hilo') OR contains(lower(dst),'hilo')")
+@op("gr11", f"WITH {_ENTS}{_PAIRS}, x AS (SELECT DISTINCT id, name FROM m WHERE contains(lower(name), 'kanake')) SELECT x.id, x.name, e.rel, CASE WHEN e.src = x.id THEN e.dst ELSE e.src END AS neighbour FROM x LEFT JOIN e ON e.src = x.id OR e.dst = x.id")
 def gr11(spark, sf):
-    return edges(spark, sf).where(F.lower("src").contains("hilo") | F.lower("dst").contains("hilo"))
+    """Entities whose name holds a string, with their neighbours."""
+    x = mentions(spark, sf).where(F.lower("name").contains("kanake")).select("id", "name").distinct()
+    e = edges(spark, sf)
+    both = e.select(F.col("src").alias("id"), "rel", F.col("dst").alias("neighbour")).unionByName(e.where("src <> dst").select(F.col("dst").alias("id"), "rel", F.col("src").alias("neighbour")))
+    return x.join(both, "id", "left").select("id", "name", "rel", "neighbour")
 
 
-@op("gr12", f"WITH b AS (SELECT src,dst FROM {_EDGE} e UNION SELECT dst,src FROM {_EDGE} f) SELECT src||'>'||dst AS path FROM b WHERE src='Kiwala' UNION ALL SELECT x.src||'>'||x.dst||'>'||y.dst FROM b x JOIN b y ON x.dst=y.src WHERE x.src='Kiwala' AND y.dst<>'Kiwala'")
+@op("gr12", f"WITH {_ENTS}{_PAIRS}, z AS (SELECT min(src) AS a FROM e), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT src || '>' || dst AS path FROM b, z WHERE src = a UNION ALL SELECT x.src || '>' || x.dst || '>' || y.dst FROM z, b x JOIN b y ON x.dst = y.src WHERE x.src = a AND y.dst <> a")
 def gr12(spark, sf):
-    return G.two_hops(edges(spark, sf), "Kiwala")
+    """Paths of one and two steps from the first node."""
+    e = cut_lineage(edges(spark, sf))
+    first = e.agg(F.min("src").alias("a")).first()["a"]
+    return G.two_hops(e, first or "")
 
 
-@op("gr13", f"SELECT name, count(*) AS n FROM {_MENTION} m GROUP BY 1 ORDER BY n DESC, name LIMIT 20 OFFSET 20")
+@op("gr13", f"WITH {_ENTS}, g AS (SELECT name, kind, count(*) AS n FROM m WHERE contains(lower(name), 'ka') GROUP BY 1, 2) SELECT name, kind, n, (SELECT count(*) FROM g) AS total, (SELECT count(*) FROM g) > 40 AS has_more FROM g ORDER BY n DESC, name, kind LIMIT 20 OFFSET 20")
 def gr13(spark, sf):
-    return mentions(spark, sf).groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").offset(20).limit(20)
+    """A page of the entities that a search finds, with their number and whether more follow."""
+    g = mentions(spark, sf).where(F.lower("name").contains("ka")).groupBy("name", "kind").agg(F.count("*").alias("n"))
+    total = F.broadcast(g.agg(F.count("*").alias("total")))
+    return g.orderBy(F.desc("n"), "name", "kind").offset(20).limit(20).crossJoin(total).withColumn("has_more", F.col("total") > 40)
 
 
-@op("gr14", f"SELECT 'nodes' AS t, count(DISTINCT name) AS n FROM {_MENTION} m UNION ALL SELECT 'edges', count(*) FROM {_EDGE} e")
+@op("gr14", f"WITH {_ENTS}{_PAIRS} SELECT 'nodes' AS t, count(DISTINCT id) AS n FROM m UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'hits', 0")
 def gr14(spark, sf):
-    return mentions(spark, sf).agg(F.lit("nodes").alias("t"), F.countDistinct("name").alias("n")).unionByName(edges(spark, sf).agg(F.lit("edges").alias("t"), F.count("*").alias("n")))
+    """Numbers of the graph; its own search finds nothing, as the store gives none."""
+    n = mentions(spark, sf).agg(F.lit("nodes").alias("t"), F.countDistinct("id").alias("n"))
+    return n.unionByName(edges(spark, sf).agg(F.lit("edges").alias("t"), F.count("*").alias("n"))).unionByName(spark.createDataFrame([("hits", 0)], "t string, n long"))
 
 
-@op("gr15")
+@op("gr15", f"WITH {_ENTS} SELECT kind, count(*) AS n FROM m WHERE doc_id IN (SELECT doc_id FROM documents WHERE strlen(text) >= 20) AND doc_id NOT IN (SELECT doc_id FROM reading_labels WHERE doc_id IS NOT NULL) GROUP BY 1")
 def gr15(spark, sf):
-    """A rebuild that leaves out texts under 20 bytes and documents done before."""
-    d = table(spark, sf, "documents").where(F.octet_length("text") >= 20)
-    done = d.where("medium = 'oral'").select("doc_id")
-    return G.entities(d.where("title IS NOT NULL").join(done, "doc_id", "left_anti"), "title", "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
+    """A backfill: texts of 20 bytes and more whose ids are not in the table of those done, here the labelled documents."""
+    done = table(spark, sf, "reading_labels").select("doc_id").distinct()
+    d = table(spark, sf, "documents").where(F.octet_length("text") >= 20).join(done, "doc_id", "left_anti")
+    return G.entities(d, "text", "doc_id").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@op("gr16", f"SELECT name, CASE WHEN regexp_matches(name,'^Ka') THEN 'hawaiian' WHEN regexp_matches(name,'^(The|Every|One)$') THEN 'english' ELSE 'skip' END AS kind FROM (SELECT DISTINCT name FROM {_MENTION} m) t")
-def gr16(spark, sf):
-    k = F.when(F.col("name").rlike("^Ka"), "hawaiian").when(F.col("name").rlike("^(The|Every|One)$"), "english").otherwise("skip")
-    return mentions(spark, sf).select("name").distinct().select("name", k.alias("kind"))
+_NW = r"trim(lower(translate({c},'ōīēūāŌĪĒŪĀ‘ʻ''','oieuaOIEUA')))"
 
 
-@op("sk17", f"SELECT md5(name) AS id, name, count(*) AS n FROM {_MENTION} m GROUP BY 1,2")
+@op("gr16", rf"""WITH {_ENTS}, n AS (SELECT DISTINCT name, kind, {_NW.format(c='name')} AS k FROM m),
+o AS (SELECT DISTINCT {_NW.format(c='searchterm')} AS k FROM searchstats WHERE searchterm IS NOT NULL),
+a AS (SELECT DISTINCT {_NW.format(c='x')} AS k FROM (SELECT unnest(string_split(authors, ' ')) AS x FROM sources) z WHERE x <> ''),
+g AS (SELECT DISTINCT {_NW.format(c='groupname')} AS k FROM sources WHERE groupname IS NOT NULL),
+f AS (SELECT lang, {_NW.format(c='w')} AS k, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(text, '[\p{{L}}ʻ‘'']+')) AS w FROM documents WHERE lang IN ('haw', 'en')) y GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 5)
+SELECT n.name, n.kind, CASE WHEN n.k = '' OR o.k IS NOT NULL OR n.kind IN ('Person', 'Place') THEN 'skip' WHEN a.k IS NOT NULL THEN 'include:person-name' WHEN g.k IS NOT NULL THEN 'include:place'
+WHEN h.k IS NOT NULL THEN 'stopword:hawaiian-word' WHEN x.k IS NOT NULL THEN 'stopword:english-word' ELSE 'skip' END AS action
+FROM n LEFT JOIN o ON o.k = n.k LEFT JOIN a ON a.k = n.k LEFT JOIN g ON g.k = n.k LEFT JOIN (SELECT k FROM f WHERE lang = 'haw') h ON h.k = n.k LEFT JOIN (SELECT k FROM f WHERE lang = 'en') x ON x.k = n.k""")
+def gr16(spark, sf):
+    """Entities classified in order: override there, label trusted, name list, place list, Hawaiian word, English word; else skipped.
+
+    The lists: search terms as overrides, authors' names, groups as places, words of at least five documents of a language.
+    """
+    from kilohana.functions.text import normalize_word_marks as key
+
+    src, docs = table(spark, sf, "sources"), table(spark, sf, "documents")
+    n = mentions(spark, sf).select("name", "kind").distinct().withColumn("k", key(F.col("name")))
+    over = table(spark, sf, "searchstats").where("searchterm IS NOT NULL").select(key(F.col("searchterm")).alias("k"))
+    people = src.select(F.explode(F.split("authors", " ")).alias("x")).where("x <> ''").select(key(F.col("x")).alias("k"))
+    places = src.where("groupname IS NOT NULL").select(key(F.col("groupname")).alias("k"))
+    w = docs.where("lang IN ('haw', 'en') AND text IS NOT NULL").select("doc_id", "lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}ʻ‘']+"), F.lit(0)))).alias("w"))
+    w = w.select("doc_id", "lang", key(F.col("w")).alias("k")).distinct().groupBy("lang", "k").agg(F.count("*").alias("n")).where("n >= 5")
+    for name, d in (("o", over), ("a", people), ("g", places), ("h", w.where("lang = 'haw'").select("k")), ("x", w.where("lang = 'en'").select("k"))):
+        n = n.join(d.distinct().withColumn(name, F.lit(1)), "k", "left")
+    action = F.when((F.col("k") == "") | F.col("o").isNotNull() | F.col("kind").isin("Person", "Place"), "skip").when(F.col("a").isNotNull(), "include:person-name").when(F.col("g").isNotNull(), "include:place")
+    action = action.when(F.col("h").isNotNull(), "stopword:hawaiian-word").when(F.col("x").isNotNull(), "stopword:english-word").otherwise("skip")
+    return n.select("name", "kind", action.alias("action"))
+
+
+@op("sk17", f"WITH {_ENTS} SELECT id, kind AS label, min(name) AS name, count(*) AS n FROM m GROUP BY 1, 2")
 def sk17(spark, sf):
-    """Nodes merged by id."""
-    return mentions(spark, sf).groupBy(F.md5("name").alias("id"), "name").agg(F.count("*").alias("n"))
+    """Nodes merged by label and id."""
+    return mentions(spark, sf).groupBy("id", F.col("kind").alias("label")).agg(F.min("name").alias("name"), F.count("*").alias("n"))
 
 
-@op("sk18", f"SELECT src, 'CO_MENTIONED_WITH' AS rel, dst, weight FROM {_EDGE} e WHERE src<>'Ka' AND dst<>'Ka'")
+@op("sk18", f"WITH {_ENTS}{_PAIRS} SELECT src, 'CO_MENTIONED_WITH' AS rel, dst, weight FROM e WHERE src IN (SELECT id FROM m WHERE kind <> 'Date') AND dst IN (SELECT id FROM m WHERE kind <> 'Date')")
 def sk18(spark, sf):
-    """Edges merged with weights; both ends must be nodes."""
-    n = mentions(spark, sf).where("name <> 'Ka'").select(F.col("name").alias("id")).distinct()
+    """Edges merged, weight 1 when made and one more each time; both ends must be nodes, here those that are no dates."""
+    n = mentions(spark, sf).where("kind <> 'Date'").select("id").distinct()
     e = edges(spark, sf)
     e = e.join(n.withColumnRenamed("id", "src"), "src", "left_semi").join(n.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return e.select("src", F.lit("CO_MENTIONED_WITH").alias("rel"), "dst", "weight")
 
 
-@op("sk19", f"SELECT doc_id, name FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS rn FROM {_MENTION} m) t WHERE rn<=25")
+@op("sk19", f"WITH {_ENTS}, f AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, kind) AS rn FROM m) SELECT d.doc_id, coalesce(d.title, '') AS title, CAST(d.added AS TIMESTAMP) AS last_seen, f.id FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id AND f.rn <= 25")
 def sk19(spark, sf):
-    """The first entities of each document."""
-    m = mentions(spark, sf)
-    return G.first_entities(m.select("doc_id", "name", F.col("name").alias("pos"), F.col("name").alias("id")), "doc_id", 25).select("doc_id", "name")
+    """Document nodes (an empty title stays empty, last seen when added) linked to their first 25 entities."""
+    d = table(spark, sf, "documents")
+    first = F.when(F.col("text").isNotNull(), F.slice(G.entity_array(F.col("text")), 1, 25))
+    return d.select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.col("added").alias("last_seen"), F.explode_outer(first).alias("e")).select("doc_id", "title", "last_seen", "e.id")

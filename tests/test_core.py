@@ -150,3 +150,24 @@ def test_query_runs(spark, name):
     if not os.path.isdir(SF):
         pytest.skip("no test data")
     assert registry.queries()[name](spark, SF).count() >= 0
+
+
+def test_entities_and_relations_of_a_text(spark):
+    text = "Kamehameha founded Lahainaluna School in 1831. The old town of Kanewai saw Pali visited Kona; Kalani"
+    d = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {(r["name"], r["kind"]): r["id"] for r in graph.entities(d, "text", "doc_id").collect()}
+    assert set(got) == {("Kamehameha", "Person"), ("Lahainaluna School", "Location"), ("Kanewai", "Location"), ("Pali", "Entity"), ("Kona", "Entity"), ("Kalani", "Person"), ("1831", "Date")}
+    assert got["Kamehameha", "Person"].startswith("PERSON_") and len(got["Kamehameha", "Person"]) == 31
+    x = graph.extract(d, "text", "doc_id")
+    rel = {tuple(r["r"]) for r in x.select(F.explode(graph.relation_array(F.col("text"), F.col("ents"))).alias("r")).collect()}
+    assert (got["Kamehameha", "Person"], "FOUNDED", got["Lahainaluna School", "Location"]) in rel
+    co = {tuple(r["p"]) for r in x.select(F.explode(graph.co_occurrence_array(F.col("text"), F.col("ents"))).alias("p")).collect()}
+    assert tuple(sorted((got["Pali", "Entity"], got["Kona", "Entity"]))) in co and all(a < b for a, b in co)
+    assert not any({got["Kalani", "Person"], got["Pali", "Entity"]} <= set(p) for p in co)
+
+
+def test_co_occurrence_stops_at_the_limit(spark):
+    names = " ".join(f"N{chr(97 + i // 26)}{chr(97 + i % 26)} x" for i in range(300))
+    d = spark.createDataFrame([(1, names + ". " + names)], "doc_id long, text string")
+    x = graph.extract(d, "text", "doc_id")
+    assert x.select(F.size(graph.co_occurrence_array(F.col("text"), F.col("ents"))).alias("n")).first()["n"] == graph.MOST_PAIRS

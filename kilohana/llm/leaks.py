@@ -7,7 +7,8 @@ each diagonal the words are compared in full: a word agrees where it is the same
 values stand for each other one to one all along the diagonal (slot consistency); any other word is changed. A leak is a stretch of at least ``RUN`` words of
 the passage, at most ``CHANGED`` of them changed, at least ``LITERAL`` the very words, or the whole passage where that is shorter.
 
-Windows reach every stretch with up to two changed words in ``RUN``. Those with more, up to ``CHANGED``, are seeded by the telling words (words of few
+Windows seed, but for stock ones, those of more than ``TELL_SHARE`` of the passages; a stretch of stock windows only is stock phrasing. Windows reach every
+stretch with up to two changed words in ``RUN``. Those with more, up to ``CHANGED``, are seeded by the telling words (words of few
 passages) that stand at the same distance in both texts, wherever the changed words are; ``TELLING`` of them must agree, for among the words of all
 passages three in four agree by chance. A stretch begins and ends with a word that agrees or is a misreading of the passage's: another word there cannot
 be told from text that goes elsewhere.
@@ -116,20 +117,36 @@ def alike(a: str, b: str) -> bool:
     return max(len(a), len(b)) - i - j <= 2
 
 
+def kind_of(w: str, names: frozenset[str]) -> int:
+    """The type of the slot that a folded small word fills, 0 for none."""
+    return NUM if w.isdigit() else MONTH if w in MONTHS else UNIT if w in UNITS else NAME if w in names else 0
+
+
+def templates(w: list[str], names: frozenset[str], window: int, slots: bool) -> list[str]:
+    """Every window of the words, with placeholders for slots."""
+    c = [str(kind_of(x, names) or x) if slots else x for x in w]
+    return [" ".join(c[i : i + window]) for i in range(len(c) - window + 1)]
+
+
 @dataclass
 class Vocabulary:
     """What is told from all passages of the query set together: their names, and the telling words."""
 
     names: frozenset[str]
     telling: frozenset[str]
+    stock: frozenset[str] = frozenset()  # template windows of so many passages that they tell none
 
     @classmethod
-    def of(cls, passages: list[str]) -> Vocabulary:
+    def of(cls, passages: list[str], window: int = WINDOW, slots: bool = True) -> Vocabulary:
+        names = names_of(passages)
         df: Counter = Counter()
+        wf: Counter = Counter()
         for p in passages:
-            df.update({x.lower() for x in words(p or "")})
+            w = [x.lower() for x in words(p or "")]
+            df.update(set(w))
+            wf.update(set(templates(w, names, window, slots)))
         most = max(3, int(TELL_SHARE * len(passages)))
-        return cls(names_of(passages), frozenset(x for x, n in df.items() if n <= most))
+        return cls(names, frozenset(x for x, n in df.items() if n <= most), frozenset(x for x, n in wf.items() if n > most))
 
 
 def _in_runs(same: np.ndarray, run: int) -> np.ndarray:
@@ -144,7 +161,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, vocabulary: Vocabulary | None = None, slots: bool = True) -> None:
         self.window, self.slots = window, slots
-        vocabulary = vocabulary or Vocabulary.of([p for _, p in items])
+        vocabulary = vocabulary or Vocabulary.of([p for _, p in items], window, slots)
         self.names = vocabulary.names
         self.seen: dict[str, int] = {}  # words as they stand in documents, and their numbers
         self.ids: dict[str, int] = {}  # canonical or plain word to its number
@@ -190,10 +207,10 @@ class Index:
         self.tell_first = np.cumsum(self.tell_count) - self.tell_count
         keys, at_item, at_pos = [], [], []
         for k, c in enumerate(canon_rows):
-            h = self.hashes(c)
-            keys.append(h)
-            at_item.append(np.full(len(h), k))
-            at_pos.append(np.arange(len(h)))
+            at = np.array([i for i, x in enumerate(templates(self.words[k], self.names, window, slots)) if x not in vocabulary.stock], dtype=np.int64)
+            keys.append(self.hashes(c)[at])
+            at_item.append(np.full(len(at), k))
+            at_pos.append(at)
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
@@ -203,7 +220,7 @@ class Index:
 
     def _kind(self, w: str) -> int:
         """The type of the slot that a folded small word fills, 0 for none."""
-        return (NUM if w.isdigit() else MONTH if w in MONTHS else UNIT if w in UNITS else NAME if w in self.names else 0) if self.slots else 0
+        return kind_of(w, self.names) if self.slots else 0
 
     def _canon(self, w: str) -> int:
         return self._kind(w) or self.ids.setdefault(w, len(self.ids) + 8)
@@ -274,11 +291,7 @@ class Index:
         idx = np.repeat(first, c) + (np.arange(total) - np.repeat(np.cumsum(c) - c, c))
         item, pos = self.at_item[idx], self.at_pos[idx]
         diag = doc - pos
-        # Diagonals with at least two windows; two changed words in RUN leave no fewer.
         key = item * (1 << 32) + (diag + (1 << 30))
-        _, inv, n = np.unique(key, return_inverse=True, return_counts=True)
-        two = n[inv] >= np.where(self.length[item] > self.window, 2, 1)
-        item, pos, doc, key = item[two], pos[two], doc[two], key[two]
         # Words that agree within RUN of each window, for all of them at once: a stretch needs its share in some run around it.
         return self._agreeing(key, item, pos, doc, np.arange(-(run - 1), run + self.window), plain, canon, run, 1 - changed, 0)
 
@@ -413,7 +426,7 @@ def leaks(documents: DataFrame, items: DataFrame, slots: bool = True) -> DataFra
     d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "medium", "title")
     schema = "doc_id long, item_id long, words int, changed int, slots int"
     blocks = blocks_of(items)
-    vocabulary = Vocabulary.of([p for b in blocks for _, p in b])
+    vocabulary = Vocabulary.of([p for b in blocks for _, p in b], slots=slots)
     out = None
     for k in range(0, len(blocks), BLOCKS_A_SCAN):
         shared = sc.broadcast((vocabulary, blocks[k : k + BLOCKS_A_SCAN]))

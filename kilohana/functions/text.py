@@ -153,47 +153,6 @@ def clean_sentence(c: Column) -> Column:
     return F.regexp_replace(F.replace(c, F.lit(DOT), F.lit(".")), r"\s+([?!])", "$1")
 
 
-SKIP_SUBSTRINGS = ["OLELO HOOLAHA", "Olelo Hoolaha", "Kauwahi", "Advertisement", "All rights reserved", "Click here"]
-SKIP_EXACT = ["e", "a", "o", "1", "2", "3"]
-
-
-def good_sentence(c: Column, min_words: int = 3) -> Column:
-    """A text with ‘ passes; else enough words, no numbered label, none of the listed strings."""
-    bad = c.rlike(r"^(?:No|P)\.\s*\d") | c.isin(SKIP_EXACT)
-    for s in SKIP_SUBSTRINGS:
-        bad = bad | c.contains(s)
-    return c.contains("‘") | ((word_count(c) >= min_words) & ~bad)
-
-
-def hawaiian_line(c: Column) -> Column:
-    """Has an okina or apostrophe, a particle, or a macron, and is no page label."""
-    skip = c.rlike(r"^\s*(?:Page|ʻAoao)\s+\d+\s*$") | c.rlike(r"^[\d\s.,-]*$")
-    return ~skip & (c.rlike("['ʻ‘]") | c.rlike("[āēīōūĀĒĪŌŪ]") | c.rlike(r"(?:^|\s)(?:ka|ke|na|ua|he|o|i)\s"))
-
-
-#: Rules in order, the first that holds names the reason.
-BOILER_RULES = [
-    ("short", lambda c: F.octet_length(c) < 8),
-    ("capitals", lambda c: c.rlike("^[^a-z]*$") & c.rlike("[A-Z]")),
-    ("rights", lambda c: F.lower(c).rlike(r"all rights reserved|copyright|©")),
-    ("prompt", lambda c: F.lower(c).rlike(r"click here|share this|log in|subscribe|newsletter")),
-    ("address", lambda c: F.lower(c).rlike(r"\d+ [a-z]+ (?:street|avenue|road)|p\.o\. box")),
-    ("english", lambda c: boilerplate_stopwords(c) > 0.2),
-]
-
-
-def boilerplate_reason(c: Column) -> Column:
-    e = F.lit(None).cast("string")
-    for name, test in reversed(BOILER_RULES):
-        e = F.when(test(c), F.lit(name)).otherwise(e)
-    return e
-
-
-def primarily_english(c: Column) -> Column:
-    """No diacritics, no Hawaiian particle pair, and either half the words English or ASCII only with a stop word."""
-    return ~c.rlike("[ʻ‘āēīōūĀĒĪŌŪ]") & ~F.lower(c).rlike(r"(?:^|\s)(?:i ka|o ka|ma ka|i ke|ua \w+ ka|he \w+ ka)\s") & (boilerplate_stopwords(c) > 0.1)
-
-
 OCR_FIXES = [("ii a", "i a"), ("1a", "la"), ("0 ", "o "), ("  ", " ")]
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from kilohana.functions import gates as K
 from kilohana.functions import text as T
 from kilohana.registry import op
 from kilohana.session import table
+from kilohana.sources import readers
 
 FOLD = "translate({c},'ōīēūāŌĪĒŪĀ‘ʻ','oieuaOIEUA')"
 ALOWER = "translate({c},'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
@@ -68,21 +70,50 @@ _PS = rf"list_filter(string_split(regexp_replace({_P2}, '([.?!])\s+([A-ZĀĒĪŌ
 _PC = rf"list_filter(string_split_regex({_P2}, ',\s*'), lambda x: trim(x) <> '')"
 scalar("sf19", T.split_protected, f"list_transform(CASE WHEN len({_PS})<2 THEN {_PC} ELSE {_PS} END, lambda x: replace(x,'[[DOT]]','.'))", "documents", "doc_id", "text")
 scalar("sf20", T.clean_sentence, rf"regexp_replace(replace({H},'[[DOT]]','.'), '\s+([?!])', '\1', 'g')")
-_SK = "".join(f" AND NOT contains({H},'{s}')" for s in T.SKIP_SUBSTRINGS)
-_WC = f"(CASE WHEN {H} IS NULL OR {_W}='' THEN 0 ELSE length({_W})-length(replace({_W},' ',''))+1 END)"
-scalar("sf22", T.good_sentence, rf"contains({H},'‘') OR ({_WC}>=3 AND NOT regexp_matches({H},'^(?:No|P)\.\s*\d') AND {H} NOT IN ('e','a','o','1','2','3'){_SK})")
-_HL = rf"NOT (regexp_matches({H},'^\s*(?:Page|ʻAoao)\s+\d+\s*$') OR regexp_matches({H},'^[\d\s.,-]*$'))"
-scalar("sf23", T.hawaiian_line, rf"{_HL} AND (regexp_matches({H},'[''ʻ‘]') OR regexp_matches({H},'[āēīōūĀĒĪŌŪ]') OR regexp_matches({H},'(?:^|\s)(?:ka|ke|na|ua|he|o|i)\s'))")
-scalar(
+_IN = lambda xs: ",".join("'" + x.replace("'", "''") + "'" for x in xs)
+_CONTAINS = lambda c, xs: "(" + " OR ".join(f"contains({c},'" + x.replace("'", "''") + "')" for x in xs) + ")"
+_Q = lambda x: x.replace("'", "''")
+_SWC = rf"len(list_filter(regexp_extract_all({H},'[A-Za-z''-]+'), lambda x: regexp_matches(x,'[A-Za-z]')))"
+_SKIPPED = f"({_CONTAINS(H, K.SKIP)} OR {H} IN ({_IN(K.SKIP_EXACT)}) OR regexp_matches(trim({H}),'{_Q(K.LABEL)}'))"
+scalar("sf22", K.accepted, f"contains({H},'‘') OR ({_SWC}>=1 AND NOT {_SKIPPED})")
+scalar("sf23", K.accepted_hawaiian, f"{_SWC}>=1 AND NOT {_SKIPPED} AND (regexp_matches({H},'[''ʻ]') OR regexp_matches({H},'(?i){K._A}(?:{K.PLACES}){K._Z}') OR regexp_matches({H},'[āēīōūĀĒĪŌŪ]'))")
+
+_KW = rf"list_transform(string_split_regex({ALOWER.format(c='t')},'\s+'), lambda x: regexp_replace(x,'[^\p{{L}}\p{{N}}_]','','g'))"
+_LONG = f"list_filter({_KW}, lambda x: strlen(x)>2)"
+_ENGLISH = f"""(NOT (regexp_matches(t,'[ʻāēīōū]') OR (subst>0 AND known/greatest(subst,1)>=0.3) OR {" OR ".join(f"regexp_matches(t,'{_Q(x)}')" for x in K.NOT_ENGLISH)} OR {_CONTAINS(ALOWER.format(c='t'), K.DIALECT)})
+ AND (len(list_filter({_LONG}, lambda x: x IN ({_IN(K.ENGLISH)})))/greatest(len({_LONG}),1)>0.5 OR (regexp_matches(t,'{_Q(K.PLAIN_TEXT)}') AND NOT {_CONTAINS(ALOWER.format(c='t'), K.HAWAIIAN)} AND len({_LONG})>3)))"""
+_PATTERN = "CASE " + " ".join(f"WHEN regexp_matches(t,'{_Q(p)}'){' AND known<2' if p == K.CAPITALS else ''} THEN {i}" for i, p in enumerate(K.PATTERNS, 1)) + " END"
+_KEYS = "+".join(f"(contains(l,'{_Q(K._lower(k))}'))::INT" for k in K.KEYWORDS)
+_JUDGED = rf"""x AS (SELECT sentenceid, regexp_replace({H},'^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$','','g') AS t FROM {{rows}} WHERE {H} IS NOT NULL),
+k AS (SELECT sentenceid, translate(u,'āēīōūʻ`','aeiou') AS word FROM (SELECT sentenceid, unnest({_KW}) AS u FROM x) y WHERE strlen(u)>1),
+n AS (SELECT k.sentenceid, count(dict.word) AS known, count(*) AS subst FROM k LEFT JOIN dict ON dict.word=k.word GROUP BY 1),
+j AS (SELECT x.sentenceid, x.t, {ALOWER.format(c='x.t')} AS l, coalesce(known,0) AS known, coalesce(subst,0) AS subst FROM x LEFT JOIN n ON n.sentenceid=x.sentenceid)"""
+_WORD = "trim(" + ALOWER.format(c=fold_sql("w")) + ")"
+
+
+def _gate(name: str, col: str, sql: str, doc: str) -> None:
+    def run(spark, sf):
+        from kilohana.plans.search import sents
+
+        rows = sents(spark, sf)
+        dictionary = readers.word_list(table(spark, sf, "sources").where("title IS NOT NULL").select(F.col("title").alias("line")))
+        return K.judged(rows, "sentenceid", H, dictionary).select("sentenceid", F.col(col).alias("v"))
+
+    run.__doc__ = doc
+    rows = f"(SELECT sentenceid, {H} FROM (SELECT *, row_number() OVER (PARTITION BY sentenceid ORDER BY created DESC NULLS LAST, {H} DESC NULLS LAST) AS rn FROM sentences) q WHERE rn=1) r"
+    word = f"(SELECT word FROM (SELECT DISTINCT {_WORD} AS word FROM (SELECT unnest(string_split_regex(title,'[\\n, ]+')) AS w FROM sources WHERE title IS NOT NULL) z) y WHERE word NOT IN ('','a','i'))"
+    op(name, f"WITH dict AS {word},{_JUDGED.replace('{rows}', rows)} SELECT sentenceid, {sql} AS v FROM j")(run)
+
+
+_gate(
     "sf24",
-    T.boilerplate_reason,
-    rf"""CASE WHEN strlen({H})<8 THEN 'short' WHEN regexp_matches({H},'^[^a-z]*$') AND regexp_matches({H},'[A-Z]') THEN 'capitals'
-WHEN regexp_matches(lower({H}),'all rights reserved|copyright|©') THEN 'rights' WHEN regexp_matches(lower({H}),'click here|share this|log in|subscribe|newsletter') THEN 'prompt'
-WHEN regexp_matches(lower({H}),'\d+ [a-z]+ (?:street|avenue|road)|p\.o\. box') THEN 'address'
-WHEN len({_SW})>0 AND len(list_filter({_SW}, lambda x: x IN ({STOPS})))/len({_SW})>0.2 THEN 'english' END""",
+    "reason",
+    f"""CASE WHEN strlen(t)<8 THEN 'too_short (<8 chars)' WHEN strlen(t)<20 THEN CASE WHEN known>=2 OR known/greatest(len({_KW}),1)>=0.5 THEN NULL
+ WHEN regexp_matches(t,'[ʻāēīōū]|{K._A}(?:{K.SHORT_WORDS}){K._Z}') THEN CASE WHEN regexp_matches(t,'(?i){K.CREDIT}') THEN 'English fragment' END ELSE 'short non-Hawaiian (<20 chars)' END
+ ELSE coalesce('pattern ' || ({_PATTERN}), CASE {" ".join(f"WHEN regexp_matches(t,'{_Q(rx)}') THEN '{r}'" for r, rx in K.LATER)} WHEN len({_KW})>5 AND ({_KEYS})/len({_KW})>0.20 THEN 'publisher keywords' WHEN {_ENGLISH} THEN 'primarily English' END) END""",
+    "Boilerplate: the first rule that rejects a sentence; the dictionary is the word list of titles.",
 )
-_EN = f"(CASE WHEN len({_SW})>0 THEN len(list_filter({_SW}, lambda x: x IN ({STOPS})))/len({_SW}) ELSE 0.0 END > 0.1)"
-scalar("sf25", T.primarily_english, rf"NOT regexp_matches({H},'[ʻ‘āēīōūĀĒĪŌŪ]') AND NOT regexp_matches(lower({H}),'(?:^|\s)(?:i ka|o ka|ma ka|i ke|ua \w+ ka|he \w+ ka)\s') AND {_EN}")
+_gate("sf25", "english", _ENGLISH, "Primarily English: no diacritics, few dictionary words, no particle pairs, no dialect, and English words or plain letters only.")
 scalar("sf26", T.ocr_clean, r"trim(regexp_replace(regexp_replace(regexp_replace(text,'(\p{L})-\s+(\p{Ll})','\1\2','g'),'\s+([,.;:?!])','\1','g'),'[ \t]+',' ','g'))", "documents", "doc_id", "text")
 scalar("sf39", T.str_word_count, rf"CAST(len(list_filter(regexp_extract_all({H},'[A-Za-z''-]+'), lambda x: regexp_matches(x,'[A-Za-z]'))) AS INTEGER)")
 scalar("sf42", lambda c: T.cut(T.strip_control(c)), r"substr(regexp_replace(title,'[\x00-\x1F\x7F]','','g'),1,140)", "sources", "sourceid", "title")

@@ -171,3 +171,27 @@ def test_co_occurrence_stops_at_the_limit(spark):
     d = spark.createDataFrame([(1, names + ". " + names)], "doc_id long, text string")
     x = graph.extract(d, "text", "doc_id")
     assert x.select(F.size(graph.co_occurrence_array(F.col("text"), F.col("ents"))).alias("n")).first()["n"] == graph.MOST_PAIRS
+
+
+@pytest.mark.parametrize("text,ok", [("Ua hele ‘o ia. Privacy", True), ("Terms of Use", False), ("No.12", False), ("P.3", False), ("OLELO HOOLAHA.", False), ("Ua hele ke keiki", True), ("1234", False), ("Copyright 1999", False)])
+def test_accepted_sentences(spark, text, ok):
+    from kilohana.functions import gates
+
+    assert one(spark, gates.accepted(F.col("t")), text) is ok
+
+
+def test_boilerplate_reasons(spark):
+    from kilohana.functions import gates
+
+    cases = {
+        "abc": "too_short (<8 chars)", "written by": "short non-Hawaiian (<20 chars)", "ua hele ka lā": None, "Aloha kakou e ke aliʻi nui o ka ʻāina": None,
+        "Call us at (808) 555-1234 for more": "pattern 11", "PUA MELEKULE NANI LOA.": "pattern 77", "The students of this school have a book with the story": "primarily English",
+        "He died at 12 Fort and Kukui in the Street of that name there": "street address", "For all and some in our lives today": "pattern 22", "O ka hale ia o ka moi kahiko loa": None,
+    }
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None)], "sentenceid long, hawaiiantext string")
+    words = spark.createDataFrame([("hale",), ("hele",)], "word string")
+    got = {r["sentenceid"]: r["reason"] for r in gates.judged(d, "sentenceid", "hawaiiantext", words).collect()}
+    assert 99 not in got
+    for i, (t, want) in enumerate(cases.items()):
+        have = got[i]
+        assert (have or "").split(" ")[0] == (want or "").split(" ")[0], (t, have, want)

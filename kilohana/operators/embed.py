@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 def hashed_embedding(c: Column, dims: int) -> Column:
     """Words hashed to signed buckets, normalised: stands in for an embedding service where none is at hand."""
     words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when(F.pmod(x, F.lit(dims)) == i, F.when(F.pmod(F.shiftright(x, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+
+    def add(acc, x):
+        sign = F.when(F.pmod(F.shiftright(x, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+        return F.transform(acc, lambda v, i: F.when(F.pmod(x, F.lit(dims)) == i, v + sign).otherwise(v))
+
+    v = F.aggregate(hashes, F.array_repeat(F.lit(0.0), dims), add)
+    # Each step is bound once: the sums, then their length.
+    with_norm = F.transform(F.array(v), lambda a: F.struct(a.alias("a"), F.sqrt(F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x)).alias("n")))
+    unit = F.transform(with_norm, lambda s: F.transform(s["a"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0).cast("float")))
+    return unit[0]
 
 
 def fill(template: str, **values) -> str:

@@ -34,11 +34,11 @@ def sk02(spark, sf):
     return M.insert_ignore(s.where("sourceid = 1001").select(F.col(H).alias("t")), new, ["t"])
 
 
-@op("sk03", r"SELECT sourceid, string_agg(trim(regexp_replace(hawaiiantext,'[\x00-\x1F\x7F]','','g')), chr(10) ORDER BY sentenceid, hawaiiantext) AS text FROM " + SENTS + " GROUP BY 1")
+@op("sk03", rf"SELECT sourceid, sentenceid // {readers.PART} AS part, string_agg(trim(regexp_replace(hawaiiantext,'[\x00-\x1F\x7F]','','g')), chr(10) ORDER BY sentenceid, trim(regexp_replace(hawaiiantext,'[\x00-\x1F\x7F]','','g'))) AS text FROM " + SENTS + " GROUP BY 1, 2")
 def sk03(spark, sf):
-    """Full text of a source from its sentences."""
-    s = sents(spark, sf).select("sourceid", F.struct("sentenceid", H, F.trim(T.strip_control(F.col(H))).alias("t")).alias("x"))
-    return s.groupBy("sourceid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
+    """Full text of a source from its sentences, in parts of bounded size."""
+    s = sents(spark, sf).select("sourceid", "sentenceid", F.trim(T.strip_control(F.col(H))).alias("t"))
+    return readers.in_parts(s, "sourceid", "sentenceid", "t", "\n")
 
 
 @op("sk04", "WITH l AS (SELECT sourceid, html, text FROM (SELECT *, row_number() OVER (PARTITION BY sourceid ORDER BY created DESC NULLS LAST, html DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM contents) t WHERE rn=1) SELECT sourceid, length(html) AS h, length(text) AS t FROM l")
@@ -154,12 +154,12 @@ def sk23(spark, sf):
 
 @op("sk24")
 def sk24(spark, sf):
-    """Missing vectors filled in."""
+    """Missing vectors filled in for every text without one, by a pluggable function (a local one here); those that are there stay."""
     from kilohana.operators.embed import hashed_embedding
 
-    d = table(spark, sf, "documents").where("title IS NOT NULL AND medium = 'oral'").select("doc_id", "title", F.expr("CAST(NULL AS ARRAY<FLOAT>)").alias("embedding"))
-    st = d.where("embedding IS NULL").select("doc_id", hashed_embedding(F.col("title"), 16).alias("embedding"))
-    return M.update_columns(d, st, "doc_id", ["embedding"])
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text").join(e, "doc_id", "left")
+    return d.select("doc_id", F.coalesce("embedding", hashed_embedding(F.col("text"), 64)).alias("embedding"))
 
 
 @op("sk25", "WITH n AS (SELECT sourceid, max(title) AS title FROM sources GROUP BY 1), o AS (SELECT sourceid, NULL::VARCHAR AS title FROM contents GROUP BY 1) SELECT * FROM n UNION ALL SELECT * FROM o WHERE sourceid NOT IN (SELECT sourceid FROM n)")

@@ -40,14 +40,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_OWN: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the session names in spark.checkpoint.dir. Unset, a folder of our own serves a local session; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN:
+        import tempfile
+
+        _OWN.append(tempfile.mkdtemp(prefix="kilohana-"))
+    return _OWN[0]
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """checkpoint() into the shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """checkpoint() into the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", "")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="kilohana-checkpoint-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager)

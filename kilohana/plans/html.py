@@ -32,9 +32,8 @@ def x03(spark, sf):
 
 @op("x04")
 def x04(spark, sf):
-    """Paragraphs where there are any, else the whole page's blocks."""
-    p = F.filter(X.paragraphs_udf("html"), lambda x: F.length(x) > 40)
-    return pages(spark, sf).select("sourceid", F.size(p).alias("n"))
+    """The texts of //p, else of //body: what the first pattern that matches gives."""
+    return pages(spark, sf).select("sourceid", F.posexplode(X.first_pattern_udf("html")).alias("n", "text"))
 
 
 @op("x05")
@@ -43,9 +42,23 @@ def x05(spark, sf):
     return pages(spark, sf).select("sourceid", F.array_join(X.paragraphs_udf("html"), "\n\n").alias("text"))
 
 
-@op("x06", r"SELECT sourceid, regexp_extract(html,'(?is)<title>(.*?)</title>',1) AS title FROM contents WHERE html IS NOT NULL")
+def _meta_sql(what: str) -> str:
+    e = ",".join("nullif(trim(regexp_extract(html,'" + rx.replace("'", "''") + "',1)),'')" for rx in X.META[what])
+    return f"trim(regexp_replace(coalesce({e},''),'{X.LABEL}',''))"
+
+
+@op("x06", f"""WITH s AS (SELECT sourceid, max(link) AS link FROM sources GROUP BY 1), m AS (SELECT c.sourceid, s.link, {_meta_sql('title')} AS title, {_meta_sql('date')} AS d, {_meta_sql('authors')} AS authors FROM contents c LEFT JOIN s ON s.sourceid=c.sourceid WHERE html IS NOT NULL),
+n AS (SELECT *, coalesce(nullif(d,''), nullif(replace(regexp_extract(coalesce(link,''),'/(\\d{{4}}/\\d{{2}}/\\d{{2}})/',1),'/','-'),''), '') AS date FROM m)
+SELECT sourceid, title, date, authors, coalesce(regexp_extract(link,'^https?://([^/]+)',1),'') || ': ' || date AS sourcename FROM n""".replace("\\\\", "\\"))
 def x06(spark, sf):
-    return pages(spark, sf).select("sourceid", X.title(F.col("html")).alias("title"))
+    """A page's metadata: title (heading, og:title, title), date (published_time, else the address), author without its label, and the name made of them."""
+    s = table(spark, sf, "sources").groupBy("sourceid").agg(F.max("link").alias("link"))
+    p = pages(spark, sf).join(s, "sourceid", "left")
+    in_url = F.replace(F.regexp_extract(F.coalesce("link", F.lit("")), r"/(\d{4}/\d{2}/\d{2})/", 1), F.lit("/"), F.lit("-"))
+    date = F.coalesce(F.nullif(X.meta(F.col("html"), "date"), F.lit("")), F.nullif(in_url, F.lit("")), F.lit(""))
+    m = p.select("sourceid", "link", X.meta(F.col("html"), "title").alias("title"), date.alias("date"), X.meta(F.col("html"), "authors").alias("authors"))
+    host = F.coalesce(F.regexp_extract("link", r"^https?://([^/]+)", 1), F.lit(""))
+    return m.select("sourceid", "title", "date", "authors", F.concat(host, F.lit(": "), "date").alias("sourcename"))
 
 
 @op("x07", r"""SELECT DISTINCT unnest(regexp_extract_all(html,'href="([^"]+)"',1)) AS link FROM contents WHERE html IS NOT NULL""")
@@ -63,41 +76,43 @@ def x09(spark, sf):
     return table(spark, sf, "contents").where("text IS NOT NULL").select("sourceid", F.array_join(keep, "\n").alias("t"))
 
 
-@op("x10")
+_CP = {k: v.replace("'", "''") for k, v in X.CARD_PARTS.items()}
+
+
+@op("x10", rf"""WITH b AS (SELECT sourceid, unnest(string_split_regex(html,'{X.CARD}')[2:]) AS x FROM contents WHERE html IS NOT NULL),
+g AS (SELECT sourceid, regexp_extract(x,'{_CP["url"]}',1) AS url, regexp_extract(x,'{_CP["title"]}',1) AS ti, regexp_extract(x,'{_CP["text"]}',1) AS te, regexp_extract(x,'{_CP["image"]}',1) AS image, regexp_extract(x,'{_CP["authors"]}',1) AS au FROM b)
+SELECT sourceid, regexp_replace(trim(CASE WHEN ti<>'' THEN ti ELSE te END),'^Column:\s*','') AS title, url, image, trim(regexp_replace(au,'{X.LABEL}','')) AS authors, replace(regexp_extract(url,'/(\d{{4}}/\d{{2}}/\d{{2}})/',1),'/','-') AS date FROM g WHERE url<>''""".replace("\\", "\\"))
 def x10(spark, sf):
-    """Article cards: link and its text, labels stripped."""
-    card = F.regexp_extract_all("html", F.lit(r'<a href="([^"]+)">([^<]+)</a>'), F.lit(0))
-    x = pages(spark, sf).select("sourceid", F.explode(card).alias("c"))
-    rx = r'<a href="([^"]+)">([^<]+)</a>'
-    return x.select("sourceid", F.regexp_extract("c", rx, 1).alias("url"), F.regexp_replace(F.regexp_extract("c", rx, 2), r"^(?:Column: |By na |By |Na )", "").alias("title"))
+    """Article cards with title, address, image, authors and date."""
+    c = pages(spark, sf).select("sourceid", F.explode(X.cards(F.col("html"))).alias("c"))
+    return c.select("sourceid", "c.title", "c.url", "c.image", "c.authors", "c.date")
 
 
-@op("x11")
+@op("x11", r"""WITH RECURSIVE s AS (SELECT DISTINCT sourceid, link FROM sources WHERE link IS NOT NULL),
+e AS (SELECT DISTINCT s.link AS src, CASE WHEN starts_with(h,'/') THEN regexp_extract(s.link,'^(https?://[^/]+)',1)||h ELSE h END AS dst FROM (SELECT sourceid, unnest(regexp_extract_all(html,'href="([^"#]+)"',1)) AS h FROM contents WHERE html IS NOT NULL) c JOIN s ON s.sourceid=c.sourceid),
+r AS (SELECT link AS url FROM s UNION SELECT e.dst FROM r JOIN e ON e.src=r.url) SELECT DISTINCT url FROM r""")
 def x11(spark, sf):
-    """Next links followed until none is new; each round is one join, the visited set leaves by anti-join, rounds are bounded."""
-    from kilohana.session import cut_lineage
-
-    nxt = table(spark, sf, "sources").select(F.col("sourceid").alias("src"), (F.col("sourceid") + 3).alias("dst")).distinct()
-    ids = nxt.select(F.col("src").alias("id")).distinct()
-    seen = front = ids.where("id < 1010")
-    for _ in range(4):
-        front = front.join(nxt, front["id"] == nxt["src"]).select(F.col("dst").alias("id")).distinct().join(ids, "id", "left_semi").join(seen, "id", "left_anti")
-        seen = cut_lineage(seen.unionByName(front))
-    return seen
+    """Stored links followed from every source until no address is new."""
+    s = table(spark, sf, "sources").where("link IS NOT NULL").select("sourceid", "link").distinct()
+    h = pages(spark, sf).select("sourceid", F.explode(F.regexp_extract_all("html", F.lit('href="([^"#]+)"'))).alias("h")).join(s, "sourceid")
+    dst = F.when(F.col("h").startswith("/"), F.concat(F.regexp_extract("link", r"^(https?://[^/]+)", 1), "h")).otherwise(F.col("h"))
+    return X.follow(h.select(F.col("link").alias("src"), dst.alias("dst")).distinct(), s.select(F.col("link").alias("url")))
 
 
-@op("x12", "SELECT doc_id, unnest(range(1,3)) AS page, link || '?page=' || unnest(range(1,3)) AS url FROM documents WHERE link IS NOT NULL")
+@op("x12", "SELECT doc_id, 'http://pages.example/?a=d&d=OID' || doc_id || '.1.' || k || '&srpos=&dliv=none&st=1' || CASE WHEN doc_id % 2 = 0 THEN '&e=haw' ELSE '' END AS url FROM documents, (VALUES (1), (2), (3)) t(k) WHERE link IS NOT NULL AND k <= 1 + doc_id % 3")
 def x12(spark, sf):
-    """A document's pages as links."""
-    d = table(spark, sf, "documents").where("link IS NOT NULL").select("doc_id", "link", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("page"))
-    return d.select("doc_id", "page", F.concat("link", F.lit("?page="), F.col("page").cast("string")).alias("url"))
+    """A document's pages as addresses, from the page titles and the id in its first page's script."""
+    d = table(spark, sf, "documents").where("link IS NOT NULL")
+    titles = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int")), lambda k: F.concat(F.lit("'1."), k.cast("string"), F.lit("':'Page "), k.cast("string"), F.lit("'"))), ",\n")
+    html = F.concat(F.lit("<script>var pageTitles = {"), titles, F.lit('};\nvar d = {"documentOID" : "OID'), F.col("doc_id").cast("string"), F.lit('"};</script>'))
+    url = F.concat("link", F.when(F.col("doc_id") % 2 == 0, "?a=d&e=haw").otherwise("?a=d"))
+    return d.select("doc_id", F.explode(X.page_urls(html, url, "http://pages.example/")).alias("url"))
 
 
 @op("x13")
 def x13(spark, sf):
-    """Chapter text: doubled words before a number out, white space collapsed."""
-    t = F.regexp_replace(F.regexp_replace(X.strip_tags(F.col("html")), r"\b(\w+)\s+\1\s+\d+\b", " "), r"\s+", " ")
-    return pages(spark, sf).select("sourceid", F.trim(t).alias("t"))
+    """Chapter text with line breaks only."""
+    return pages(spark, sf).select("sourceid", X.chapter_html(F.col("html")).alias("t")).where("t <> ''")
 
 
 @op("x14", "SELECT sourcename, sourceid FROM (SELECT sourcename, sourceid, row_number() OVER (PARTITION BY sourcename ORDER BY sourceid, created NULLS FIRST) AS rn FROM sources WHERE date IS NOT NULL AND NOT contains(link,'pukehohonu')) t WHERE rn=1 ORDER BY sourceid LIMIT 200")
@@ -107,14 +122,16 @@ def x14(spark, sf):
     return R.first_per(s, "sourcename", "sourceid", "created").orderBy("sourceid").limit(200).select("sourcename", "sourceid")
 
 
-@op("x15", r"SELECT DISTINCT link, regexp_extract(link,'^https?://([^/]+)',1) AS host, regexp_extract(link,'([^/]+)$',1) AS base FROM sources WHERE link IS NOT NULL")
+@op("x15", r"WITH l AS (SELECT DISTINCT CASE WHEN sourceid%2=0 THEN link || '?a=d&d=' || sourceid || '.7&e=x' ELSE link || '.html' END AS url FROM sources WHERE link IS NOT NULL) SELECT url, regexp_extract(url,'^https?://([^/]+)',1) AS host, CASE WHEN regexp_matches(url,'[?&]d=') THEN regexp_extract(url,'[?&]d=([^&]*)',1) ELSE regexp_replace(regexp_extract(url,'([^/?]+)(?:\?|$)',1),'\.[^.]*$','') END AS oid FROM l")
 def x15(spark, sf):
-    s = table(spark, sf, "sources").where("link IS NOT NULL").select("link").distinct()
-    return s.select("link", F.regexp_extract("link", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("link", r"([^/]+)$", 1).alias("base"))
+    """The id in an address: the query parameter d, else the file's name without its ending."""
+    url = F.when(F.col("sourceid") % 2 == 0, F.concat("link", F.lit("?a=d&d="), F.col("sourceid").cast("string"), F.lit(".7&e=x"))).otherwise(F.concat("link", F.lit(".html")))
+    s = table(spark, sf, "sources").where("link IS NOT NULL").select(url.alias("url")).distinct()
+    name = F.regexp_replace(F.regexp_extract(F.parse_url(F.col("url"), F.lit("PATH")), r"([^/]+)$", 1), r"\.[^.]*$", "")
+    return s.select("url", F.parse_url(F.col("url"), F.lit("HOST")).alias("host"), F.coalesce(F.parse_url(F.col("url"), F.lit("QUERY"), F.lit("d")), name).alias("oid"))
 
 
 @op("x16")
 def x16(spark, sf):
-    """A page rendered to clean text."""
-    t = X.strip_tags(X.drop_elements(F.col("html"), "script", "style", "nav", "footer"))
-    return pages(spark, sf).select("sourceid", F.trim(F.regexp_replace(t, r"[ \t]+", " ")).alias("t"))
+    """Pages rendered to clean text."""
+    return pages(spark, sf).select("sourceid", X.unescape(X.clean_pages(F.col("html"))).alias("t"))
\ No newline at end of file

@@ -195,3 +195,45 @@ def test_boilerplate_reasons(spark):
     for i, (t, want) in enumerate(cases.items()):
         have = got[i]
         assert (have or "").split(" ")[0] == (want or "").split(" ")[0], (t, have, want)
+
+
+def test_html_patterns_cards_and_pages(spark):
+    from kilohana.operators import html as X
+
+    assert X.first_pattern("<body><p>Ua hele<p>Ua <b>noho</b></body>") == ["Ua hele", "Ua noho"] and X.first_pattern("<body><div>He hale</div>") == ["He hale"] and X.first_pattern(None) == []
+    card = '<article class="news-story"><img src="/i.jpg"><h3 class="story-title"><a title="Column: Ka lā" href="http://x.example/2025/05/10/ka-la">…</a></h3><ul class="byline"><li class="custom_byline">By na Kalani Hale</li></ul></article><article><a href="/b">He mele</a><ul class="byline"><li>Na Pua</li><li>May. 3, 2024</li></ul></article><article>x</article>'
+    got = [tuple(r["c"]) for r in spark.createDataFrame([(card,), (None,)], "t string").select(F.explode(X.cards(F.col("t"))).alias("c")).collect()]
+    assert got == [("Ka lā", "http://x.example/2025/05/10/ka-la", "/i.jpg", "Kalani Hale", "2025-05-10"), ("He mele", "/b", "", "Pua", "2024-05-03")]
+    page = "var pageTitles = {'1.1':'A',\n'1.2':'B'}; {\"documentOID\":\"X9\"}"
+    d = spark.createDataFrame([(page, "http://h/?a=d&e=q"), ("none", "http://h/2")], "t string, u string").select(X.page_urls(F.col("t"), F.col("u"), "http://p/").alias("v")).collect()
+    assert d[0]["v"] == ["http://p/?a=d&d=X9.1.1&srpos=&dliv=none&st=1&e=q", "http://p/?a=d&d=X9.1.2&srpos=&dliv=none&st=1&e=q"] and d[1]["v"] == ["http://h/2"]
+    assert one(spark, X.chapter_html(F.col("t")), '<a href="?d=NULL.1" target="main">Acts</a><p><span>MOKUNA I</span></p>Acts Acts 1 Ua  hele<br>Ua noho') == "<br />MOKUNA I<br />Ua hele<br />Ua noho"
+
+
+def test_follow_ends_on_cycles(spark):
+    from kilohana.operators import html as X
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("c", "d")], "src string, dst string")
+    assert sorted(r["url"] for r in X.follow(edges, spark.createDataFrame([("a",)], "url string")).collect()) == ["a", "b", "c", "d"]
+
+
+def test_readers_of_lists_and_aliases(spark, tmp_path):
+    from kilohana.sources import readers
+
+    (tmp_path / "a.json").write_text('{"entries": [{"word": "Hilo", "action": "INCLUDE", "category": "place"}, "kahi", {"word": " "}]}')
+    (tmp_path / "b.json").write_text('{"stopwords": ["Kona"], "recategorized": {"hilo": "name"}}')
+    got = {tuple(r) for r in readers.overrides(readers.override_files(spark, str(tmp_path))).collect()}
+    assert got == {("hilo", "include", "name"), ("kahi", "stopword", ""), ("kona", "stopword", "")}
+    wiki = spark.createDataFrame([("|| [[Kalani|k]] || x",), ("| no",)], "value string")
+    assert [r["name"] for r in readers.wikitext_names(wiki).collect()] == ["Kalani"]
+    rows = spark.createDataFrame([(1, "a\nb\n"), (2, ""), (3, "x")], "id long, text string")
+    readers.write_texts(rows, str(tmp_path / "texts"))
+    assert {tuple(r) for r in readers.read_texts(spark, str(tmp_path / "texts")).collect()} == {("1", "a\nb\n"), ("2", ""), ("3", "x")}
+    a = readers.Aliases(spark)
+    a.create("t_v1", rows)
+    with pytest.raises(ValueError):
+        a.create("t_v1", rows)
+    a.point("t_live", "t_v1")
+    with pytest.raises(ValueError):
+        a.remove("t_v1")
+    assert a.resolve("t_live") == "t_v1" and a.resolve("t_none") is None and a.remove("t_live") and a.remove("t_v1") and not a.exists("t_v1")

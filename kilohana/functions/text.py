@@ -6,6 +6,8 @@ its own name. "ASCII lower" is what byte-wise string functions do: only A-Z chan
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -227,3 +229,90 @@ def entity_norm(name: Column) -> Column:
 def entity_id(kind: Column, name: Column) -> Column:
     """TYPE_ and 24 hex digits of the sha1 of type and normalised name."""
     return F.concat(F.upper(kind), F.lit("_"), F.substring(F.sha1(F.concat(F.upper(kind), F.lit("|"), entity_norm(name))), 1, 24))
+
+
+#: Entities of doubly encoded letters and what they stand for, and marks that go: fixed values, longer ones count first.
+REPAIRS = {
+    "&Auml;&#129;": "ā", "&Auml;&#128;": "Ā", "&Ecirc;&raquo;": "‘",
+    "&Aring;&#141;": "ū", "&Auml;&ordf;": "Ī", "&Auml;&#147;": "ē",
+    "&raquo;": "", "&laquo;": "", "&mdash;": "-", "&nbsp;": " ",
+    "&Ecirc;": "‘", "&Aring;": "ū", "&Atilde;&#133;&Acirc;&#140;": "Ō",
+    "&Atilde;&#133;&Acirc;": "ū", "&Atilde;&#132;&Acirc;": "ā",
+    "&Atilde;&#138;&Acirc;&raquo;": "‘", "&Acirc;": "", "&acirc;": "",
+    "&lsquo;": "'", "&rsquo;": "'", "&rdquo;": '"', "&ldquo;": '"',
+    "&auml;": "ā", "&Auml;": "Ā", "&Euml;": "Ē", "&euml;": "ē",
+    "&Iuml;": "Ī", "&iuml;": "ī", "&ouml;": "ō", "&Ouml;": "Ō",
+    "&Uuml": "Ū", "&uuml;": "ū", "&aelig;": "‘", "&#128;&brvbar;": "-",
+    "&#128;&#147;": "-", "&#128;&#148;": "-", "&#128;&#152;": "‘",
+    "&#128;&#156;": '"', "&#128;&#157;": "-", "&#157;&#x9D;": "-",
+    "&#128;": "", "&#129;": "", "&#140;": "Ō", "&#146;": "'",
+    "&#256;": "Ā", "&#257;": "ā", "&#274;": "Ē", "&#275;": "ē",
+    "&#298;": "Ī", "&#299;": "ī", "&#332;": "Ō", "&#333;": "ō",
+    "&#362;": "Ū", "&#363;": "ū", "&#699;": "‘",
+}
+LEFTOVER = "\u0080\u00A6\u009C\u0099"
+
+
+def repair_entities(c: Column) -> Column:
+    """Entities of the table replaced, double quotes and control leftovers out, trimmed; other entities stay for a decoder. No replacement makes a new entity."""
+    e = c
+    for a, b in sorted(REPAIRS.items(), key=lambda x: -len(x[0])):
+        e = F.replace(e, F.lit(a), F.lit(b))
+    e = F.replace(F.regexp_replace(e, "\u0080[\u0099\u009C\u009D]", " "), F.lit('"'), F.lit(""))
+    return F.trim(F.regexp_replace(e, "[" + LEFTOVER + "]", "."))
+
+
+def one_okina(c: Column) -> Column:
+    """Curly single quotes and apostrophes as the okina."""
+    return F.translate(c, "‘’'", "ʻʻʻ")
+
+
+#: Lines that end the text: fixed values.
+END_MARKERS = ["applesauce", "O KA HOOMAOPOPO ANA I NA KII", "TRANSLATION OF INTRODUCTION", "After we pray", "Look up", "Share this"]
+RESPLIT, LONGEST = 400, 1000
+
+
+def merge_lines(lines: list[str]) -> list[str]:
+    """Initials and lone capitalised words run together with the initials, words and short capitalised lines that follow."""
+    starts = re.compile(r"^(?:[A-Z][a-z]*\.?(?:-[a-z, ]+)?|[A-Z]\.-?)$")
+    out, i = [], 0
+    while i < len(lines):
+        cur = lines[i].strip()
+        i += 1
+        if starts.match(cur):
+            while i < len(lines) and (starts.match(nxt := lines[i].strip()) or len(nxt) <= 30 and re.match("[A-Z]", nxt)):
+                cur += " " + nxt
+                i += 1
+        out.append(cur)
+    return out
+
+
+def connect_lines(lines: list[str]) -> list[str]:
+    """A line of an okina alone joins the line before and the one after."""
+    out: list[str] = []
+    open_ = False
+    for x in map(str.strip, lines):
+        mark = x in ("‘", "ʻ")
+        if out and (mark or open_):
+            out[-1] += x
+        else:
+            out.append(x)
+        open_ = mark
+    return out
+
+
+def unit_lines(text: str | None) -> list[str]:
+    """The lines of a page as units: merged and connected, those above ``RESPLIT`` bytes split into sentences, cut at ``LONGEST`` bytes (whole characters), up to the
+    first that holds an end marker."""
+    if not text:
+        return []
+    lines = connect_lines([x for x in merge_lines([x for x in text.split("\n") if x.strip()])])
+    out = []
+    for x in lines:
+        parts = [p for p in re.split(r"(?<=[.?!])\s+", x) if p] if len(x.encode()) > RESPLIT else [x]
+        for p in parts:
+            p = p.encode()[:LONGEST].decode("utf-8", "ignore")
+            if any(m in p for m in END_MARKERS):
+                return out
+            out.append(p)
+    return out

@@ -245,29 +245,20 @@ def sf47(spark, sf):
 
 @op("sf21")
 def sf21(spark, sf):
-    """Encoding repair: entities decoded and quote marks of the okina unified, in Arrow batches."""
-    @F.pandas_udf("string")
-    def repair(s: pd.Series) -> pd.Series:
-        import html
+    """Encoding repair: the table's entities by built-in replacements, the others decoded in Arrow batches, one mark for the okina."""
+    from kilohana.operators.html import unescape
 
-        return s.map(lambda x: None if x is None else html.unescape(x).replace("&rsquo;", "ʻ").replace("’", "ʻ"))
-
-    return table(spark, sf, "contents").select("sourceid", repair("html").alias("html"))
+    return table(spark, sf, "contents").select("sourceid", T.one_okina(unescape(T.repair_entities(F.col("html")))).alias("html"))
 
 
 @op("sf27")
 def sf27(spark, sf):
-    """Lines merged: a line of one initial, or of an okina alone, joins the next; units above 1000 bytes are cut at a space."""
-    lines = F.filter(F.split("text", r"\n+"), lambda x: F.trim(x) != "")
-    merged = F.aggregate(
-        lines,
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1).rlike(r"(?:^|\s)[A-Z]\.$") | F.element_at(acc, -1).rlike("^[ʻ‘]$")),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), x))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return table(spark, sf, "contents").where("text IS NOT NULL").select("sourceid", F.posexplode(merged).alias("n", "line"))
+    """Lines as units: initials and okina lines joined, long ones split, cut at 1000 bytes, up to an end marker. State runs over the lines, so in Arrow batches."""
+    @F.pandas_udf("array<string>")
+    def units(s: pd.Series) -> pd.Series:
+        return s.map(T.unit_lines)
+
+    return table(spark, sf, "contents").where("text IS NOT NULL").select("sourceid", F.posexplode(units("text")).alias("n", "line"))
 
 
 @op("sf28", r"SELECT sourceid, unnest(string_split_regex(html,'(?i)<br\s*/?>')) AS part FROM contents WHERE html IS NOT NULL")
@@ -275,24 +266,16 @@ def sf28(spark, sf):
     return table(spark, sf, "contents").where("html IS NOT NULL").select("sourceid", F.explode(F.split("html", r"(?i)<br\s*/?>")).alias("part"))
 
 
-@op("sf29")
+_BRACKETS = r"(\([^()]*\)|\[[^\[\]]*\])|([.?!])(\s+)"
+
+
+def split_outside_brackets(c):
+    """Parts between sentence ends that stand outside brackets: brackets and ends are marked in one pass, and only ends with white space part the text."""
+    marked = F.replace(F.regexp_replace(c, _BRACKETS, "$1$2\x02$3\x03"), F.lit("\x02\x03"), F.lit(""))
+    return F.filter(F.transform(F.split(marked, "\x02\\s+\x03"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+@op("sf29", rf"""SELECT doc_id, unnest(range(len(p))) AS n, unnest(p) AS part FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(regexp_replace(text,'{_BRACKETS}','\1\2'||chr(2)||'\3'||chr(3),'g'),chr(2)||chr(3),''),chr(2)||'\s+'||chr(3)), lambda x: regexp_replace(x,'^\s+|\s+$','','g')), lambda x: x<>'') AS p FROM documents WHERE text IS NOT NULL) t""")
 def sf29(spark, sf):
-    """Split at sentence ends that stand outside brackets."""
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        def one(t):
-            out, depth, start = [], 0, 0
-            for i, ch in enumerate(t or ""):
-                if ch in "([":
-                    depth += 1
-                elif ch in ")]":
-                    depth = max(0, depth - 1)
-                elif ch in ".?!" and depth == 0 and (i + 1 == len(t) or t[i + 1].isspace()):
-                    out.append(t[start : i + 1].strip())
-                    start = i + 1
-            rest = (t or "")[start:].strip()
-            return out + ([rest] if rest else [])
-
-        return s.map(one)
-
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(cut("text")).alias("n", "part"))
+    """Split at sentence ends that stand outside brackets (of one level); an unclosed bracket is a plain character."""
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(split_outside_brackets(F.col("text"))).alias("n", "part"))

@@ -237,3 +237,19 @@ def test_readers_of_lists_and_aliases(spark, tmp_path):
     with pytest.raises(ValueError):
         a.remove("t_v1")
     assert a.resolve("t_live") == "t_v1" and a.resolve("t_none") is None and a.remove("t_live") and a.remove("t_v1") and not a.exists("t_v1")
+
+
+def test_encoding_repair_and_unit_lines(spark):
+    c = F.col("t")
+    assert one(spark, T.one_okina(T.repair_entities(c)), ' k&Auml;&#129;ne &Ecirc;&raquo;o "X"&nbsp;&#333; it\'s ') == "kāne ʻo X ō itʻs"
+    assert T.merge_lines(["J.", "K.", "Kalani", "ua hele ke keiki"]) == ["J. K. Kalani", "ua hele ke keiki"]
+    assert T.connect_lines(["ka", "‘", "aina", "hou"]) == ["ka‘aina", "hou"]
+    assert T.unit_lines(None) == [] and T.unit_lines("ua hele\nShare this page\nua noho") == ["ua hele"]
+    long = T.unit_lines("ka " * 100 + "hale. " + "nā " * 600 + "lā.")
+    assert len(long) == 2 and len(long[1].encode()) <= 1000
+
+
+def test_bracket_aware_split(spark):
+    from kilohana.plans.text import split_outside_brackets
+
+    assert one(spark, split_outside_brackets(F.col("t")), "Ua hele (He hale. Nui.) ia. Ua noho [1. 2.] lāua! Aia 3.5 (x") == ["Ua hele (He hale. Nui.) ia.", "Ua noho [1. 2.] lāua!", "Aia 3.5 (x"]

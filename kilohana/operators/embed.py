@@ -32,3 +32,17 @@ def fill(template: str, **values) -> str:
         return m.group(1) + json.dumps(v)[1:-1] + m.group(3) if m.group(1) and isinstance(v, str) else m.group(1) + json.dumps(v, ensure_ascii=False) + m.group(3)
 
     return re.sub(r'("?)\{\{(\w+)\}\}("?)', one, template)
+
+
+def fill_columns(template: str, **values: Column) -> Column:
+    """fill with a value of its own for each row: strings, numbers and arrays as JSON."""
+    e = None
+    for part in re.split(r'("?\{\{\w+\}\}"?)', template):
+        m = re.fullmatch(r'"?\{\{(\w+)\}\}"?', part)
+        if m:  # a value in an array of one, without its brackets
+            j = F.to_json(F.array(values[m.group(1)]))
+            c = F.substring(j, F.lit(2), F.length(j) - 2)
+        else:
+            c = F.lit(part)
+        e = c if e is None else F.concat(e, c)
+    return e

@@ -86,6 +86,12 @@ def regex_terms(expr: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.findall(r"[^\W\d_ʻ](?:[^\W\d_]|ʻ)*", plain) if len(w) >= 3))
 
 
+def regex_terms_column(c: Column) -> Column:
+    """regex_terms over a column of expressions."""
+    plain = F.regexp_replace(c, r"\\[a-zA-Z]|[\\^$.|?*+()\[\]{}]", " ")
+    return F.array_distinct(F.filter(F.regexp_extract_all(plain, F.lit(r"\p{L}[\p{L}ʻ]*"), F.lit(0)), lambda x: F.length(x) >= 3))
+
+
 def snippet(c: Column, term: str, before: int = 200, size: int = 500) -> Column:
     """The text around the term's first place, with ellipses where it is cut."""
     pos = F.locate(term.lower(), F.lower(c))

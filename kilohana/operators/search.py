@@ -39,6 +39,11 @@ def query_tokens(term: str, folded: bool = False) -> list[str]:
     return [t for t in re.split(r"[^\w]+|_", term.lower()) if t]
 
 
+def guarded(term: str | None) -> str:
+    """A term without white space and quotes around it; '' where nothing is left."""
+    return (term or "").strip().strip('"“”').strip()
+
+
 def _has(part: str):
     return lambda x: x.contains(part)
 

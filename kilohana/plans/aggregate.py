@@ -141,11 +141,13 @@ def ag23_days(spark, sf):
 both("ag24", "SELECT hawaiiantext, count(*) AS frequency FROM {sentences} GROUP BY hawaiiantext", "sentences")
 
 
-@op("ag25", f"SELECT md5(hawaiiantext) AS hash, count(DISTINCT sourceid) AS frequency, list_sort(list(DISTINCT sourceid)) AS doc_ids, min(sentenceid) AS first_id FROM sentences GROUP BY 1")
+@op("ag25", "WITH d AS (SELECT md5(hawaiiantext) AS hash, sourceid, min(sentenceid) AS i FROM sentences GROUP BY 1, 2), p AS (SELECT hash, CAST(sourceid // 4096 AS BIGINT) AS part, list_sort(list(sourceid)) AS doc_ids FROM d GROUP BY 1, 2), f AS (SELECT hash, count(sourceid) AS frequency, min(i) AS first_id FROM d GROUP BY 1) SELECT f.hash, frequency, part, doc_ids, first_id FROM f JOIN p ON p.hash IS NOT DISTINCT FROM f.hash")
 def ag25(spark, sf):
-    """Sentences rolled up by hash: documents, their number, the first id."""
-    g = table(spark, sf, "sentences").select(F.md5(H).alias("hash"), "sourceid", "sentenceid")
-    return g.groupBy("hash").agg(F.countDistinct("sourceid").alias("frequency"), F.array_sort(F.collect_set("sourceid")).alias("doc_ids"), F.min("sentenceid").alias("first_id"))
+    """Sentences rolled up by hash: the number of documents, the first id, and the documents in parts of bounded size, so a line of all documents fits."""
+    d = table(spark, sf, "sentences").groupBy(F.md5(H).alias("hash"), "sourceid").agg(F.min("sentenceid").alias("i"))
+    p = d.groupBy("hash", F.floor(F.col("sourceid") / 4096).alias("part")).agg(F.array_sort(F.collect_list("sourceid")).alias("doc_ids"))
+    f = d.groupBy("hash").agg(F.count("sourceid").alias("frequency"), F.min("i").alias("first_id"))
+    return f.join(p.withColumnRenamed("hash", "_h"), F.col("hash").eqNullSafe(F.col("_h"))).select("hash", "frequency", "part", "doc_ids", "first_id")
 
 
 @op("ag26", f"SELECT sourceid, CAST(sum(wordcount) AS BIGINT) AS words, CAST(sum({ENTITY}) AS BIGINT) AS entities, max(CASE WHEN length({H})<40 THEN 0.5 ELSE 0.0 END)::DOUBLE AS boilerplate, count(*) AS n FROM sentences GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kilohana.functions import text as T
 from kilohana.operators import predicates as P
 from kilohana.plans.text import TOK
+from kilohana.plans.join import PATTERNS, patterns
 from kilohana.registry import both, op
 from kilohana.session import table
 
@@ -41,7 +42,7 @@ def pf05(spark, sf):
     return V.knn(e.where(~F.col("label").isin(1, 2)), V.query_vector(e), 10)
 
 
-both("pf06", "SELECT sourceid, date FROM {sources} WHERE date BETWEEN DATE '1900-01-01' AND DATE '1950-12-31'", "sources")
+both("pf06", "SELECT sourceid, date FROM {sources} WHERE date BETWEEN DATE '1990-01-01' AND DATE '2010-12-31'", "sources")
 both("pf07", "SELECT sourceid, authors FROM {sources} WHERE authors = 'Kalio Kakakanuʻe'", "sources")
 both("pf08", "SELECT sourceid, date FROM {sources} WHERE date IS NOT NULL", "sources")
 both("pf09", "SELECT sourceid FROM {contents} WHERE text IS NOT NULL AND octet_length(text) > 0", "contents", duck="SELECT sourceid FROM contents WHERE text IS NOT NULL AND strlen(text) > 0")
@@ -81,12 +82,18 @@ def pf16(spark, sf):
     return table(spark, sf, "sentences").where(P.good_content(F.col("hawaiiantext"))).select("sentenceid")
 
 
-@op("pf17")
+@op("pf17", "SELECT DISTINCT sentenceid, 'quoted' AS term FROM sentences WHERE contains(' ' || array_to_string(list_filter(string_split_regex(lower(hawaiiantext),'[^\\p{L}\\p{N}]+'), lambda x: x<>''),' ') || ' ', ' ka hale ')")
 def pf17(spark, sf):
-    """A blank term finds nothing."""
+    """Guards of a term: a blank one finds nothing, quotes around one go."""
     from kilohana.operators import search as S
 
-    return S.search(table(spark, sf, "sentences"), "all", "  ")
+    out = None
+    for name, term in (("blank", "  "), ("quotes only", '""'), ("quoted", '"ka hale"')):
+        t = S.guarded(term)
+        hit = S.search(table(spark, sf, "sentences"), "phrase", t) if t else table(spark, sf, "sentences").where("false")
+        x = hit.select("sentenceid", F.lit(name).alias("term")).distinct()
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 @op("pf18", "SELECT DISTINCT sentenceid, hawaiiantext FROM sentences WHERE regexp_matches(lower(hawaiiantext),'ka hale')")
@@ -98,12 +105,11 @@ def pf18(spark, sf):
 both("pf19", "SELECT sourceid FROM {contents} WHERE html IS NOT NULL AND text IS NOT NULL AND text <> ''", "contents")
 
 
-@op("pf20", "SELECT DISTINCT sentenceid FROM sentences WHERE NOT regexp_matches(lower(hawaiiantext),'ua|ke')")
+@op("pf20", f"SELECT DISTINCT sentenceid FROM sentences WHERE sentenceid NOT IN (SELECT sentenceid FROM {PATTERNS} p WHERE sentenceid IS NOT NULL)")
 def pf20(spark, sf):
-    """Rows without any pattern: an anti-join of those that have one."""
-    s = table(spark, sf, "sentences").select("sentenceid", "hawaiiantext")
-    have = s.where(F.lower("hawaiiantext").rlike("ua|ke")).select("sentenceid")
-    return s.select("sentenceid").distinct().join(have, "sentenceid", "left_anti")
+    """Rows without any grammar pattern: an anti-join of those that have one."""
+    s = table(spark, sf, "sentences")
+    return s.select("sentenceid").distinct().join(patterns(spark, sf).select("sentenceid"), "sentenceid", "left_anti")
 
 
 @op("pf21", "SELECT log_id, operation_type, status, started_at FROM processing_log WHERE status='failed' AND started_at >= TIMESTAMP '2016-01-01 10:00:00' AND started_at < TIMESTAMP '2027-01-01 10:00:00' ORDER BY started_at, log_id LIMIT 100")

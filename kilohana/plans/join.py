@@ -107,14 +107,39 @@ def jn16(spark, sf):
     return t.join(d, "w", "left").select("w", F.coalesce("k", F.lit(False)).alias("known"))
 
 
-@op("jn17", "WITH e AS (SELECT DISTINCT authors AS name FROM sources WHERE authors IS NOT NULL), p AS (SELECT DISTINCT split_part(name,' ',1) AS k FROM e), g AS (SELECT DISTINCT groupname AS k FROM sources) SELECT e.name, CASE WHEN p.k IS NOT NULL THEN 'person' WHEN g.k IS NOT NULL THEN 'group' ELSE 'skip' END AS kind FROM e LEFT JOIN p ON p.k=split_part(e.name,' ',1) LEFT JOIN g ON g.k=e.name")
+_K17 = "trim(lower(translate({c},'ōīēūāŌĪĒŪĀ‘ʻ\'\'','oieuaOIEUA')))"
+_L17 = {
+    "ssa": "SELECT unnest(string_split(authors,' ')) AS w FROM sources",
+    "ssa-hawaii": "SELECT unnest(regexp_extract_all(passage,'[A-ZĀĒĪŌŪʻ][\\p{L}ʻ]+')) FROM eval_items",
+    "given": "SELECT regexp_extract(sourcename,'^([^: ]+)',1) FROM sources",
+    "place": "SELECT groupname FROM sources",
+    "hawaiian-word": "SELECT unnest(string_split(title,' ')) FROM sources",
+    "english-word": "SELECT unnest(regexp_extract_all(prompt,'[A-Za-z]+')) FROM eval_items",
+}
+_J17 = " ".join(f"LEFT JOIN (SELECT DISTINCT {_K17.format(c='w')} AS k FROM ({q}) t(w) WHERE w IS NOT NULL) l{i} ON l{i}.k=e.k" for i, q in enumerate(_L17.values()))
+_C17 = " ".join(f"WHEN l{i}.k IS NOT NULL THEN '{n}'" for i, n in enumerate(_L17))
+
+
+@op("jn17", f"WITH e AS (SELECT DISTINCT {_K17.format(c='w')} AS k FROM (SELECT unnest(string_split(searchterm,' ')) AS w FROM searchstats WHERE searchterm IS NOT NULL) t) SELECT e.k AS name, CASE {_C17} ELSE 'skip' END AS kind FROM e {_J17} WHERE e.k<>''")
 def jn17(spark, sf):
-    """Entities classified by the first list that holds them."""
-    src = table(spark, sf, "sources")
-    e = src.where("authors IS NOT NULL").select(F.col("authors").alias("name")).distinct().withColumn("first", F.split_part("name", F.lit(" "), F.lit(1)))
-    p = e.select("first").distinct().withColumn("p", F.lit(1))
-    g = src.select(F.col("groupname").alias("name")).distinct().withColumn("g", F.lit(1))
-    return e.join(p, "first", "left").join(g, "name", "left").select("name", F.when(F.col("p").isNotNull(), "person").when(F.col("g").isNotNull(), "group").otherwise("skip").alias("kind"))
+    """Words classified by the first of six lists that holds them, each list from a table of its own."""
+    from kilohana.functions.text import normalize_word_marks as key
+
+    src, ev = table(spark, sf, "sources"), table(spark, sf, "eval_items")
+    lists = {
+        "ssa": src.select(F.explode(F.split("authors", " ")).alias("w")),
+        "ssa-hawaii": ev.select(F.explode(F.regexp_extract_all("passage", F.lit(r"[A-ZĀĒĪŌŪʻ][\p{L}ʻ]+"), F.lit(0))).alias("w")),
+        "given": src.select(F.regexp_extract("sourcename", "^([^: ]+)", 1).alias("w")),
+        "place": src.select(F.col("groupname").alias("w")),
+        "hawaiian-word": src.select(F.explode(F.split("title", " ")).alias("w")),
+        "english-word": ev.select(F.explode(F.regexp_extract_all("prompt", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")),
+    }
+    e = table(spark, sf, "searchstats").where("searchterm IS NOT NULL").select(F.explode(F.split("searchterm", " ")).alias("w")).select(key(F.col("w")).alias("k")).where("k <> ''").distinct()
+    kind = F.lit("skip")
+    for n, d in reversed(lists.items()):
+        e = e.join(d.where("w IS NOT NULL").select(key(F.col("w")).alias("k"), F.lit(1).alias(f"in {n}")).distinct(), "k", "left")
+        kind = F.when(F.col(f"in {n}").isNotNull(), n).otherwise(kind)
+    return e.select(F.col("k").alias("name"), kind.alias("kind"))
 
 
 @op("jn18", "WITH e AS (SELECT DISTINCT authors AS name, lower(authors) AS k FROM sources WHERE authors IS NOT NULL), o AS (SELECT lower(searchterm) AS k, max(pattern) AS action FROM searchstats WHERE searchterm IS NOT NULL GROUP BY 1) SELECT e.name, o.action FROM e LEFT JOIN o ON o.k=e.k")

@@ -200,10 +200,23 @@ def sk30(spark, sf):
     return table(spark, sf, "sentences").select("sentenceid", F.coalesce(have, F.md5(H)).alias("hash"))
 
 
-@op("sf30")
+def _fingerprint_sql() -> str:
+    """Markers of several words one after the other, each used up; then the single ones; in DuckDB."""
+    q = rf"SELECT sentenceid, regexp_replace(lower(trim({H})),'[^\\p{{L}}\\p{{M}}\\p{{N}}_\\sʻ]','','g') AS r0 FROM sentences".replace("\\\\", "\\")
+    cols = []
+    for i, m in enumerate(G.MULTI):
+        q = f"SELECT *, CASE WHEN contains(r{i},'{m}') THEN '{m.replace(' ', '_')}' END AS f{i}, replace(r{i},'{m}',' ') AS r{i + 1} FROM ({q})"
+        cols.append(f"f{i}")
+    n = len(G.MULTI)
+    single = "list_filter(regexp_extract_all(r%d,'[\\p{L}\\p{M}\\p{N}_]+'), lambda x: x IN (%s))" % (n, ",".join(f"'{x}'" for x in G.MARKERS))
+    e = f"array_to_string(list_concat(list_filter([{','.join(cols)}], lambda x: x IS NOT NULL), {single}),'-')"
+    return f"SELECT sentenceid, CASE WHEN r0 IS NULL OR {e}='' THEN 'plain' ELSE {e} END AS v FROM ({q})"
+
+
+@op("sf30", _fingerprint_sql())
 def sf30(spark, sf):
-    """The grammar fingerprint of every sentence."""
-    return table(spark, sf, "sentences").select("sentenceid", G.fingerprint(F.col(H)).alias("v"))
+    """The grammar fingerprint of every sentence; a null text has none of the markers."""
+    return table(spark, sf, "sentences").select("sentenceid", F.coalesce(G.fingerprint(F.col(H)), F.lit("plain")).alias("v"))
 
 
 @op("sf31", f"SELECT sentenceid, sourceid, pattern_type FROM {PATTERNS} p")

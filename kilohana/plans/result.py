@@ -84,11 +84,14 @@ def rr09(spark, sf):
     return s.select("sentenceid", R.highlight_loose(F.col(H), "pohaku").alias("t"))
 
 
-@op("rr10")
+_TERMS = r"list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace({e},'\\[a-zA-Z]|[\\^$.|?*+()\[\]{{}}]',' ','g'),'\p{{L}}[\p{{L}}ʻ]*'), lambda x: length(x)>=3)))"
+
+
+@op("rr10", "SELECT DISTINCT e AS expr, " + _TERMS.format(e="e") + r" AS terms FROM (SELECT '^(' || searchterm || ')+[aeiou]{2}.*hale\b' AS e FROM searchstats WHERE searchterm IS NOT NULL) t")
 def rr10(spark, sf):
-    """Terms to mark for an expression."""
-    rows = [(e, R.regex_terms(e)) for e in (r"^ua .* hale\b", r"(mahina|hoku)+ nani$", r"[aeiou]{2}")]
-    return spark.createDataFrame(rows, "expr string, terms array<string>")
+    """Terms to mark for an expression, here one of every search term."""
+    s = table(spark, sf, "searchstats").where("searchterm IS NOT NULL").select(F.concat(F.lit("^("), "searchterm", F.lit(r")+[aeiou]{2}.*hale\b")).alias("expr")).distinct()
+    return s.select("expr", F.array_sort(R.regex_terms_column(F.col("expr"))).alias("terms"))
 
 
 @op("rr11", rf'''SELECT sentenceid, regexp_replace({H}, '(?i)(ua [aeiouāēīōūʻhklmnpw]+)', '<span class="match">\1</span>', 'g') AS t FROM {SENTS} WHERE regexp_matches({H},'(?i)ua [aeiouāēīōūʻhklmnpw]+')''')

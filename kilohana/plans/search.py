@@ -144,33 +144,35 @@ def rt22(spark, sf):
     return V.knn(e, V.query_vector(e), 5)
 
 
-# Hybrid modes join sentences to the vectors by position: vec_id is the document's rank by id.
-_VDOC = "(SELECT d.doc_id, d.text, e.vec_id, e.embedding FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id)-1 AS rn FROM documents) d JOIN embeddings e ON e.vec_id=d.rn)"
+# Hybrid modes need a vector for each document: the one under its id modulo the number of vectors.
+_VDOC = "(SELECT d.doc_id, d.text, e.vec_id, e.embedding FROM documents d JOIN embeddings e ON e.vec_id=d.doc_id%(SELECT max(vec_id)+1 FROM embeddings))"
 
 
-def vector_documents(spark, sf):
-    """Documents with a vector each: the vectors are dealt by the ids' order. Both tables are the corpus of a hybrid search."""
-    d = table(spark, sf, "documents").select("doc_id", "text").withColumn("vec_id", F.row_number().over(W.orderBy("doc_id")).cast("long") - 1)
-    return d.join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+def document_vectors(spark, sf, docs=None):
+    """(doc_id, embedding) by an equi-join on the stored key; texts stay out of it."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.agg((F.max("vec_id") + 1).alias("_n"))  # one row
+    d = (table(spark, sf, "documents") if docs is None else docs).select("doc_id").crossJoin(F.broadcast(n))
+    return d.withColumn("vec_id", F.pmod("doc_id", "_n")).join(e, "vec_id").select("doc_id", "embedding")
 
 
-_BV = _bm25_sql("doc_id", _VDOC + " z", "text", ["hale", "mahina"], False)
+_BV = _bm25_sql("doc_id", DOCS, "text", ["hale", "mahina"], False)
 
 
 @op("rt23", f"WITH v AS (SELECT doc_id, list_cosine_similarity(embedding::DOUBLE[],{_Q})+1 AS c FROM {_VDOC} q), b AS ({_BV}) SELECT v.doc_id, round(coalesce(b.score,0)+v.c,5) AS score FROM v LEFT JOIN b ON b.doc_id=v.doc_id")
 def rt23(spark, sf):
     """Lexical score and cosine plus one summed; every document matches."""
-    v = vector_documents(spark, sf)
+    v = document_vectors(spark, sf)
     q = V.query_vector(table(spark, sf, "embeddings"))
     c = V.scored(v, q).select("doc_id", (F.col("cos") + 1).alias("c"))
-    return c.join(S.bm25(v, "doc_id", "hale mahina", text="text"), "doc_id", "left").select("doc_id", F.round(F.coalesce("score", F.lit(0.0)) + F.col("c"), 5).alias("score"))
+    return c.join(S.bm25(table(spark, sf, "documents"), "doc_id", "hale mahina", text="text"), "doc_id", "left").select("doc_id", F.round(F.coalesce("score", F.lit(0.0)) + F.col("c"), 5).alias("score"))
 
 
 @op("rt24", f"WITH b AS (SELECT * FROM ({_BV}) t ORDER BY score DESC, doc_id LIMIT 10), k AS (SELECT doc_id, round((1+list_cosine_similarity(embedding::DOUBLE[],{_Q}))/2,6) AS s FROM {_VDOC} q ORDER BY s DESC, doc_id LIMIT 50) SELECT coalesce(b.doc_id,k.doc_id) AS doc_id, round(coalesce(b.score,0)+1.5*coalesce(k.s,0),5) AS score FROM b FULL JOIN k ON b.doc_id=k.doc_id")
 def rt24(spark, sf):
     """The best lexical hits and five times as many neighbours, boosted, summed."""
-    v = vector_documents(spark, sf)
-    b = V.top_k(S.bm25(v, "doc_id", "hale mahina", text="text"), "score", "doc_id", 10)
+    v = document_vectors(spark, sf)
+    b = V.top_k(S.bm25(table(spark, sf, "documents"), "doc_id", "hale mahina", text="text"), "score", "doc_id", 10)
     k = V.scored(v, V.query_vector(table(spark, sf, "embeddings"))).select("doc_id", F.round((1 + F.col("cos")) / 2, 6).alias("s"))
     j = b.join(V.top_k(k, "s", "doc_id", 50), "doc_id", "full")
     return j.select("doc_id", F.round(F.coalesce("score", F.lit(0.0)) + 1.5 * F.coalesce("s", F.lit(0.0)), 5).alias("score"))
@@ -179,8 +181,8 @@ def rt24(spark, sf):
 @op("rt25", f"WITH b AS (SELECT doc_id, score AS s FROM ({_BV}) t ORDER BY s DESC, doc_id LIMIT 100), k AS (SELECT doc_id, round((1+list_cosine_similarity(embedding::DOUBLE[],{_Q}))/2,6) AS s FROM {_VDOC} q ORDER BY s DESC, doc_id LIMIT 100), bn AS (SELECT doc_id,(s-min(s) OVER ())/(max(s) OVER ()-min(s) OVER ()) AS x FROM b), kn AS (SELECT doc_id,(s-min(s) OVER ())/(max(s) OVER ()-min(s) OVER ()) AS x FROM k) SELECT coalesce(bn.doc_id,kn.doc_id) AS doc_id, round(0.3*coalesce(bn.x,0)+0.7*coalesce(kn.x,0),5) AS score FROM bn FULL JOIN kn ON bn.doc_id=kn.doc_id")
 def rt25(spark, sf):
     """Min-max normalised lists, weighted 0.3 lexical and 0.7 vector."""
-    v = vector_documents(spark, sf)
-    b = V.min_max(V.top_k(S.bm25(v, "doc_id", "hale mahina", text="text"), "score", "doc_id", 100), "score", "x")
+    v = document_vectors(spark, sf)
+    b = V.min_max(V.top_k(S.bm25(table(spark, sf, "documents"), "doc_id", "hale mahina", text="text"), "score", "doc_id", 100), "score", "x")
     k = V.scored(v, V.query_vector(table(spark, sf, "embeddings"))).select("doc_id", F.round((1 + F.col("cos")) / 2, 6).alias("s"))
     k = V.min_max(V.top_k(k, "s", "doc_id", 100), "s", "y")
     return b.join(k, "doc_id", "full").select("doc_id", F.round(0.3 * F.coalesce("x", F.lit(0.0)) + 0.7 * F.coalesce("y", F.lit(0.0)), 5).alias("score"))
@@ -189,8 +191,8 @@ def rt25(spark, sf):
 @op("rt26", f"WITH b AS (SELECT doc_id, score AS s FROM ({_BV}) t ORDER BY s DESC, doc_id LIMIT 50), k AS (SELECT doc_id, round((1+list_cosine_similarity(embedding::DOUBLE[],{_Q}))/2,6) AS s FROM {_VDOC} q ORDER BY s DESC, doc_id LIMIT 50), u AS (SELECT doc_id, 1.0/(60+row_number() OVER (ORDER BY s DESC, doc_id)) AS r FROM b UNION ALL SELECT doc_id, 1.0/(60+row_number() OVER (ORDER BY s DESC, doc_id)) FROM k) SELECT doc_id, round(sum(r),8)::DOUBLE AS score FROM u GROUP BY 1")
 def rt26(spark, sf):
     """Reciprocal-rank fusion of the two lists."""
-    v = vector_documents(spark, sf)
-    b = V.top_k(S.bm25(v, "doc_id", "hale mahina", text="text"), "score", "doc_id", 50)
+    v = document_vectors(spark, sf)
+    b = V.top_k(S.bm25(table(spark, sf, "documents"), "doc_id", "hale mahina", text="text"), "score", "doc_id", 50)
     k = V.scored(v, V.query_vector(table(spark, sf, "embeddings"))).select("doc_id", F.round((1 + F.col("cos")) / 2, 6).alias("score"))
     return V.rrf([b, V.top_k(k, "score", "doc_id", 50)], "doc_id")
 
@@ -207,8 +209,8 @@ def rt27(spark, sf):
 @op("rt28", f"SELECT doc_id, round(list_cosine_similarity(embedding::DOUBLE[],{_Q})+1,6) AS score FROM {_VDOC} q WHERE list_has_any({toks('text')},['hale']) OR contains(lower(text),'mahin')")
 def rt28(spark, sf):
     """A match or a wildcard lets a document in; the cosine ranks it."""
-    v = vector_documents(spark, sf)
-    v = v.where(S.predicate(F.col("text"), "match", "hale") | F.lower("text").contains("mahin"))
+    d = table(spark, sf, "documents")
+    v = document_vectors(spark, sf, d.where(S.predicate(F.col("text"), "match", "hale") | F.lower("text").contains("mahin")))
     return V.scored(v, V.query_vector(table(spark, sf, "embeddings"))).select("doc_id", F.round(F.col("cos") + 1, 6).alias("score"))
 
 
@@ -258,10 +260,11 @@ def rt34(spark, sf):
     return table(spark, sf, "searchstats").where("searchterm IS NOT NULL").select("searchterm").distinct().select("searchterm", hashed_embedding(F.concat(F.lit("query: "), F.col("searchterm")), 64).alias("embedding"))
 
 
-@op("rt35")
+@op("rt35", """SELECT DISTINCT '{"match": ' || to_json(searchterm) || ', "terms": ' || to_json(string_split(lower(searchterm),' ')) || ', "size": ' || length(searchterm) || '}' AS query FROM searchstats WHERE searchterm IS NOT NULL""")
 def rt35(spark, sf):
-    """Query templates with named holes, arrays included."""
-    from kilohana.operators.embed import fill
+    """A query template filled for every search term: a string, an array and a number."""
+    from kilohana.operators.embed import fill_columns
 
-    t = fill('{"terms": {{words}}, "size": {{n}}}', words=["hale", "mahina"], n=10)
-    return spark.createDataFrame([(t,)], "query string")
+    s = table(spark, sf, "searchstats").where("searchterm IS NOT NULL").select("searchterm").distinct()
+    q = fill_columns('{"match": "{{q}}", "terms": {{words}}, "size": {{n}}}', q=F.col("searchterm"), words=F.split(F.lower("searchterm"), " "), n=F.length("searchterm"))
+    return s.select(q.alias("query"))
\ No newline at end of file

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,24 @@ def fill_columns(template: str, **values: Column) -> Column:
             c = F.lit(part)
         e = c if e is None else F.concat(e, c)
     return e
+
+
+class LocalModel:
+    """A small deterministic model for workers: words hashed to signed places, unit length."""
+
+    def __init__(self, dims: int) -> None:
+        self.dims = dims
+        self.kept: dict[str, tuple[int, float]] = {}
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dims), dtype=np.float32)
+        for row, t in zip(out, texts):
+            for w in re.findall(r"[^\W_]+", t.lower()):
+                k = self.kept.get(w)
+                if k is None:
+                    if len(self.kept) > 200_000:
+                        self.kept.clear()
+                    h = zlib.crc32(w.encode())
+                    k = self.kept[w] = (h % self.dims, 1.0 if h >> 16 & 1 else -1.0)
+                row[k[0]] += k[1]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from kilohana.operators import grammar as G
+from kilohana.plans.join import PATTERNS
 from kilohana.registry import op
 from kilohana.session import table
 from kilohana.sources import readers
@@ -38,35 +39,99 @@ def sm02(spark, sf):
     return _streamed(spark, sf).groupBy("pattern_type").agg(F.count("*").alias("n"))
 
 
-@op("sm05", "SELECT operation_type, count(*) AS n FROM processing_log GROUP BY 1")
+@op("sm05", f"SELECT pattern_type, count(*) AS n FROM {PATTERNS} p GROUP BY 1")
 def sm05(spark, sf):
-    """A count that is refreshed by running it again."""
-    return table(spark, sf, "processing_log").groupBy("operation_type").agg(F.count("*").alias("n"))
+    """The pattern counts as a materialised table: made of the rows delivered in time, then refreshed over all; the refreshed state is given out."""
+    path = os.path.join(readers.work_dir(spark), "pattern_counts")
+    s = table(spark, sf, "sentences")
+    I.refresh(G.scan(s.where("created IS NOT NULL")).groupBy("pattern_type").agg(F.count("*").alias("n")), path)
+    return I.refresh(G.scan(s).groupBy("pattern_type").agg(F.count("*").alias("n")), path)
 
 
 @op("sm10")
 def sm10(spark, sf):
-    """One model per Python worker, batches through it."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    """Embeddings by one model a Python worker: loaded once a task, batches through it; no frequencies are kept, since workers don't share them."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
 
     def run(batches):
-        model = {"dims": 8}  # loaded once per task
+        from kilohana.operators.embed import LocalModel
+
+        model = LocalModel(64)
         for b in batches:
-            b["n"] = b["text"].map(lambda t: len(t or "") % model["dims"])
-            yield b[["doc_id", "n"]]
+            b["embedding"] = list(model.encode(b["text"].tolist()))
+            yield b[["doc_id", "embedding"]]
+
+    return d.mapInPandas(run, "doc_id long, embedding array<float>")
+
+
+def _in_files(spark, sf, base: str, parts: int):
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text", "added")
+    d.repartition(parts, "doc_id").write.parquet(f"{base}/in")
+    return "doc_id long, text string, added timestamp_ntz"
+
+
+@op("sm03", "SELECT doc_id, length(text) AS chars, len(list_filter(string_split_regex(text,'[.?!]\\s+'), lambda x: x<>'')) AS sentences FROM documents WHERE text IS NOT NULL")
+def sm03(spark, sf):
+    """Source metadata written with a checkpoint each few files; a run that is stopped after its second batch is taken up by the next, and no document comes twice."""
+    base = os.path.join(readers.work_dir(spark), f"metadata-{uuid.uuid4().hex}")
+    schema = _in_files(spark, sf, base, 6)
+
+    def work(batch, n):
+        m = batch.select("doc_id", F.length("text").alias("chars"), F.size(F.filter(F.split("text", r"[.?!]\s+"), lambda x: x != "")).alias("sentences"))
+        m.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    first = I.Stopper(work, lambda done: done >= 2)
+    first.wait(I.stream_parquet(spark, f"{base}/in", schema, first, f"{base}/done", every="0 seconds", files=1))
+    I.stream_parquet(spark, f"{base}/in", schema, work, f"{base}/done", files=1).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
+@op("sm07", "SELECT doc_id, length(text) AS chars FROM documents WHERE text IS NOT NULL")
+def sm07(spark, sf):
+    """A service that fails on the first call of every batch: calls are repeated with growing pauses, and every row comes out."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "text")
+
+    def run(batches):
+        for b in batches:
+            calls = []
+
+            def service(texts, calls=calls):
+                calls.append(1)
+                if len(calls) == 1:
+                    raise ConnectionError("busy")
+                return [len(t) for t in texts]
+
+            b["chars"] = I.with_retries(service, tries=3, wait=0.01)(b["text"].tolist())
+            yield b[["doc_id", "chars"]]
+
+    return d.mapInPandas(run, "doc_id long, chars int")
+
+
+@op("sm08", "SELECT true AS stopped_whole, true AS resumed_all, count(*) AS n FROM documents WHERE text IS NOT NULL")
+def sm08(spark, sf):
+    """A graceful stop: the running batch ends, the rest waits for the next run; (was the stop between batches, is all done after, documents)."""
+    base = os.path.join(readers.work_dir(spark), f"stop-{uuid.uuid4().hex}")
+    schema = _in_files(spark, sf, base, 5)
+
+    def work(batch, n):
+        batch.select("doc_id").write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-    return d.mapInPandas(run, "doc_id long, n long")
+    stop = I.Stopper(work, lambda done: done >= 1)
+    done = stop.wait(I.stream_parquet(spark, f"{base}/in", schema, stop, f"{base}/done", every="0 seconds", files=1))
+    before = spark.read.parquet(f"{base}/out").select("batch").distinct().count()
+    I.stream_parquet(spark, f"{base}/in", schema, work, f"{base}/done", files=1).awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    all_ = table(spark, sf, "documents").where("text IS NOT NULL").count()
+    return out.agg(F.lit(before >= done >= 1).alias("stopped_whole"), ((F.count("*") == all_) & (F.countDistinct("doc_id") == all_)).alias("resumed_all"), F.count("*").alias("n"))
 
 
-@op("sm04")
+@op("sm04", "SELECT status, count(*) AS n, true AS small FROM processing_log GROUP BY 1")
 def sm04(spark, sf):
-    """A cache flushed by time: the stream runs on a processing-time trigger until its input is done, then stops."""
+    """A write-through cache flushed by size and time: every batch holds at most 1000 rows and none is lost."""
     base = os.path.join(readers.work_dir(spark), f"flush-{uuid.uuid4().hex}")
-    table(spark, sf, "processing_log").select("log_id", "status").write.parquet(f"{base}/in")
-    q = I.stream_parquet(spark, f"{base}/in", "log_id long, status string", lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/done", every="1 second")
-    q.processAllAvailable()
-    q.stop()
-    return spark.read.parquet(f"{base}/out").groupBy("status").agg(F.count("*").alias("n"))
+    out = I.flushed(spark, table(spark, sf, "processing_log").select("log_id", "status"), base, 1000, "1 second")
+    most = out.groupBy("batch").count().agg((F.max("count") <= 1000).alias("small"))
+    return out.groupBy("status").agg(F.count("*").alias("n")).crossJoin(F.broadcast(most))
 
 
 @op("sm06", "SELECT DISTINCT sourceid FROM sentences ORDER BY sourceid LIMIT 30 OFFSET 60")

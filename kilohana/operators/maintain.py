@@ -56,3 +56,20 @@ def allocate_ids(old: DataFrame, new: DataFrame, key: str, natural: str) -> Data
 def sync_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     left, right = a.select(key).distinct(), b.select(key).distinct()
     return left.subtract(right).select(F.lit("missing").alias("side"), key).unionByName(right.subtract(left).select(F.lit("extra").alias("side"), key))
+
+
+def html_escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def rendered(rows: DataFrame, key: str, name: str, link: str) -> DataFrame:
+    """(key, kind, line): each row as JSON, as a list item, and as lines for a terminal; one pass over the rows."""
+    n, u = F.col(name), F.col(link)
+    lines = {
+        "json": F.to_json(F.struct(key, name, link)),
+        "html": F.concat(F.lit('<li><a href="'), html_escaped(u), F.lit('">'), html_escaped(n), F.lit("</a></li>")),
+        "cli": F.concat(F.lpad(F.col(key).cast("string"), 8, " "), F.lit("  "), n, F.lit("\n          "), u),
+    }
+    return rows.select(key, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("line")) for k, v in lines.items()])).alias("r")).select(key, "r.kind", "r.line")

@@ -101,7 +101,18 @@ def gr04(spark, sf):
     return pairs(spark, sf)
 
 
-@op("gr05")
+_WORDS = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
+_RX5 = ["(?i)" + _WORDS + r"\s+(?:founded|started|established|visited|created|built|lived|studied|attended)\s+([A-Z][a-z]+)", "(?i)" + _WORDS + r"\s+(?:is|was)\s+(?:located|situated|found)\s+in\s+([A-Z][a-z]+)"]
+_KIND5 = "CASE " + " ".join(f"WHEN contains(lower(h),'{w}') THEN '{k}'" for w, k in G.BASIC_KINDS) + " ELSE 'RELATED' END"
+_HELD5 = "(SELECT arg_max(kind || '_' || upper(b.name), b.pos) FROM b WHERE b.doc_id = r.doc_id AND contains(lower(b.name), lower(r.{c})))"
+
+
+@op("gr05", rf"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(x) AS name, unnest(range(len(x))) AS pos, 0 AS g FROM (SELECT doc_id, regexp_extract_all(text, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)*\b') AS x FROM d) a),
+b AS (SELECT doc_id, name, min(pos) AS pos, CASE WHEN name IN ({_MALE}) THEN 'Person' ELSE 'Location' END AS kind FROM u WHERE lower(name) NOT IN ({",".join(f"'{x}'" for x in G.COMMON[:-1])}) GROUP BY 1, 2),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_RX5[0]}', 1)) AS a, unnest(regexp_extract_all(text, '{_RX5[0]}', 2)) AS z, unnest(regexp_extract_all(text, '{_RX5[0]}')) AS h, false AS l FROM d
+UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '{_RX5[1]}', 1)), unnest(regexp_extract_all(text, '{_RX5[1]}', 2)), unnest(regexp_extract_all(text, '{_RX5[1]}')), true FROM d)
+SELECT doc_id, {_HELD5.format(c='a')} AS source, CASE WHEN l THEN 'LOCATED_IN' ELSE {_KIND5} END AS relation, {_HELD5.format(c='z')} AS target FROM r WHERE {_HELD5.format(c='a')} IS NOT NULL AND {_HELD5.format(c='z')} IS NOT NULL""")
 def gr05(spark, sf):
     """The plain relations (founded, visited, ..., located in)."""
     d = table(spark, sf, "documents").where("text IS NOT NULL")

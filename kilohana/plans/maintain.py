@@ -128,7 +128,7 @@ def sk16(spark, sf):
     return M.latest(s, ["word"], F.desc_nulls_last("created"), F.desc_nulls_last("action")).where("word <> 'hale'").select("word", "action")
 
 
-@op("sk20")
+@op("sk20", f"SELECT pattern_type, count(*) AS n FROM {PATTERNS} p GROUP BY 1")
 def sk20(spark, sf):
     """A table written anew and read back."""
     path = os.path.join(readers.work_dir(spark), "patterns")
@@ -136,11 +136,16 @@ def sk20(spark, sf):
     return spark.read.parquet(path).groupBy("pattern_type").agg(F.count("*").alias("n"))
 
 
-@op("sk21")
+_ESC = "replace(replace(replace(replace({c},'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;')"
+
+
+@op("sk21", f"""SELECT sourceid, 'json' AS kind, CAST(to_json({{'sourceid': sourceid, 'sourcename': sourcename, 'link': link}}) AS VARCHAR) AS line FROM (SELECT DISTINCT sourceid, coalesce(sourcename,'') AS sourcename, coalesce(link,'') AS link FROM sources) a
+UNION ALL SELECT sourceid, 'html', '<li><a href="' || {_ESC.format(c='link')} || '">' || {_ESC.format(c='sourcename')} || '</a></li>' FROM (SELECT DISTINCT sourceid, coalesce(sourcename,'') AS sourcename, coalesce(link,'') AS link FROM sources) b
+UNION ALL SELECT sourceid, 'cli', lpad(CAST(sourceid AS VARCHAR), 8, ' ') || '  ' || sourcename || chr(10) || '          ' || link FROM (SELECT DISTINCT sourceid, coalesce(sourcename,'') AS sourcename, coalesce(link,'') AS link FROM sources) c""")
 def sk21(spark, sf):
-    """Rows as JSON lines for a REST client."""
-    s = table(spark, sf, "sources")
-    return s.select(F.to_json(F.struct("sourceid", "sourcename", "link")).alias("json"))
+    """Sources rendered three ways: JSON lines for a REST client, list items for a page, two lines for a terminal."""
+    s = table(spark, sf, "sources").select("sourceid", F.coalesce("sourcename", F.lit("")).alias("sourcename"), F.coalesce("link", F.lit("")).alias("link")).distinct()
+    return M.rendered(s, "sourceid", "sourcename", "link")
 
 
 both("sk22", "SELECT o.sourceid, count(s.sentenceid) AS sentencecount, count(s.sentenceid) < 1 AS discarded, CAST(1.0 AS DOUBLE) AS quality FROM (SELECT DISTINCT sourceid FROM {sources}) o LEFT JOIN {sentences} s ON s.sourceid = o.sourceid GROUP BY o.sourceid", "sources", "sentences")

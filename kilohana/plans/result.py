@@ -113,7 +113,7 @@ for _n, _b, _s in (("rr12", 200, 500), ("rr13", 100, 200), ("rr14", 75, 156)):
     op(_n, f"SELECT doc_id, {_snip(_b, _s)} AS t FROM documents")(_run)
 
 
-@op("rr15")
+@op("rr15", r"SELECT sourceid, regexp_replace(text,'(?i)(ka\s+mahina)','<mark>\1</mark>') AS t FROM contents WHERE regexp_matches(text,'(?i)ka\s+mahina')")
 def rr15(spark, sf):
     """The first place of a phrase, white space aside, marked in its page."""
     rx = r"(?is)^(.*?)(ka\s+mahina)(.*)$"

@@ -239,7 +239,12 @@ def rt31(spark, sf):
     return table(spark, sf, "documents").select("doc_id", c.alias("chunks")).where(F.size("chunks") > 0)
 
 
-@op("rt32")
+_MODES = """(VALUES ('elastic','match','match'),('elastic','matchall','matchall'),('elastic','phrase','phrase'),('elastic','term','term'),('elastic','regexp','regexp'),('elastic','wildcard','wildcard'),
+('elastic','vector','vector'),('elastic','knn','knn'),('elastic','hybrid','hybrid'),('mysql','exact','phrase'),('mysql','any','match'),('mysql','all','matchall'),('mysql','regex','regexp'),
+('postgres','any','match'),('postgres','all','matchall'),('postgres','exact','phrase'),('postgres','near','phrase'),('postgres','regex','regexp'),('postgres','hybrid','hybrid')) t(dialect, mode, meaning)"""
+
+
+@op("rt32", f"SELECT * FROM {_MODES}")
 def rt32(spark, sf):
     """The taxonomy of modes: what each store offers, and what a name of before means."""
     rows = [(k, m, S.mode_of(m)) for k, v in {"elastic": S.SENTENCE_MODES + S.VECTOR_MODES, **S.STORE_MODES}.items() for m in v]

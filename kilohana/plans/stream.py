@@ -33,7 +33,7 @@ def _streamed(spark, sf, every=None):
     return spark.read.parquet(f"{base}/out")
 
 
-@op("sm02")
+@op("sm02", f"SELECT pattern_type, count(*) AS n FROM {PATTERNS} p GROUP BY 1")
 def sm02(spark, sf):
     """Patterns of a stream with a checkpoint; a second run finds nothing new."""
     return _streamed(spark, sf).groupBy("pattern_type").agg(F.count("*").alias("n"))

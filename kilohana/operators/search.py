@@ -113,10 +113,19 @@ def bm25(rows: DataFrame, key: str, term: str, text: str = "hawaiiantext", folde
     Corpus size, mean length and document frequencies come from one aggregate over all rows; it is one row and joins by broadcast.
     """
     words = sorted(set(query_tokens(term, folded)))
-    toks = rows.select(key, tokens(F.col(text), folded).alias("t"), *([ratio.alias("_ratio")] if ratio is not None else []))
-    tf = [F.size(F.filter(F.col("t"), _is(w))).alias(f"tf{i}") for i, w in enumerate(words)]
-    d = toks.select(key, F.size("t").alias("len"), *tf, *(["_ratio"] if ratio is not None else []))
-    stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(words))])
+    low = F.lower(T.fold(F.col(text)) if folded else F.col(text))
+    toks = tokens(F.col(text), folded)
+    size = F.regexp_count(low, F.lit(r"[\p{L}\p{N}]+"))
+    # A text is cut into words only where the letters of a query word stand in it.
+    has = [low.contains(w) & F.array_contains(toks, w) for w in words]
+    stats = rows.select(size.alias("len"), *[h.alias(f"h{i}") for i, h in enumerate(has)])
+    stats = stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"h{i}")).alias(f"df{i}") for i in range(len(words))])
+    near = None
+    for w in words:
+        one = low.contains(w)
+        near = one if near is None else (near & one if all_words else near | one)
+    d = rows.where(near if near is not None else F.lit(False)).select(key, size.alias("len"), toks.alias("t"), *([ratio.alias("_ratio")] if ratio is not None else []))
+    d = d.select("*", *[F.size(F.filter(F.col("t"), _is(w))).alias(f"tf{i}") for i, w in enumerate(words)])
     hit = None
     for i in range(len(words)):
         one = F.col(f"tf{i}") > 0

@@ -186,12 +186,25 @@ def roles(text: str, title: str | None) -> list[str]:
             nxt = after.get(i)
             if nxt in head_num and role[nxt] == "header" and head_num[nxt] - vals[i] in (0, 1):
                 chosen.add(i)
-        # The longest run of numbers that goes up by one from page to page.
-        best: dict[int, list[int]] = {}
+        # The longest run of numbers that goes up by one from page to page, five lines apart at least; the first of equal ones.
+        best: dict[int, tuple[int, int]] = {}  # by number: (length of its longest run so far, last line of it)
+        length: dict[int, int] = {}
+        back: dict[int, int | None] = {}
+        waiting = 0
         for i in cand:
-            prior = [best[j] for j in cand if j < i - 4 and vals[j] is not None and vals[i] == vals[j] + 1 and j in best]
-            best[i] = max(prior, key=len, default=[]) + [i]
-        run = max(best.values(), key=len, default=[])
+            while waiting < len(cand) and cand[waiting] < i - 4:
+                j = cand[waiting]
+                waiting += 1
+                if vals[j] is not None and length[j] > best.get(vals[j], (0, 0))[0]:
+                    best[vals[j]] = (length[j], j)
+            n, back[i] = best.get(vals[i] - 1, (0, None)) if vals[i] is not None else (0, None)
+            length[i] = n + 1
+        at: int | None = max(cand, key=lambda i: (length[i], -i), default=None)
+        run: list[int] = []
+        while at is not None:
+            run.append(at)
+            at = back[at]
+        run.reverse()
         if len(run) > 1:
             chosen |= set(run)
         if not chosen:

@@ -430,3 +430,42 @@ def test_p6_the_last_delivery_decides(spark):
     c = spark.createDataFrame([(1, "a " * 20000, T0), (1, "short", T0 + dt.timedelta(1)), (2, "short", T0), (2, "b " * 20000, T0 + dt.timedelta(1)), (3, None, T0), (None, "c " * 20000, T0)], "sourceid long, text string, created timestamp_ntz")
     d = docs(spark, [(1, "漢" * 10001, None, "typed", None), (2, "漢" * 10000, None, "typed", None), (3, None, None, None, None)])
     assert {tuple(r) for r in split.found(d, c).collect()} == {("documents", 1), ("contents", 2)}
+
+
+# every operator: nulls in any column, empty and very long texts, repeated rows, empty tables, extra columns with clashing names
+
+CLASH = ["_h", "_x", "_s", "_key", "_src", "_grp", "_salt", "_shard", "_one", "_tie", "word", "kind", "n", "line_no", "ends", "unit", "container", "canonical", "l", "s", "k", "fill", "lines", "rec_id", "rec_table", "seg_no", "letters", "body", "grade_", "at"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """The five tables with nulls everywhere, an empty and a long text, a row twice, and columns named as the operators name their own."""
+    long = "Ua hele ke keiki i ka hale nui. " * 20000
+    texts = [None, "", "   ", "\n\n", "x", long, long.replace(" ", ""), "[12]\n" * 3000, "He hale nani kēia o ka ʻāina.", "He hale nani kēia o ka ʻāina."]
+
+    def with_extra(df):
+        return df.select("*", *[F.lit(1).alias(c) for c in CLASH if c not in df.columns])
+
+    media = ["typed", "scan", "oral", None]
+    d = [(i * 4 + j, t, [None, "haw", "??"][i % 3], m, [None, "T"][i % 2], "s", None, None) for i, t in enumerate(texts) for j, m in enumerate(media)] + [(None, "Ua hele.", None, None, None, None, None, None)]
+    s = [(i, [1, None][i % 2], t, [T0, None][i % 2]) for i, t in enumerate(texts)] * 2 + [(None, None, None, None)]
+    c = [(i, [None, "<html><body><p>" + (t or "") + "</body>"][i % 2], t, [T0, None][i % 2]) for i, t in enumerate(texts)] * 2 + [(None, None, None, None), (77, "<div" * 50000, "x", T0)]
+    return {
+        "documents": with_extra(spark.createDataFrame(d, "doc_id long, text string, lang string, medium string, title string, source string, n_chars long, link string")),
+        "sentences": with_extra(spark.createDataFrame(s, SENT)),
+        "contents": with_extra(spark.createDataFrame(c, "sourceid long, html string, text string, created timestamp_ntz")),
+        "sources": with_extra(spark.createDataFrame([(1, "g", T0), (1, "g", None), (None, "g", T0), (2, None, None)], "sourceid long, groupname string, created timestamp_ntz")),
+        "eval_items": with_extra(spark.createDataFrame([(1, None, None, texts[8]), (2, None, None, None), (None, None, None, "x"), (3, None, None, ""), (4, "s", "p", "keiki i ka hale nui ua hele ke keiki")], "item_id long, suite string, prompt string, passage string")),
+        "reading_labels": with_extra(spark.createDataFrame([(20, "a", 1), (20, "a", 1), (32, None, 2), (None, "b", 3), (36, "b", None), (36, "b", 9)], "doc_id long, rater string, grade long")),
+    }
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_units", "p2_found", "p2_paragraphs", "p3_found", "p3_cleaned", "p4_found", "p4_one_form", "p5_found", "p5_languages", "p6_found", "p6_pieces", "p7_found", "p7_bodies", "p8_packed", "p8_report", "p9_found", "p9_leaks", "p10_found", "p10_grades"])
+def test_odd_tables(odd, name, monkeypatch):
+    from kilohana.llm import registry
+
+    monkeypatch.setattr(registry, "table", lambda _, __, t: odd[t])
+    spark = odd["documents"].sparkSession
+    getattr(registry, name)(spark, "").collect()
+    monkeypatch.setattr(registry, "table", lambda _, __, t: odd[t].limit(0))
+    assert len(getattr(registry, name)(spark, "").collect()) == (name == "p8_report")

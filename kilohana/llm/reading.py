@@ -30,7 +30,7 @@ from . import langid, scans
 from .base import canon_lang, map_rows
 from .segment import Segmenter
 
-GRADES, DIM, TRAIN_DOCS, MIN_WORDS, FOLDS = 6, 8192, 2400, 80, 3
+GRADES, DIM, TRAIN_DOCS, MIN_WORDS, FOLDS = 6, 8192, 2000, 80, 3
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|ʻ(?=[^\W\d_]))*")
 #: Folds of small letters, one quick replacement each.
 _PLAIN = [*zip("āēīōū", "aeiou"), *((c, "") for c in "ʻ‘’'`ʼʽ")]
@@ -118,7 +118,7 @@ class Bags:
         return self.word[at], np.repeat(np.arange(len(k)), size), start
 
 
-def _fit_sentences(bags: Bags, keep: np.ndarray, forms: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30, l2: float = 2e-4) -> SentenceModel:
+def _fit_sentences(bags: Bags, keep: np.ndarray, forms: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50, l2: float = 2e-4) -> SentenceModel:
     """Softmax regression of the kept sentences by full-batch Adam."""
     mean, sd = forms.mean(axis=0), forms.std(axis=0) + 1e-6
     f = (forms - mean) / sd

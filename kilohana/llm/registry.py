@@ -42,6 +42,11 @@ def p4_one_form(spark, sf):
     return lookalike.one_text(table(spark, sf, "sentences"))
 
 
+def p4_classes(spark, sf):
+    """Every row that looks like a row stored otherwise, with its class and the class's canonical text: the classes by membership, no pairs."""
+    return lookalike.members(table(spark, sf, "sentences")).select("sentenceid", "class_id", "canonical")
+
+
 def p5_found(spark, sf):
     return langid.found(table(spark, sf, "documents"), table(spark, sf, "sentences"))
 
@@ -97,7 +102,7 @@ def p10_grades(spark, sf):
     return reading.grades(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
 
 
-_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_bodies, p8_packed, p8_report, p9_found, p9_leaks, p10_found, p10_grades]
+_QUERIES = [p1_found, p1_units, p2_found, p2_paragraphs, p3_found, p3_cleaned, p4_found, p4_one_form, p4_classes, p5_found, p5_languages, p6_found, p6_pieces, p7_found, p7_bodies, p8_packed, p8_report, p9_found, p9_leaks, p10_found, p10_grades]
 
 _SQL: dict[str, str] = {
     "p6_found": """

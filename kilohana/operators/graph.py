@@ -63,8 +63,17 @@ def _runs(run: str, near: int) -> str:
     return rf"(?s)(?=[A-Z][a-z])(?<![A-Za-z0-9_])(?<=(?:\A(.{{0,{near - 1}}})|(.{{{near}}})))({run})(?![A-Za-z0-9_])(?=(.{{0,{near}}}))"
 
 
-def _typed(kind: Column, name: Column) -> Column:
-    return F.struct(name.alias("name"), kind.alias("kind"), T.entity_id(kind, name).alias("id"), T.entity_norm(name).alias("norm"))
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it stands in ``use``: the variable of a lambda is never computed again."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _named(kind: Column, name: Column) -> Column:
+    return F.struct(name.alias("name"), kind.alias("kind"))
+
+
+def _with_id(e: Column) -> Column:
+    return F.struct(e["name"].alias("name"), e["kind"].alias("kind"), T.entity_id(e["kind"], e["name"]).alias("id"), T.entity_norm(e["name"]).alias("norm"))
 
 
 def entity_array(text: Column) -> Column:
@@ -77,17 +86,14 @@ def entity_array(text: Column) -> Column:
     parts = F.split(marked, "\x01")
     runs = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.split(F.substring_index(x, "\x03", 1), "\x02"))
 
+    near = "(?i)" + "|".join(PLACE_WORDS)
+
     def one(x):
-        name = x[1]
-        near = F.lower(F.concat(x[0], name, x[2]))
-        place = F.lit(False)
-        for w in PLACE_WORDS:
-            place = place | near.contains(w)
-        return _typed(F.when(name.isin(FIRST_NAMES), "Person").when(place, "Location").otherwise("Entity"), name)
+        return _named(F.when(x[1].isin(FIRST_NAMES), "Person").when(F.concat(x[0], x[1], x[2]).rlike(near), "Location").otherwise("Entity"), x[1])
 
     names = F.transform(F.filter(runs, lambda x: ~F.lower(x[1]).isin(COMMON)), one)
-    dates = F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), lambda x: _typed(F.lit("Date"), x))
-    return F.array_distinct(F.concat(names, dates))
+    dates = F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), lambda x: _named(F.lit("Date"), x))
+    return F.transform(F.array_distinct(F.concat(names, dates)), _with_id)
 
 
 def basic_entity_array(text: Column) -> Column:
@@ -119,6 +125,10 @@ def _resolved(ents: Column, name: Column) -> Column:
 
 def relation_array(text: Column, ents: Column) -> Column:
     """array<struct<source, relation, target>>: relations that a verb between two names says, both names resolved among the text's entities."""
+    return bound(F.struct(text.alias("text"), ents.alias("ents")), lambda s: _relations(s["text"], s["ents"]))
+
+
+def _relations(text: Column, ents: Column) -> Column:
 
     def said(rx: str, rel: str):
         return lambda h: F.struct(_resolved(ents, F.regexp_extract(h, rx, 1)).alias("source"), F.lit(rel).alias("relation"), _resolved(ents, F.regexp_extract(h, rx, 2)).alias("target"))
@@ -126,14 +136,18 @@ def relation_array(text: Column, ents: Column) -> Column:
     found = []
     for rel, verb in VERBS:
         rx = r"(?iu)(?:^|[^\p{L}\p{N}_])" + PHRASE + verb + PHRASE
-        # Only texts with a match are searched for all of them.
-        hits = F.when(text.rlike(rx), F.regexp_extract_all(text, F.lit(rx), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        # Only texts with the verb are searched for names around it.
+        hits = F.when(text.rlike("(?iu)" + verb), F.regexp_extract_all(text, F.lit(rx), F.lit(0))).otherwise(F.array().cast("array<string>"))
         found.append(F.transform(hits, said(rx, rel)))
     return F.array_distinct(F.filter(F.concat(*found), lambda r: r["source"].isNotNull() & r["target"].isNotNull() & (r["source"] != r["target"])))
 
 
 def basic_relation_array(text: Column, ents: Column) -> Column:
     """The plain relations: a verb or 'is located in' between two names; a name is the last entity that holds it."""
+    return bound(F.struct(text.alias("text"), ents.alias("ents")), lambda s: _basic_relations(s["text"], s["ents"]))
+
+
+def _basic_relations(text: Column, ents: Column) -> Column:
 
     def held(name):
         hit = F.filter(ents, lambda e: F.lower(e["name"]).contains(F.lower(name)))
@@ -165,14 +179,20 @@ def co_occurrence_array(text: Column, ents: Column, most: int = MOST_PAIRS) -> C
     Sentences end at . ! ? ; and line breaks. Once the pairs are full, no further sentence is looked at.
     """
 
-    def add(acc, s):
-        low = F.lower(s)
-        ids = F.array_distinct(F.transform(F.filter(ents, lambda e: low.contains(F.lower(e["name"]))), lambda e: e["id"]))
-        two = F.flatten(F.transform(F.slice(ids, F.lit(1), F.lit(most)), lambda x, i: F.transform(F.slice(ids, i + 2, F.lit(most)), lambda y: F.struct(F.least(x, y).alias("source"), F.greatest(x, y).alias("target")))))
-        return F.when(F.size(acc) >= most, acc).otherwise(F.slice(F.concat(acc, two), F.lit(1), F.lit(most)))
+    def two(ids):
+        return F.flatten(F.transform(F.slice(ids, F.lit(1), F.lit(most)), lambda x, i: F.transform(F.slice(ids, i + 2, F.lit(most)), lambda y: F.struct(F.least(x, y).alias("source"), F.greatest(x, y).alias("target")))))
+
+    def add(ents):
+        def step(acc, low):
+            ids = F.array_distinct(F.transform(F.filter(ents, lambda e: low.contains(e["low"])), lambda e: e["id"]))
+            return F.when(F.size(acc) >= most, acc).otherwise(F.slice(F.concat(acc, bound(ids, two)), F.lit(1), F.lit(most)))
+
+        return step
 
     none = F.array().cast("array<struct<source:string,target:string>>")
-    return F.array_distinct(F.aggregate(F.split(text, r"[.!?;\n]+"), none, add))
+    small = F.transform(ents, lambda e: F.struct(F.lower(e["name"]).alias("low"), e["id"].alias("id")))
+    both = F.struct(F.split(F.lower(text), r"[.!?;\n]+").alias("s"), small.alias("e"))
+    return F.array_distinct(bound(both, lambda b: F.aggregate(b["s"], none, add(b["e"]))))
 
 
 def extract(rows: DataFrame, text: str, key: str) -> DataFrame:
